@@ -256,7 +256,8 @@ def components(prints: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """``prints`` with component_id, the smallest doc_id of the rows whose ``node`` the edges join."""
     roots = connected_components(edges)
     rooted = prints.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so that the join is one of two shuffled tables and a hot root can be split
+    least = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return rooted.join(least, "root")
 
 
