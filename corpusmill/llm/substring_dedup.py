@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.shared import cut, partitions
-from corpusmill.llm.words import Words, _K, mix, pieces, rolling
+from corpusmill.llm.words import PIECE, Words, _K, mix, pieces, rolling
 
 #: Bytes of packed strings after which a map task sends what it has, and after which a slot reader works on whole slots.
-FLUSH, WORK = 24 << 20, 6 << 20
+FLUSH, WORK = 40 << 20, 2 << 20
 #: Slots for each shuffle partition; loads of this many windows never make a slot hot.
-SLOTS, CALM = 16, 1 << 18
+SLOTS, CALM = 64, 1 << 17
 CHUNK = 4096
 
 
@@ -231,11 +231,26 @@ def repeated_windows(docs: DataFrame, size: int, calm: int = CALM) -> DataFrame:
     return runs.union(windows.join(least, "window").filter("doc_id > least").select("doc_id", "pos", F.lit(1).cast("long").alias("n")))
 
 
-def _keeper(size: int, names: list[str]):
+def _packed(names: list[str]):
+    """The text column compressed, for a shuffle of whole texts; nulls are empty."""
+
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for piece in pieces(batch, "text"):
-                words = Words.of(piece.column("text")).spaced()
+                texts = pa.array([pack((t or "").encode()) for t in piece.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([texts if c == "text" else piece.column(c) for c in names], names)
+
+    return run
+
+
+def _keeper(size: int, names: list[str]):
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE // 3):
+                texts = pa.array([unpack(t.as_buffer()) for t in piece.column("text")], pa.binary())
+                words = Words.of(texts).spaced()
                 runs = piece.column("_runs").combine_chunks() if isinstance(piece.column("_runs"), pa.ChunkedArray) else piece.column("_runs")
                 row = runs.value_parent_indices().to_numpy() if hasattr(runs, "value_parent_indices") else np.asarray(pa.compute.list_parent_indices(runs))
                 flat = runs.flatten()
@@ -263,7 +278,7 @@ def _keeper(size: int, names: list[str]):
 
 
 def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", calm: int = CALM) -> DataFrame:
-    """``docs`` with n_words, n_removed and kept_text: words in windows that also start in a smaller document go.
+    """``docs`` with n_words, n_removed and, for its text, kept_text: words in windows that also start in a smaller document go.
 
     Windows are judged on the texts as they come, so what is removed does not depend on an
     order of work; a document's own repeats stay. kept_text has one space between words.
@@ -275,10 +290,9 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
     spare = [c for c in docs.columns if c not in (id_col, text_col, "n_words", "n_removed", "kept_text")]
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"_x{k}") for k, c in enumerate(spare)])
     runs = repeated_windows(given, size, calm).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("_runs"))
-    both = given.join(runs, "doc_id", "left")
-    names = ["doc_id", *[f"_x{k}" for k in range(len(spare))], "text", "n_words", "n_removed", "kept_text"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields)
-    made = both.mapInArrow(_keeper(size, [f.name for f in given.schema.fields] + names[-3:]), schema + ", n_words long, n_removed long, kept_text string")
-    return made.select(
-        F.col("doc_id").alias(id_col), F.col("text").alias(text_col), *[F.col(f"_x{k}").alias(c) for k, c in enumerate(spare)], "n_words", "n_removed", "kept_text"
-    )
+    fields = [f for f in given.schema.fields if f.name != "text"]
+    others = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    packed = given.mapInArrow(_packed([f.name for f in fields] + ["text"]), f"{others}, text binary")
+    names = [f.name for f in fields] + ["n_words", "n_removed", "kept_text"]
+    made = packed.join(runs, "doc_id", "left").mapInArrow(_keeper(size, names), f"{others}, n_words long, n_removed long, kept_text string")
+    return made.select(F.col("doc_id").alias(id_col), *[F.col(f"_x{k}").alias(c) for k, c in enumerate(spare)], "n_words", "n_removed", "kept_text")
