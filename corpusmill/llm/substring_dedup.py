@@ -1,7 +1,7 @@
 """Removal of passages that repeat across documents, by super-k-mer partitioning.
 
-A window is ``size`` consecutive words. Its minimiser is the least of the hashes of its word
-pairs. Consecutive windows that share a minimiser travel as one packed string to the slot
+A window is ``size`` consecutive words. Its minimiser is the first of its words in a fixed
+order: long words first, which are seldom frequent, then by hash. Consecutive windows that share a minimiser travel as one packed string to the slot
 that the minimiser names, so a text is sent about three times, not ``size`` times. In a slot
 windows are sorted by a hash of their words; neighbours of equal hash are compared as
 strings, so windows are counted exactly, and each knows the smallest document it starts in.
@@ -10,8 +10,8 @@ One flush of a map task sends one compressed row for each slot. Slots take whole
 minimisers and are many times the partitions; a partition's slots come in order and are
 worked on one after the other in bounded memory. What a hot minimiser would put into one
 slot is measured first: slots with over four times the mean load (thus under a quarter of
-all slots) are sent as single windows instead, keyed by their words, with the smallest
-document found by a grouped minimum that combines before the shuffle.
+all slots) are set apart. Their strings are made distinct by a grouped minimum, which
+combines before its shuffle, and only distinct strings are taken apart into windows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from corpusmill.llm.words import PIECE, Words, _K, mix, pieces, rolling
 #: Bytes of packed strings after which a map task sends what it has, and after which a slot reader works on whole slots.
 FLUSH, WORK = 40 << 20, 2 << 20
 #: Slots for each shuffle partition; loads of this many windows never make a slot hot.
-SLOTS, CALM = 64, 1 << 17
+SLOTS, CALM = 32, 1 << 17
 CHUNK = 4096
 
 
@@ -41,26 +41,37 @@ def minimisers(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     at = at[at + size <= words.last()]
     if not len(at):
         return at, np.zeros(0, np.uint64)
-    h = words.hashes()
-    if size == 1:
-        return at, h
-    low = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    have, need = 1, size - 1  # a doubling minimum over the size - 1 pairs of a window
-    while have * 2 <= need:
+    short = np.maximum(15 - (words.ends - words.starts), 0).astype(np.uint64)
+    low = words.hashes() >> np.uint64(4) | short << np.uint64(60)
+    have = 1  # a doubling minimum over the words of a window
+    while have * 2 <= size:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
-    if have < need:
-        low = np.minimum(low[: len(low) - (need - have)], low[need - have :])
+    if have < size:
+        low = np.minimum(low[: len(low) - (size - have)], low[size - have :])
     return at, low[at]
 
 
+def slot_of(low: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(low.copy()) % np.uint64(slots)).astype(np.int64)
+
+
+def super_kmers(at: np.ndarray, low: np.ndarray, slots: int, hot: np.ndarray, want: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window of each run that shares a minimiser, and its slot; runs of hot slots or, not ``want``, of others."""
+    start = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1]))[: len(at)])
+    end = np.append(start[1:], len(at)) - 1 if len(at) else start
+    slot = slot_of(low[start], slots)
+    kept = np.isin(slot, hot) == want
+    return at[start[kept]], at[end[kept]], slot[kept]
+
+
 def _loads(size: int, slots: int):
     def run(batches):
         total = np.zeros(slots, np.int64)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 _, low = minimisers(Words.of(piece.column("text")), size)
-                total += np.bincount((low % np.uint64(slots)).astype(np.int64), minlength=slots)
+                total += np.bincount(slot_of(low, slots), minlength=slots)
         for at in range(0, slots, CHUNK):
             if total[at : at + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK]), pa.array([total[at : at + CHUNK].tobytes()])], ["chunk", "loads"])
@@ -113,19 +124,14 @@ def _packer(size: int, slots: int, hot: np.ndarray):
         for batch in batches:
             for piece in pieces(batch.filter(batch.column("doc_id").is_valid()), "text"):
                 words = Words.of(piece.column("text")).spaced()
-                at, low = minimisers(words, size)
-                if not len(at):
+                start, end, slot = super_kmers(*minimisers(words, size), slots, hot, False)
+                if not len(start):
                     continue
-                start = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1])))
-                end = np.append(start[1:], len(at)) - 1
-                slot = (low[start] % np.uint64(slots)).astype(np.int64)
-                cold = ~np.isin(slot, hot)
-                start, end, slot = start[cold], end[cold], slot[cold]
-                row = np.searchsorted(words.first, at[start], "right") - 1
+                row = np.searchsorted(words.first, start, "right") - 1
                 data = words.data.tobytes()
-                spans = zip(words.starts[at[start]].tolist(), words.ends[at[end] + size - 1].tolist(), strict=True)
+                spans = zip(words.starts[start].tolist(), words.ends[end + size - 1].tolist(), strict=True)
                 strings = [data[a:b] for a, b in spans]
-                have.append((slot, piece.column("doc_id").to_numpy()[row], at[start] - words.first[row], strings))
+                have.append((slot, piece.column("doc_id").to_numpy()[row], start - words.first[row], strings))
                 held += sum(map(len, strings))
                 if held >= FLUSH:
                     yield from send(have)
@@ -136,23 +142,42 @@ def _packer(size: int, slots: int, hot: np.ndarray):
     return run
 
 
-def _hot_windows(size: int, slots: int, hot: np.ndarray):
+def _hot_strings(size: int, slots: int, hot: np.ndarray):
     def run(batches):
         for batch in batches:
             for piece in pieces(batch.filter(batch.column("doc_id").is_valid()), "text"):
                 words = Words.of(piece.column("text")).spaced()
-                at, low = minimisers(words, size)
-                at = at[np.isin((low % np.uint64(slots)).astype(np.int64), hot)]
-                row = np.searchsorted(words.first, at, "right") - 1
+                start, end, _ = super_kmers(*minimisers(words, size), slots, hot, True)
+                row = np.searchsorted(words.first, start, "right") - 1
                 data = words.data.tobytes()
-                strings = [data[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at + size - 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(strings, pa.binary()), pa.array(piece.column("doc_id").to_numpy()[row]), pa.array(at - words.first[row])], ["window", "doc_id", "pos"]
-                )
+                strings = [data[a:b] for a, b in zip(words.starts[start].tolist(), words.ends[end + size - 1].tolist(), strict=True)]
+                cols = [pa.array(strings, pa.binary()).cast(pa.string()), pa.array(piece.column("doc_id").to_numpy()[row]), pa.array(start - words.first[row])]
+                yield pa.RecordBatch.from_arrays(cols, ["packed", "doc_id", "pos"])
 
     return run
 
 
+def hot_repeats(docs: DataFrame, size: int, slots: int, hot: np.ndarray) -> DataFrame:
+    """Runs as below, of the windows of hot slots.
+
+    Equal strings are one row before their windows are taken apart, so what many documents
+    share is small, and what differs is spread by the windows' words.
+    """
+    strings = docs.mapInArrow(_hot_strings(size, slots, hot), "packed string, doc_id long, pos long")
+    windows = (
+        strings.groupBy("packed").agg(F.min("doc_id").alias("least"))
+        .withColumn("_w", F.split("packed", " "))
+        .select("packed", "least", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - (size - 1)), lambda i: F.array_join(F.slice("_w", i, size), " "))).alias("i", "window"))
+    )
+    least = windows.groupBy("window").agg(F.min("least").alias("first"))
+    firsts = windows.join(least, "window").groupBy("packed").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("firsts"))
+    found = strings.join(firsts, "packed").withColumn("gone", F.filter("firsts", lambda x: x["first"] < F.col("doc_id")))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.size("gone").alias("n")))
+    single = F.transform("gone", lambda x: F.struct(x["i"].alias("i"), F.lit(1).alias("n")))
+    runs = F.explode(F.when(F.size("gone") == F.size("firsts"), whole).otherwise(single)).alias("run")
+    return found.filter(F.size("gone") > 0).select("doc_id", "pos", runs).select("doc_id", (F.col("pos") + F.col("run.i")).alias("pos"), F.col("run.n").cast("long").alias("n"))
+
+
 def _repeats(size: int):
     """Whole slots of (slot, blob) rows to runs (doc_id, pos, n) of windows that start in a smaller document too."""
 
@@ -226,9 +251,7 @@ def repeated_windows(docs: DataFrame, size: int, calm: int = CALM) -> DataFrame:
     runs = blobs.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(_repeats(size), "doc_id long, pos long, n long")
     if not len(hot):
         return runs
-    windows = docs.mapInArrow(_hot_windows(size, slots, hot), "window binary, doc_id long, pos long")
-    least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("window", "least")
-    return runs.union(windows.join(least, "window").filter("doc_id > least").select("doc_id", "pos", F.lit(1).cast("long").alias("n")))
+    return runs.union(hot_repeats(docs, size, slots, hot))
 
 
 def _packed(names: list[str]):
