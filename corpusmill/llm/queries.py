@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, html_extract, language_id, mixing, simhash, substring_dedup, token_counts, topk, toxicity
+from corpusmill.llm import decontaminate, html_extract, language_id, mixing, simhash, substring_dedup, token_counts, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,12 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.page_captures(table(spark, sf_dir, "pages")))
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "url_key", "outcome", "original_id", F.array_join(pairs, "; ").alias("headers"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_html_extraction": op5_html_extraction,
     "op6_top_k": op6_top_k,
+    "op7_warc_revisits": op7_warc_revisits,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,

@@ -273,3 +273,75 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, crowd: int
     nodes = prints.select(F.lit(0).alias("table"), F.col("f0").alias("key"), F.col("f0").alias("node")).distinct()
     found = components(prints, links(nodes, 64, budget, crowd=crowd), "f0")
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- similarity of shingle sets ---------------------------------------------------------------
+
+#: 64-bit words of a sketch; bits that a table of keys takes from it; tables.
+WIDE, TABLES = 4, 24
+
+
+def plan(rows: int) -> tuple[int, int]:
+    """Bits of a key and its error budget for so many different sketches.
+
+    A key has four bits more than numbers the rows, so chance meetings grow no faster than
+    the rows; the budget is the errors that similar sketches make in most of ``TABLES`` keys.
+    """
+    bits = min(60, max(20, (max(rows, 1) - 1).bit_length() + 4))
+    return bits, max(1, bits // 10 - 1)
+
+
+def _keys(bits: int) -> list[list[tuple[int, int]]]:
+    """For each table the (word, bit) places of its key, drawn once and for all."""
+    rng = np.random.default_rng(20)
+    return [[(int(b) // 64, int(b) % 64) for b in rng.permutation(64 * WIDE)[:bits]] for _ in range(TABLES)]
+
+
+def _key_rows(bits: int):
+    places = _keys(bits)
+
+    def run(batches):
+        for batch in batches:
+            sketch = np.stack([batch.column(f"f{k}").to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
+            for table, some in enumerate(places):
+                key = np.zeros(len(sketch), np.uint64)
+                for word, bit in some:
+                    key = key << np.uint64(1) | sketch[:, word] >> np.uint64(bit) & np.uint64(1)
+                cols = [pa.array(np.full(len(key), table, np.int32)), pa.array(key.view(np.int64)), batch.column("node")]
+                yield pa.RecordBatch.from_arrays([*cols, *(batch.column(f"f{k}") for k in range(WIDE))], ["table", "key", "node", *(f"f{k}" for k in range(WIDE))])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, size: int = 5, similar: float = 0.8, **names) -> DataFrame:
+    """(doc_id, component_id) per document: documents link whose shingle sets are alike by ``similar`` or more.
+
+    The similarity (Jaccard) of two sets of ``size``-word shingles is read off SimHash
+    sketches of 256 bits: a share p of differing bits means a cosine of cos(pi p), which sets
+    of a similarity s have at 2s / (1 + s). Its error is about 0.03. Pairs to compare are
+    found by trie self-joins of ``TABLES`` keys drawn from the sketch's bits; a pair at the
+    threshold itself is missed with a chance of some percent, nearer ones hardly ever.
+    Documents of equal sketches are one node of the join. Texts of no words are alike.
+    A null doc_id takes part but is no component_id.
+    """
+    prints = cut(fingerprints(docs, size, WIDE - 1, distinct=True, **names))
+    sketch = [f"f{k}" for k in range(WIDE)]
+    classes = cut(prints.groupBy(*sketch).agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    bits, budget = plan(classes.count())
+    share = float(np.arccos(2 * similar / (1 + similar)) / np.pi)
+    far = round(64 * WIDE * share + 1.5 * (64 * WIDE * share * (1 - share)) ** 0.5)
+    kinds = ", ".join(["table int, key long, node long", *(f"{c} long" for c in sketch)])
+    edges = links(classes.select("node", *sketch).mapInArrow(_key_rows(bits), kinds), bits, budget, far)
+    numbered = prints.join(classes.select("node", *sketch), sketch)
+    return components(numbered.select("doc_id", "node"), edges, "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document, that of smallest doc_id, of each group that ``similar_documents`` links.
+
+    Rows that repeat a doc_id are one document and stay or go together; rows without a
+    doc_id stay.
+    """
+    found = similar_documents(docs, size, similar, id_col=id_col, text_col=text_col)
+    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti")
