@@ -29,9 +29,9 @@ from corpusmill.llm.shared import cut, partitions
 from corpusmill.llm.words import PIECE, Words, _K, mix, pieces, rolling
 
 #: Bytes of packed strings after which a map task sends what it has, and after which a slot reader works on whole slots.
-FLUSH, WORK = 40 << 20, 2 << 20
+FLUSH, WORK = 28 << 20, 1 << 20
 #: Slots for each shuffle partition; loads of this many windows never make a slot hot.
-SLOTS, CALM = 32, 1 << 17
+SLOTS, CALM = 32, 1 << 16
 CHUNK = 4096
 
 

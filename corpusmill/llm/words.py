@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A column is worked on in pieces of about this many bytes, which bounds a worker's memory.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
