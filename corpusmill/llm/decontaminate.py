@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import Words, mix, pieces, rolling
+from corpusmill.llm.words import Words, mix, pieces, rolling, tidy
 
 SIZE, SIMILAR, RADIUS = 5, 0.8, 39
 ITEMS, ITEM_BYTES = 2000, 16 << 20
@@ -136,7 +136,7 @@ def _matcher(ids: list, texts: list[str], similar: float, radius: int, kind: pa.
                     cols = [piece.column("doc_id").take(pa.array(row)), pa.array([ids[k] for k in item]), pa.array(at, pa.int64()), pa.array(bits, pa.int32()), pa.array(s)]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "first_word", "bits", "similarity"])
 
-    return run
+    return tidy(run)
 
 
 def matches(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +171,7 @@ def _flagger(ids: list, texts: list[str], similar: float, radius: int, names: li
                 keep = [not items.search(h[off[r] : off[r + 1]]) for r in range(piece.num_rows)]
                 yield piece.filter(pa.array(keep)).select(names)
 
-    return run
+    return tidy(run)
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import pieces
+from corpusmill.llm.words import pieces, tidy
 
 # Names of HTML elements by their part in a page.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button datalist title head".split())
@@ -217,7 +217,7 @@ def _extractor(names: list[str]):
                 made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), *made], [*names, "text", "n_chars"])
 
-    return run
+    return tidy(run)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

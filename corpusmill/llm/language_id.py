@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import pieces
+from corpusmill.llm.words import pieces, tidy
 
 #: Characters of training text for each language, and documents they are taken from at most.
 TRAIN, TRAIN_DOCS = 24_000, 64
@@ -162,7 +162,7 @@ def _predictor(model, names: list[str]):
                     [*names, "lang_pred", "score", "phrase_rate"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def predict(docs: DataFrame, model, text_col: str = "text") -> DataFrame:

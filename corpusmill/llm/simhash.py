@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.components import connected_components, joined
 from corpusmill.llm.shared import cut
-from corpusmill.llm.words import Words, mix, pieces
+from corpusmill.llm.words import Words, mix, pieces, tidy
 
 #: Pairs of nodes in work at a time, and rows under a pair of nodes from which rows are compared one by one.
 FRONT, LEAF = 1 << 19, 32
@@ -84,7 +84,7 @@ def _fingerprinter(size: int, extra: int, distinct: bool):
                 cols = [piece.column("doc_id"), *(pa.array(prints[:, k].view(np.int64)) for k in range(1 + extra))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"f{k}" for k in range(1 + extra))])
 
-    return run
+    return tidy(run)
 
 
 def fingerprints(docs: DataFrame, size: int = 3, extra: int = 0, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +218,7 @@ def _joiner(bits: int, budget: int, far: int | None):
             m = moved[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(node[m]), pa.array(least[labels[m]])], ["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def links(rows: DataFrame, bits: int, budget: int, far: int | None = None, crowd: int = 1 << 19) -> DataFrame:
@@ -313,7 +313,7 @@ def _key_rows(bits: int):
                 cols = [pa.array(np.full(len(key), table, np.int32)), pa.array(key.view(np.int64)), batch.column("node")]
                 yield pa.RecordBatch.from_arrays([*cols, *(batch.column(f"f{k}") for k in range(WIDE))], ["table", "key", "node", *(f"f{k}" for k in range(WIDE))])
 
-    return run
+    return tidy(run)
 
 
 def similar_documents(docs: DataFrame, size: int = 5, similar: float = 0.8, **names) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.shared import cut, partitions
-from corpusmill.llm.words import PIECE, Words, _K, mix, pieces, rolling
+from corpusmill.llm.words import PIECE, Words, _K, mix, pieces, rolling, tidy
 
 #: Bytes of packed strings after which a map task sends what it has, and after which a slot reader works on whole slots.
 FLUSH, WORK = 28 << 20, 1 << 20
@@ -76,7 +76,7 @@ def _loads(size: int, slots: int):
             if total[at : at + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK]), pa.array([total[at : at + CHUNK].tobytes()])], ["chunk", "loads"])
 
-    return run
+    return tidy(run)
 
 
 def _add_loads(batches):
@@ -139,7 +139,7 @@ def _packer(size: int, slots: int, hot: np.ndarray):
         if have:
             yield from send(have)
 
-    return run
+    return tidy(run)
 
 
 def _hot_strings(size: int, slots: int, hot: np.ndarray):
@@ -154,7 +154,7 @@ def _hot_strings(size: int, slots: int, hot: np.ndarray):
                 cols = [pa.array(strings, pa.binary()).cast(pa.string()), pa.array(piece.column("doc_id").to_numpy()[row]), pa.array(start - words.first[row])]
                 yield pa.RecordBatch.from_arrays(cols, ["packed", "doc_id", "pos"])
 
-    return run
+    return tidy(run)
 
 
 def hot_repeats(docs: DataFrame, size: int, slots: int, hot: np.ndarray) -> DataFrame:
@@ -238,7 +238,7 @@ def _repeats(size: int):
         if have:
             yield from work(have)
 
-    return run
+    return tidy(run)
 
 
 def repeated_windows(docs: DataFrame, size: int, calm: int = CALM) -> DataFrame:
@@ -264,7 +264,7 @@ def _packed(names: list[str]):
                 texts = pa.array([pack((t or "").encode()) for t in piece.column("text").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([texts if c == "text" else piece.column(c) for c in names], names)
 
-    return run
+    return tidy(run)
 
 
 def _keeper(size: int, names: list[str]):
@@ -297,7 +297,7 @@ def _keeper(size: int, names: list[str]):
                 made = {"n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else piece.column(c) for c in names], names)
 
-    return run
+    return tidy(run)
 
 
 def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", calm: int = CALM) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import pieces
+from corpusmill.llm.words import pieces, tidy
 
 #: Where the vocabulary files are; a parameter of every function here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -58,7 +58,7 @@ def _counter(path: str, names: list[str]):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(count(texts), pa.int64())], [*names, "n_tokens"])
 
-    return run
+    return tidy(run)
 
 
 def count_tokens(docs: DataFrame, path: str = TOKENIZER, text_col: str = "text") -> DataFrame:

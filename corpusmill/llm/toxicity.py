@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import Words, mix, pieces
+from corpusmill.llm.words import Words, mix, pieces, tidy
 
 BITS = 20
 #: Distances between the two words of a pair.
@@ -97,7 +97,7 @@ def _trainer(epochs: int):
         at, w = ftrl.model() if rows else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], ["at", "w"])
 
-    return run
+    return tidy(run)
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "toxic", sample: int = SAMPLE, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +133,7 @@ def _scorer(at: np.ndarray, w: np.ndarray, names: list[str]):
                 score = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(score)], [*names, "score"])
 
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:

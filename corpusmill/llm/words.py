@@ -6,6 +6,9 @@ those bytes occurs inside a longer UTF-8 sequence, so splitting bytes splits cha
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +33,35 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
+    """The first powers of ``base``; up to half a million are kept."""
     got = _powers.get(base)
     if got is None or len(got) < n:
         got = np.full(max(n, 1 << 16), base, np.uint64)
         got[0] = 1
-        _powers[base] = got = np.cumprod(got, dtype=np.uint64)
+        got = np.cumprod(got, dtype=np.uint64)
+        if n <= 1 << 19:
+            _powers[base] = got
     return got[:n]
 
 
+def tidy(run):
+    """``run`` over batches, after which free memory goes back to the system.
+
+    Workers stay for later tasks of other stages, and what they hold counts there.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit numbers (the SplitMix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
