@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from corpusmill.functions import text as X
+from corpusmill.operators.graph import cut
 
 K1, B = 1.2, 0.75
 #: What each retriever adds to a text score (fixed values).
@@ -94,32 +95,45 @@ def lexical(chunks: DataFrame, queries: DataFrame, fuzzy: bool = False, digits:
     """(query_id, chunk_id, score, rank, matched, reasons): chunks (chunk_id, path, symbol, chunk_type, haystack) with a score over 0.
 
     BM25, 0.65 times the lexical score, 0.8 times the fuzzy score, and extras for the
-    question's type, a named symbol or path, endpoints and logins. Queries with their
-    weighted terms are broadcast: they are a stated set; one pass over the chunks scores all.
+    question's type, a named symbol or path, endpoints and logins.
+
+    A term holds no character that parts tokens, so a haystack holds it exactly where one of
+    its tokens does. Terms are therefore looked for in the distinct tokens, which grow far
+    slower than the chunks, and the rest is an equi-join of postings.
     """
-    asked = F.broadcast(weighted_queries(chunks, queries))
-    have = chunks.select("chunk_id", "path", X.empty(F.col("symbol")).alias("symbol"), "chunk_type", "haystack", X.tokens(F.col("haystack")).alias("tokens"))
-    names = F.transform("terms", lambda t: t["term"])
+    asked = F.broadcast(cut(weighted_queries(chunks, queries)))  # a row for each query, used four times
+    terms = F.broadcast(asked.select("query_id", "avg_tokens", F.explode("terms").alias("t")).select("query_id", "avg_tokens", "t.pos", "t.term", "t.idf"))
+    have = chunks.select("chunk_id", X.tokens(F.col("haystack")).alias("tokens"))
+    posts = have.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    words = posts.select("token").distinct().join(F.broadcast(terms.select("term").distinct()), F.col("token").contains(F.col("term")))
+    hits = posts.join(words, "token").groupBy("chunk_id", "length", "term").agg(F.count_if(F.col("token") == F.col("term")).alias("tf"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("avg_tokens", F.lit(1.0)))
+    one = F.when(F.col("tf") > 0, F.col("idf") * F.col("tf") * (K1 + 1) / norm + 0.65 * 2.0).otherwise(0.65 * 0.75)
+    scored = hits.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(one).alias("base"), F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("m"))
+    scored = scored.select("query_id", "chunk_id", "base", F.array_join(F.transform("m", lambda x: x["term"]), " ").alias("matched"))
+
     hay, low = F.col("haystack"), F.lower("query")
-    some = F.exists(names, lambda t: hay.contains(t))
+    facts = chunks.select("chunk_id", "path", X.empty(F.col("symbol")).alias("symbol"), "chunk_type", (hay.contains("login") | hay.contains("auth")).alias("_login"))
+    shown = asked.select("query_id", "query", "kind")
     boost = X.chunk_boost(F.col("kind"), F.col("chunk_type"))
-    base = bm25(F.col("terms"), F.col("tokens"), F.col("avg_tokens")) + 0.65 * X.lexical_score(names, hay, F.col("tokens")) + boost
+    typed = facts.filter(F.col("chunk_type").isin(*{c for by in X.CHUNK_BOOSTS.values() for c in by})).join(shown, boost > 0)
+    gate = facts.filter("_login").join(shown.filter(low.contains("login")))
+    more = typed.union(gate).select("query_id", "chunk_id", F.lit(0.0).alias("base"), F.lit("").alias("matched"))
+    if fuzzy:
+        wanted = queries.select("query_id", F.explode(X.query_terms(F.col("query"))).alias("term"))
+        near = fuzzy_scores(wanted, posts.select(F.col("chunk_id").alias("id"), "token"))
+        more = more.union(near.select("query_id", F.col("id"), 0.8 * F.col("fuzzy"), F.lit("")))
+    pairs = scored.union(more).groupBy("query_id", "chunk_id").agg(F.sum("base").alias("base"), F.max("matched").alias("matched")) if fuzzy else scored.union(more.join(scored, ["query_id", "chunk_id"], "left_anti").distinct())
+    pairs = pairs.join(facts, "chunk_id").join(shown, "query_id")
     named = (F.col("symbol") != "") & low.contains(F.lower("symbol"))
     at_path = low.contains(F.lower("path"))
-    endpoint = (F.col("chunk_type") == "endpoint") & some
-    login = low.contains("login") & (hay.contains("login") | hay.contains("auth"))
-    # most pairs share nothing; they go before anything is scored
-    pairs = have.join(asked, some | named | at_path | login | (boost > 0) | F.lit(fuzzy))
-    extra = sum(F.when(c, v).otherwise(0.0) for c, v in ((named, 3.0), (at_path, 3.0), (endpoint, 1.0), (login, 3.0)))
-    pairs = pairs.withColumn("score", base + extra)
-    if fuzzy:
-        terms = queries.select("query_id", F.explode(X.query_terms(F.col("query"))).alias("term"))
-        extra_rows = fuzzy_scores(terms, have.select(F.col("chunk_id").alias("id"), F.explode("tokens").alias("token"))).withColumnRenamed("id", "chunk_id")
-        pairs = pairs.join(extra_rows, ["query_id", "chunk_id"], "left").withColumn("score", F.col("score") + 0.8 * F.coalesce("fuzzy", F.lit(0.0)))
+    endpoint = (F.col("chunk_type") == "endpoint") & (F.col("matched") != "")
+    login = low.contains("login") & F.col("_login")
+    extra = boost + sum(F.when(c, v).otherwise(0.0) for c, v in ((named, 3.0), (at_path, 3.0), (endpoint, 1.0), (login, 3.0)))
     codes = [(F.lit(True), "lexical_chunk_match"), (named, "exact_symbol_in_query"), (at_path, "exact_file_in_query"), (endpoint, "endpoint_term_match"), (login, "login_auth_compatibility_boost")]
     reasons = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(v)) for c, v in codes])), ",")
-    kept = pairs.withColumn("score", F.round("score", digits)).filter("score > 0")
-    return rank(kept.select("query_id", "chunk_id", "score", F.array_join(X.matched_terms(names, hay), " ").alias("matched"), reasons.alias("reasons")), ["query_id"])
+    kept = pairs.withColumn("score", F.round(F.col("base") + extra, digits)).filter("score > 0")
+    return rank(kept.select("query_id", "chunk_id", "score", "matched", reasons.alias("reasons")), ["query_id"])
 
 
 def text_score(rows: DataFrame, queries: DataFrame, offset: float, key: str = "chunk_id", fuzzy: bool = False) -> DataFrame:
