@@ -32,7 +32,7 @@ from corpusmill.llm.words import PIECE, Words, _K, mix, pieces, rolling, tidy
 FLUSH, WORK = 28 << 20, 1 << 20
 #: Slots for each shuffle partition; loads of this many windows never make a slot hot.
 SLOTS, CALM = 32, 1 << 16
-CHUNK = 4096
+CHUNK, RUN = 4096, 64
 
 
 def minimisers(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +57,15 @@ def slot_of(low: np.ndarray, slots: int) -> np.ndarray:
 
 
 def super_kmers(at: np.ndarray, low: np.ndarray, slots: int, hot: np.ndarray, want: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window of each run that shares a minimiser, and its slot; runs of hot slots or, not ``want``, of others."""
-    start = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1]))[: len(at)])
+    """First and last window of each run that shares a minimiser, and its slot; runs of hot slots or, not ``want``, of others.
+
+    Where words repeat a run can be as long as its text; it is cut after ``RUN`` windows.
+    """
+    new = np.append(True, (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1]))[: len(at)]
+    start = np.flatnonzero(new)
+    if len(start) and np.diff(np.append(start, len(at))).max() > RUN:
+        new |= (np.arange(len(at)) - start[np.cumsum(new) - 1]) % RUN == 0
+        start = np.flatnonzero(new)
     end = np.append(start[1:], len(at)) - 1 if len(at) else start
     slot = slot_of(low[start], slots)
     kept = np.isin(slot, hot) == want
