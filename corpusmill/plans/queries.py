@@ -1227,3 +1227,107 @@ def contract_violations(spark, sf_dir):
     d = L.table(spark, sf_dir, "documents")
     rules = {"source_shape": col("source").rlike("^src[0-9]$"), "size": col("n_chars") <= 3000, "language": col("lang").isin("en", "fr"), "length": F.length("text") == col("n_chars")}
     return FI.violations(d, rules, "doc_id")
+
+
+# --- candidates, contracts, transcripts ------------------------------------------------------------------------------------------------
+
+from corpusmill.operators import assistant as AS  # noqa: E402
+from corpusmill.operators import candidates as CA  # noqa: E402
+from corpusmill.operators import contracts as CO  # noqa: E402
+
+_CANDIDATES = """cnd AS (SELECT seq, 'edge' AS kind, NULL AS type, source || '|' || type || '|' || target AS key, CASE WHEN seq % 11 = 0 THEN target ELSE source END AS source, CASE WHEN seq % 11 = 0 THEN source ELSE target END AS target,
+    CASE WHEN seq % 11 = 0 AND type = 'calls' THEN 'calls' WHEN seq % 13 = 0 THEN 'odd' ELSE type END AS relation, CASE WHEN seq % 17 = 0 THEN 'guess' ELSE 'parser' END AS producer, CASE WHEN seq % 19 <> 0 THEN 'own' END AS owner, confidence + CASE WHEN seq % 23 = 0 THEN 1 ELSE 0 END AS confidence, CASE WHEN seq % 29 = 0 THEN 'a' ELSE 'b' END AS digest FROM edges WHERE seq < 500000000
+  UNION ALL SELECT 0, 'node', type, id, NULL, NULL, NULL, 'parser', 'own', 1.0, 'b' FROM nodes)"""
+
+
+def _graph_candidates(spark, sf_dir):
+    n, e = _graph(spark, sf_dir)
+    s = col("seq")
+    turned = s % 11 == 0
+    edges = e.filter("seq < 500000000").select(
+        "seq", lit("edge").alias("kind"), lit(None).cast("string").alias("type"), F.concat_ws("|", "source", "type", "target").alias("key"), F.when(turned & (col("type") != "calls"), col("target")).otherwise(col("source")).alias("source"),
+        F.when(turned & (col("type") != "calls"), col("source")).otherwise(col("target")).alias("target"), F.when(turned & (col("type") == "calls"), "called_by").when(s % 13 == 0, "odd").otherwise(col("type")).alias("relation"),
+        F.when(s % 17 == 0, "guess").otherwise("parser").alias("producer"), F.when(s % 19 != 0, "own").alias("owner"), (col("confidence") + F.when(s % 23 == 0, 1).otherwise(0)).alias("confidence"), F.when(s % 29 == 0, "a").otherwise("b").alias("digest"),
+    )
+    none = lit(None).cast("string")
+    return edges.unionByName(n.select(lit(0).cast("long").alias("seq"), lit("node").alias("kind"), "type", col("id").alias("key"), none.alias("source"), none.alias("target"), none.alias("relation"), lit("parser").alias("producer"), lit("own").alias("owner"), lit(1.0).alias("confidence"), lit("b").alias("digest")))
+
+
+_NORMAL = _CANDIDATES + """, ids AS (SELECT id FROM nodes), chk AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY seq) AS nth, count(DISTINCT digest) OVER (PARTITION BY kind, key) AS dig FROM cnd),
+told AS (SELECT seq, kind, key, CASE WHEN producer = 'guess' THEN 'unknown_producer' WHEN owner IS NULL THEN 'owner_missing' WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence_range' WHEN kind = 'edge' AND relation = 'odd' THEN 'unknown_relation' WHEN kind = 'edge' AND (source NOT IN (SELECT id FROM ids) OR target NOT IN (SELECT id FROM ids)) THEN 'dangling' WHEN dig > 1 THEN 'conflict' WHEN confidence < 0.6 THEN 'low_confidence' WHEN nth > 1 THEN 'duplicate' END AS issue FROM chk)"""
+
+
+@query(with_sql(["nodes", "edges"], _NORMAL + " SELECT seq, key, CASE WHEN issue IS NULL THEN 'active' WHEN issue = 'duplicate' THEN 'duplicate' ELSE 'rejected' END AS status, issue FROM told WHERE kind = 'edge'"))
+def graph_candidates(spark, sf_dir):
+    """Status and issue of every edge candidate."""
+    return CA.normalise(_graph_candidates(spark, sf_dir), 0.6).filter("kind = 'edge'").select("seq", "key", "status", "issue")
+
+
+@query(with_sql(["nodes", "edges"], _NORMAL + " SELECT count(*) AS issues, count(*) FILTER (issue = 'conflict') AS critical FROM told WHERE issue IS NOT NULL AND issue <> 'duplicate'"))
+def candidate_issues(spark, sf_dir):
+    return CA.issues(CA.normalise(_graph_candidates(spark, sf_dir), 0.6))[1]
+
+
+@query("SELECT l.l_orderkey * 10 + l.l_linenumber AS call_id, a.arg AS source, p.nm AS target FROM lineitem l, (VALUES (0, 'x'), (1, 'y'), (2, 'z')) a(n, arg), (VALUES (0, 'first'), (1, 'second')) p(n, nm) WHERE a.n = p.n AND l_linenumber <= 2")
+def argument_binding(spark, sf_dir):
+    """Arguments of calls bound to parameters by place."""
+    calls = L.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select((col("l_orderkey") * 10 + col("l_linenumber")).alias("call_id"), lit("f").alias("callee"), F.array(lit("x"), lit("y"), lit("z")).alias("arguments"))
+    return CA.bind_arguments(calls, spark.createDataFrame([("f", ["self", "first", "second"])], "callee string, names array<string>"))
+
+
+@query("WITH r AS (SELECT o_orderkey AS ref_id, o_custkey % 7 AS caller, o_orderstatus AS name, (o_orderkey % 5)::INT AS line, row_number() OVER (PARTITION BY o_custkey % 7, o_orderstatus, o_orderkey % 5 ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 3 = 0), e AS (SELECT o_orderkey AS expr_id, o_custkey % 7 AS caller, o_orderstatus AS name, (o_orderkey % 5)::INT AS line, row_number() OVER (PARTITION BY o_custkey % 7, o_orderstatus, o_orderkey % 5 ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 4 = 0) SELECT ref_id, expr_id FROM r JOIN e USING (caller, name, line, n)")
+def call_pairs(spark, sf_dir):
+    o = L.table(spark, sf_dir, "orders").select("o_orderkey", (col("o_custkey") % 7).alias("caller"), col("o_orderstatus").alias("name"), (col("o_orderkey") % 5).cast("int").alias("line"))
+    return CA.pair_calls(o.filter("o_orderkey % 3 = 0").withColumnRenamed("o_orderkey", "ref_id"), o.filter("o_orderkey % 4 = 0").withColumnRenamed("o_orderkey", "expr_id"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'hybrid_retrieval' WHEN turn % 2 = 0 THEN 'exact_lookup' ELSE 'exact_lookup,hybrid_retrieval' END AS tools FROM conversations")
+def tool_plans(spark, sf_dir):
+    m = L.table(spark, sf_dir, "conversations")
+    return m.select("conv_id", "turn", AS.tools(F.when(col("turn") % 3 == 0, "flow_tracing").otherwise("code_question"), col("turn") % 2 == 0).alias("tools"))
+
+
+@query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE conv_id % 5 <> 0) WHERE n <= 3")
+def transcripts(spark, sf_dir):
+    m = L.table(spark, sf_dir, "conversations").withColumn("deleted", col("conv_id") % 5 == 0)
+    return AS.transcript(m, 3).select("conv_id", "turn", "position")
+
+
+@query("SELECT conv_id, count(*) AS n FROM (SELECT DISTINCT ON (conv_id, role, lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) conv_id FROM conversations) GROUP BY 1")
+def distinct_calls(spark, sf_dir):
+    """Different questions of each conversation, as equal tool calls are made once."""
+    m = L.table(spark, sf_dir, "conversations").select(col("conv_id").alias("turn_id"), col("turn").alias("seq"), col("role").alias("tool"), col("text").alias("query"))
+    return AS.distinct_calls(m).groupBy(col("turn_id").alias("conv_id")).agg(F.count("*").alias("n"))
+
+
+@query(
+    with_sql(
+        ["files"],
+        "a AS (SELECT seq AS anchor_id, CASE WHEN seq % 7 = 0 THEN 'gone' ELSE path END AS path, CASE WHEN seq % 5 = 0 THEN 'old' ELSE content_hash END AS h, (seq % 4)::INT AS s, (seq % 9)::INT AS e, CASE WHEN seq % 2 = 0 THEN CASE WHEN seq % 3 = 0 THEN 'f' ELSE 'g' END END AS symbol FROM files) SELECT anchor_id, CASE WHEN f.path IS NULL THEN 'file_unknown' WHEN a.h <> f.content_hash THEN 'hash_changed' WHEN s < 1 OR e < s OR e > len(string_split(content, chr(10))) THEN 'range_invalid' WHEN symbol = 'g' THEN 'symbol_unknown' END AS error FROM a LEFT JOIN files f USING (path)",
+    )
+)
+def anchor_checks(spark, sf_dir):
+    f = L.files(spark, sf_dir)
+    s = col("seq")
+    anchors = f.select(s.alias("anchor_id"), F.when(s % 7 == 0, "gone").otherwise(col("path")).alias("path"), F.when(s % 5 == 0, "old").otherwise(col("content_hash")).alias("file_hash"), (s % 4).cast("int").alias("start_line"), (s % 9).cast("int").alias("end_line"), F.when(s % 2 == 0, F.when(s % 3 == 0, "f").otherwise("g")).alias("symbol"))
+    return AS.anchor_error(anchors, f, f.select("path", lit("f").alias("name")))
+
+
+@query(with_sql(["before"], "SELECT file_key, unnest(list_filter([CASE WHEN byte_size * (length(path) % 2 * 2 - 1) < 0 THEN 'size_positive' END, CASE WHEN contains(path, 'en/') THEN 'path_plain' END], lambda x: x IS NOT NULL)) AS rule FROM before"))
+def fingerprint_contract(spark, sf_dir):
+    """Fingerprints that break their contract; a rule makes some sizes negative and some paths absolute."""
+    b = L.snapshots(spark, sf_dir)[0].withColumn("byte_size", col("byte_size") * (F.length("path") % 2 * 2 - 1)).withColumn("path", F.when(col("path").contains("en/"), F.concat(lit("/"), "path")).otherwise(col("path")))
+    return FI.violations(b, CO.fingerprints(), "file_key")
+
+
+@query("SELECT vec_id, r AS rule FROM (SELECT vec_id, unnest(CASE WHEN vec_id % 7 = 0 THEN ['dimension'] WHEN vec_id % 11 = 0 THEN ['norm'] ELSE [] END) AS r FROM embeddings)")
+def vector_contract(spark, sf_dir):
+    v = L.table(spark, sf_dir, "embeddings")
+    e = F.when(col("vec_id") % 7 == 0, F.slice("embedding", 1, 5)).when(col("vec_id") % 11 == 0, F.transform("embedding", lambda x: (x * 0).cast("float"))).otherwise(col("embedding"))
+    return FI.violations(v.withColumn("embedding", e), CO.vectors(64), "vec_id")
+
+
+@query("SELECT c_nationkey AS nation, round(count(*) FILTER (c_acctbal > 0) / count(*), 6) AS coverage FROM customer GROUP BY 1")
+def coverage_shares(spark, sf_dir):
+    c = L.table(spark, sf_dir, "customer").groupBy(col("c_nationkey").alias("nation")).agg(F.count_if(col("c_acctbal") > 0).alias("s"), F.count("*").alias("t"))
+    return c.select("nation", CO.coverage(col("s"), col("t")).alias("coverage"))
