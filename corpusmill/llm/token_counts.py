@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shared import cut
 from corpusmill.llm.words import pieces, tidy
 
 #: Where the vocabulary files are; a parameter of every function here.
@@ -84,6 +85,7 @@ def length_table(counted: DataFrame) -> DataFrame:
     orders all lengths, however many occur. An empty table gives an empty result.
     """
     rows = counted.select(F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("docs"))
+    rows = cut(rows)  # used twice; a row for each length
     rows = rows.withColumns({"_slice": F.floor(F.col("n_tokens") / SLICE), "_tokens": F.col("docs") * F.col("n_tokens")})
     slices = rows.groupBy("_slice").agg(F.sum("docs").alias("_sd"), F.sum("_tokens").alias("_st"))
     above = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
@@ -116,11 +118,11 @@ def tokens_at_limits(lengths: DataFrame, limits: list[int]) -> DataFrame:
     """(context, docs_cut, tokens_kept) for any context limits, from the table above."""
     spark = lengths.sparkSession
     asked = F.broadcast(spark.createDataFrame([(int(x),) for x in limits], "context long"))
-    cut: Column = F.greatest(F.col("n_tokens") - F.col("context"), F.lit(0))
+    lost: Column = F.greatest(F.col("n_tokens") - F.col("context"), F.lit(0))
     sums = lengths.select("n_tokens", "docs").crossJoin(asked).groupBy("context")
     return sums.agg(
         F.sum(F.when(F.col("n_tokens") > F.col("context"), F.col("docs")).otherwise(0)).alias("docs_cut"),
-        F.sum(F.col("docs") * (F.col("n_tokens") - cut)).alias("tokens_kept"),
+        F.sum(F.col("docs") * (F.col("n_tokens") - lost)).alias("tokens_kept"),
     )
 
 
