@@ -434,8 +434,23 @@ def dense_topk(spark, sf_dir):
     return R.dense(v, v.filter("vec_id % 50 = 0"), 10)
 
 
+_KEPT: dict[tuple[str, str], DataFrame] = {}
+
+
 def _candidates(spark, sf_dir) -> DataFrame:
-    """Lexical and sparse candidates of all questions; the entity is the line, the source the document."""
+    """Lexical and sparse candidates of all questions, written once for a session and table set.
+
+    Search, its metrics, gates and evidence all start from this table: 60 rows a question and
+    retriever at most.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        _KEPT[key] = G.cut(_retrieved(spark, sf_dir))
+    return _KEPT[key]
+
+
+def _retrieved(spark, sf_dir) -> DataFrame:
+    """Candidates of both retrievers; the entity is the line, the source the document."""
     chunks = _chunk_rows(spark, sf_dir)
     q = L.questions(spark, sf_dir)
     lex = R.lexical(chunks, q).filter("rank <= 60").select("query_id", "chunk_id", "rank", lit("lexical").alias("retriever"), F.array(lit("lexical_chunk_match")).alias("reasons"))
