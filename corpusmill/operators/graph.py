@@ -231,7 +231,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: st
     ``depth`` is 6 at most. Each level joins the frontier with the edges and takes off what
     has been seen, so no path is followed twice.
     """
-    step = _both(with_ends(nodes, edges), direction)
+    step = cut(_both(with_ends(nodes, edges), direction))  # joined once a level
     seen = nodes.select("id").join(roots.select("id").distinct(), "id", "left_semi").distinct().withColumn("depth", F.lit(0))
     front = seen
     for level in range(1, min(depth, MAX_DEPTH) + 1):
