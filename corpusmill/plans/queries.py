@@ -434,7 +434,7 @@ def dense_topk(spark, sf_dir):
     return R.dense(v, v.filter("vec_id % 50 = 0"), 10)
 
 
-_KEPT: dict[tuple[str, str], DataFrame] = {}
+_KEPT: dict[tuple, DataFrame] = {}
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
@@ -443,7 +443,7 @@ def _candidates(spark, sf_dir) -> DataFrame:
     Search, its metrics, gates and evidence all start from this table: 60 rows a question and
     retriever at most.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "candidates")
     if key not in _KEPT:
         _KEPT[key] = G.cut(_retrieved(spark, sf_dir))
     return _KEPT[key]
@@ -583,7 +583,12 @@ _EDGE_COLS = "source, target, type, confidence, evidence_level"
 
 
 def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return L.nodes(spark, sf_dir), L.edges(spark, sf_dir)
+    """Nodes and edges, written once for a session and table set: unions of seven and nine tables."""
+    for kind, lifted in (("nodes", L.nodes), ("edges", L.edges)):
+        key = (spark.sparkContext.applicationId, sf_dir, kind)
+        if key not in _KEPT:
+            _KEPT[key] = G.cut(lifted(spark, sf_dir))
+    return tuple(_KEPT[spark.sparkContext.applicationId, sf_dir, kind] for kind in ("nodes", "edges"))
 
 
 def _shown(edges: DataFrame) -> DataFrame:
