@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import connected_components, joined
-from corpusmill.llm.shared import cut
+from corpusmill.llm.decontaminate import shingles
+from corpusmill.llm.shared import cut, partitions
 from corpusmill.llm.words import Words, mix, pieces, tidy
 
 #: Pairs of nodes in work at a time, and rows under a pair of nodes from which rows are compared one by one.
@@ -280,63 +281,145 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, crowd: int
 
 # --- similarity of shingle sets ---------------------------------------------------------------
 
-#: 64-bit words of a sketch; bits that a table of keys takes from it; tables.
-WIDE, TABLES = 4, 24
+#: Documents in which frequent shingles are counted, and shingles that are held as frequent.
+SAMPLE, FREQUENT = 8000, 100_000
 
 
-def plan(rows: int) -> tuple[int, int]:
-    """Bits of a key and its error budget for so many different sketches.
+def _distinct(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all rows, each row's sorted, and the row of each."""
+    hashes, first = shingles(texts, size)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))[: len(hashes)]
+    return hashes[new], row[new]
 
-    A key has four bits more than numbers the rows, so chance meetings grow no faster than
-    the rows; the budget is the errors that similar sketches make in most of ``TABLES`` keys.
-    """
-    bits = min(60, max(20, (max(rows, 1) - 1).bit_length() + 4))
-    return bits, max(1, bits // 10 - 1)
+
+def _nodes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each set of hashes, equal for equal sets; 0 for empty ones."""
+    counts = np.diff(first)
+    out, full = np.zeros(len(counts), np.uint64), np.flatnonzero(counts > 0)
+    if len(full):
+        out[full] = mix(np.add.reduceat(mix(hashes ^ np.uint64(0x9E3779B97F4A7C15)), first[full]) + counts[full].astype(np.uint64))
+    return out.view(np.int64)
 
 
-def _keys(bits: int) -> list[list[tuple[int, int]]]:
-    """For each table the (word, bit) places of its key, drawn once and for all."""
-    rng = np.random.default_rng(20)
-    return [[(int(b) // 64, int(b) % 64) for b in rng.permutation(64 * WIDE)[:bits]] for _ in range(TABLES)]
+def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _key_rows(bits: int):
-    places = _keys(bits)
+def _prefixer(size: int, similar: float, frequent: np.ndarray, weights: np.ndarray):
+    """Rows (doc_id, text) to (doc_id, node, n, prefix): the set's number, its size, and its first shingles in one order for all."""
 
     def run(batches):
         for batch in batches:
-            sketch = np.stack([batch.column(f"f{k}").to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
-            for table, some in enumerate(places):
-                key = np.zeros(len(sketch), np.uint64)
-                for word, bit in some:
-                    key = key << np.uint64(1) | sketch[:, word] >> np.uint64(bit) & np.uint64(1)
-                cols = [pa.array(np.full(len(key), table, np.int32)), pa.array(key.view(np.int64)), batch.column("node")]
-                yield pa.RecordBatch.from_arrays([*cols, *(batch.column(f"f{k}") for k in range(WIDE))], ["table", "key", "node", *(f"f{k}" for k in range(WIDE))])
+            for piece in pieces(batch, "text"):
+                hashes, row = _distinct(piece.column("text"), size)
+                first = np.searchsorted(row, np.arange(piece.num_rows + 1))
+                node, n = _nodes(hashes, first), np.diff(first)
+                weight = np.zeros(len(hashes), np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+                    weight = np.where(frequent[at] == hashes, weights[at], 0)
+                order = np.lexsort((hashes, weight, row))
+                long = np.where(n > 0, n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1, 0)
+                inside = np.arange(len(hashes)) - first[row] < long[row]
+                lists = _lists(hashes[order][inside], np.concatenate([[0], np.cumsum(long)]))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(node), pa.array(n, pa.int32()), lists], ["doc_id", "node", "n", "prefix"])
+
+    return tidy(run)
+
+
+def _setter(size: int):
+    """Rows (doc_id, text) to (node, shingles): the set's number and the set."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                hashes, row = _distinct(piece.column("text"), size)
+                first = np.searchsorted(row, np.arange(piece.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(hashes, first)), _lists(hashes, first)], ["node", "shingles"])
 
     return tidy(run)
 
 
-def similar_documents(docs: DataFrame, size: int = 5, similar: float = 0.8, **names) -> DataFrame:
+def _keyed(size: int):
+    """Rows (doc_id, text) to (node, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                hashes, row = _distinct(piece.column("text"), size)
+                node = _nodes(hashes, np.searchsorted(row, np.arange(piece.num_rows + 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(node), piece.column("text")], ["node", "text"])
+
+    return tidy(run)
+
+
+def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that recur in a sample of about ``SAMPLE`` documents, and how often."""
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    counts = some.mapInArrow(_setter(size), "node long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count()
+    got = sorted((r[0] % (1 << 64), r[1]) for r in counts.filter("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT).collect())
+    return np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got], np.int64)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets have an exact Jaccard similarity of ``similar`` or more."""
+    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
+    both, total = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
+    return cut(pairs.join(a, "a").join(b, "b").filter(both * (1 + similar) >= similar * total - 1e-9).select("a", "b"))
+
+
+def _similar_nodes(docs: DataFrame, prints: DataFrame, size: int, similar: float) -> DataFrame:
+    """Edges (a, b) that join the nodes of ``prints`` as all pairs of ``similar`` or more do."""
+    n = partitions(docs.sparkSession)
+    alone = prints.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = alone.select(F.explode("prefix").alias("token"), "node", "n").repartition(n, "token")
+    shared = rows.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
+    live = cut(rows.join(shared, "token"))
+    # texts are moved, which compress, and their sets made again where they are wanted
+    texts = docs.mapInArrow(_keyed(size), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+    sets = cut(texts.join(live.select("node").distinct(), "node", "left_semi").mapInArrow(_setter(size), "node long, shingles array<long>"))
+    fit = F.least("n", "m") >= similar * F.greatest("n", "m") - 1e-9
+    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    # first each document with the one that shares most of those it meets: in a group of copies, what they are copies of
+    central = live.groupBy("node").agg(F.sum("held").alias("weight"))
+    chosen = live.join(central, "node").groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("_p"))
+    chosen = chosen.select("token", F.col("_p.weight").alias("weight"), F.col("_p.node").alias("other"), F.col("_p.n").alias("m"))
+    met = live.join(chosen, "token").filter((F.col("node") != F.col("other")) & fit).groupBy("node").agg(F.max(F.struct("weight", "other")).alias("_p"))
+    tried = cut(met.select("node", F.col("_p.other").alias("other")).select(*pair).distinct())
+    edges = _verified(tried, sets, similar)
+    # then all pairs of a token that are not joined yet; what lies behind a prefix is under ceil(similar n), so too few in common before it are never enough
+    rooted = live.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b").select("token")
+    left = cut(rooted.join(apart, "token", "left_semi").select("token", "node", "n", "root"))
+    right = left.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("_root"))
+    rest = left.join(right, "token").filter((F.col("node") < F.col("other")) & (F.col("root") != F.col("_root")) & fit)
+    rest = rest.groupBy(*pair).agg(F.count("*").alias("both"), F.first(F.col("n") + F.col("m")).alias("total"), F.first(F.greatest("n", "m")).alias("most"))
+    behind = F.ceil(similar * F.col("most") - 1e-9) - 1
+    rest = rest.filter((F.col("both") + behind) * (1 + similar) >= similar * F.col("total") - 1e-9).select("a", "b")
+    return edges.union(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, similar))
+
+
+def similar_documents(docs: DataFrame, size: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) per document: documents link whose shingle sets are alike by ``similar`` or more.
 
-    The similarity (Jaccard) of two sets of ``size``-word shingles is read off SimHash
-    sketches of 256 bits: a share p of differing bits means a cosine of cos(pi p), which sets
-    of a similarity s have at 2s / (1 + s). Its error is about 0.03. Pairs to compare are
-    found by trie self-joins of ``TABLES`` keys drawn from the sketch's bits; a pair at the
-    threshold itself is missed with a chance of some percent, nearer ones hardly ever.
-    Documents of equal sketches are one node of the join. Texts of no words are alike.
-    A null doc_id takes part but is no component_id.
+    The similarity (Jaccard) of two sets of ``size``-word shingles is exact, and every pair
+    that reaches it is joined, at any number of documents: with all shingles in one order,
+    such sets of n have one in common among the first n - ceil(similar n) + 1 of each. That
+    order has the shingles last that are frequent in a sample, so that few documents share
+    one; it decides on the work only. Of the documents that share one, each is verified
+    with one at most, and then all pairs that are in no common component yet and have
+    enough in common there. Documents of
+    equal sets are one node. Texts of no words are alike. A null doc_id takes part but is
+    no component_id. Shingles and sets are told apart by 64-bit hashes.
     """
-    prints = cut(fingerprints(docs, size, WIDE - 1, distinct=True, **names))
-    sketch = [f"f{k}" for k in range(WIDE)]
-    classes = cut(prints.groupBy(*sketch).agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
-    bits, budget = plan(classes.count())
-    share = float(np.arccos(2 * similar / (1 + similar)) / np.pi)
-    far = round(64 * WIDE * share + 1.5 * (64 * WIDE * share * (1 - share)) ** 0.5)
-    kinds = ", ".join(["table int, key long, node long", *(f"{c} long" for c in sketch)])
-    edges = links(classes.select("node", *sketch).mapInArrow(_key_rows(bits), kinds), bits, budget, far)
-    numbered = prints.join(classes.select("node", *sketch), sketch)
-    return components(numbered.select("doc_id", "node"), edges, "node").select("doc_id", "component_id")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    run = _prefixer(size, similar, *_frequent(docs, size))
+    prints = cut(docs.mapInArrow(run, f"doc_id {kind}, node long, n int, prefix array<long>"))
+    return components(prints.select("doc_id", "node"), _similar_nodes(docs, prints, size, similar), "node").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
