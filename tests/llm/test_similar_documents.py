@@ -42,6 +42,11 @@ def test_every_pair_at_the_threshold_is_joined(spark):
     assert [k for k in range(300) if found[2 * k + 1] != 2 * k] == []
 
 
+def test_no_pair_below_the_threshold_is_joined(spark):
+    found = groups(spark, [t for p in pairs(0.7, 0.8, 300, 2) for t in p])
+    assert [d for d, c in found.items() if c != d] == []
+
+
 @pytest.mark.parametrize("frequent", [100_000, 0])
 def test_groups_of_copies_and_of_one_template(spark, frequent, monkeypatch):
     """Copies of one text that are alike only to it, and texts that share six tenths with each other."""
