@@ -5,7 +5,9 @@ shingles as an item has. Its similarity to the item is weighted: sum of the smal
 of the larger of the two counts of each shingle. A similarity of s needs a share of
 2s / (1 + s) of the window's shingles to be the item's, so windows with fewer are passed over
 without loss; all others get a fingerprint of 128 bits, in which each bit is the majority of
-that bit over the shingles' hashes.
+that bit over the shingles' hashes. A document of fewer shingles than an item is its one
+window for that item: it needs a share of s / (1 + s) of its and the item's shingles, and is
+verified without a look-up.
 
 Fingerprints are looked up by multi-index hashing: eight blocks of 16 bits, of which one is
 within ``RADIUS // 8`` bits in any two fingerprints within ``RADIUS``. Items stand in a table
@@ -103,8 +105,14 @@ class Items:
         done: dict[tuple[int, int], set[int]] = {}
         for k, at in places.items():
             size = len(self.runs[k])
-            need = int(np.ceil(2 * self.similar / (1 + self.similar) * size - 1e-9))
-            if size > len(h) or len(at) < need:
+            need = int(np.ceil(self.similar / (1 + self.similar) * (size + min(size, len(h))) - 1e-9))
+            if len(at) < need:
+                continue
+            if size > len(h):  # the whole document is the window
+                both = sum((Counter(h.tolist()) & self.counts[k]).values())
+                s = both / (size + len(h) - both)
+                if s >= self.similar:
+                    best[k] = (-s, 0, int(np.bitwise_count(self.prints[k] ^ fingerprint(h[None])[0]).sum()))
                 continue
             mine = np.zeros(len(h) + 1, np.int64)
             mine[np.array(at) + 1] = 1
@@ -144,7 +152,8 @@ def matches(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius:
 
     Words are runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased. Items of fewer than five words
     are one shingle and match documents that are those words; null and empty items and texts
-    match nothing. Rows with a null doc_id or repeated rows are matched like any other. Ties
+    match nothing. Where the text has fewer shingles than the item, the whole text is the
+    window, so a shortened item is found too. Rows with a null doc_id or repeated rows are matched like any other. Ties
     go to the earlier window. ``first_word`` counts from 0. Other columns are left out.
     """
     spark = docs.sparkSession

@@ -66,3 +66,23 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.matches(none, some).count() == 0
     assert decontaminate.matches(some.withColumnRenamed("item_id", "doc_id"), some.limit(0)).count() == 0
+
+
+def test_documents_shorter_than_the_item(spark):
+    """An item shortened by some words, as the whole text: the text is the window."""
+    words = [f"w{k}" for k in range(30)]
+    docs = [(n, " ".join(words[: 30 - n])) for n in range(9)] + [(20 + n, " ".join(words[n:])) for n in range(9)] + [(40, " ".join(words[:14] + words[15:])), (41, " ".join(words[:10]))]
+    docs += [(50, "a " * 20), (51, "a " * 29), (52, "w3 " * 25), (53, "")]
+    items = [(7, " ".join(words)), (8, "a " * 30)]
+    want = {}
+    for d, t in docs:
+        for k, i in items:
+            h, g = Counter(runs(t)), Counter(runs(i))
+            both = sum((h & g).values())
+            s = both / (sum(h.values()) + sum(g.values()) - both)
+            if s >= 0.8:
+                want[d, k] = (0, round(s, 9))
+    assert {1, 5, 25, 51} <= {d for d, _ in want} and not {6, 40, 41, 50} & {d for d, _ in want}
+    given, of = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): (r.first_word, round(r.similarity, 9)) for r in decontaminate.matches(given, of).collect()} == want
+    assert {r.doc_id for r in decontaminate.without_benchmark(given, of).collect()} == {d for d, _ in docs} - {d for d, _ in want}
