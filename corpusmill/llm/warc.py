@@ -36,6 +36,8 @@ _ARROW = pa.schema(
     + [("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("profile", pa.string()), ("refers_to", pa.string())]
 )
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+#: The profile as files of either version name it.
+NOT_MODIFIED_URIS = (NOT_MODIFIED, "http://netpreserve.org/warc/1.0/revisit/server-not-modified")
 
 
 def canonical_url(url: Column) -> Column:
@@ -88,7 +90,9 @@ def as_of(rows: DataFrame, key: str, time: str, keep: Column, value: Column, tie
 
 
 def resolve_revisits(captures: DataFrame, seconds: int = SLICE) -> DataFrame:
-    """One row for each revisit of ``captures`` (columns of ``COLUMNS``): record_id, url_key, date, outcome, original_id, original_date, headers.
+    """One row for each server-not-modified revisit of ``captures`` (columns of ``COLUMNS``): record_id, url_key, date, outcome, original_id, original_date, headers.
+
+    The profile's URI is that of WARC/1.0 or 1.1; ``other_revisits`` has the revisits of other profiles.
 
     ``outcome``: ``resolved``; ``no_response`` (no full response from before: status 200 to
     299 but 206, type response, of the same canonical URL); ``validator_mismatch`` (both sides
@@ -104,7 +108,7 @@ def resolve_revisits(captures: DataFrame, seconds: int = SLICE) -> DataFrame:
         "record_id", "type", canonical_url(F.col("url")).alias("url_key"), "date", "status", lower_keys(F.col("headers")).alias("headers"), F.coalesce("profile", F.lit("")).alias("profile")
     )
     full = (F.col("type") == "response") & F.col("status").between(200, 299) & (F.col("status") != 206)
-    revisit = (F.col("type") == "revisit") & (F.col("profile") == NOT_MODIFIED)
+    revisit = (F.col("type") == "revisit") & F.col("profile").isin(*NOT_MODIFIED_URIS)
     rows = rows.filter(full | revisit).withColumn("_full", full)
     known = as_of(rows.filter("url_key is not null and date is not null"), "url_key", "date", F.col("_full"), F.struct("record_id", "date", "headers"), ["record_id"], seconds)
     lost = rows.filter("url_key is null or date is null").withColumn("_last", F.lit(None).cast(known.schema["_last"].dataType))
@@ -125,6 +129,15 @@ def resolve_revisits(captures: DataFrame, seconds: int = SLICE) -> DataFrame:
     )
 
 
+def other_revisits(captures: DataFrame) -> DataFrame:
+    """The revisits of another profile or none, in the columns of ``resolve_revisits``; their outcome is ``other_profile``."""
+    rows = captures.filter("type = 'revisit'").filter(~F.coalesce(F.col("profile").isin(*NOT_MODIFIED_URIS), F.lit(False)))
+    return rows.select(
+        "record_id", canonical_url(F.col("url")).alias("url_key"), "date", F.lit("other_profile").alias("outcome"), F.lit(None).cast("string").alias("original_id"),
+        F.lit(None).cast("timestamp").alias("original_date"), F.lit(None).cast("map<string,string>").alias("headers"),
+    )
+
+
 def with_payloads(resolved: DataFrame, captures: DataFrame) -> DataFrame:
     """``resolved`` with the payload of its original where it is resolved; a join by record_id, made only when payloads are wanted."""
     full = captures.filter("type = 'response'").select(F.col("record_id").alias("original_id"), "payload").dropDuplicates(["original_id"])

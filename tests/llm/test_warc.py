@@ -108,3 +108,15 @@ def test_payloads_and_pages(spark):
 
 def test_empty(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], warc.COLUMNS)).count() == 0
+
+
+def test_profiles_of_both_versions_and_others(spark):
+    at = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    row = lambda name, kind, hour, profile: (name, kind, "http://a.example/", at + datetime.timedelta(hours=hour), 200 if kind == "response" else 304, {"ETag": '"x"'}, None, profile, None)
+    old = "http://netpreserve.org/warc/1.0/revisit/server-not-modified"
+    digest = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+    rows = [row("r", "response", 0, None), row("v1", "revisit", 1, old), row("v2", "revisit", 2, warc.NOT_MODIFIED), row("d", "revisit", 3, digest), row("n", "revisit", 4, None)]
+    given = spark.createDataFrame(rows, warc.COLUMNS)
+    assert {(r.record_id, r.outcome, r.original_id) for r in warc.resolve_revisits(given).collect()} == {("v1", "resolved", "r"), ("v2", "resolved", "r")}
+    both = warc.resolve_revisits(given).unionByName(warc.other_revisits(given)).collect()
+    assert sorted((r.record_id, r.outcome) for r in both) == [("d", "other_profile"), ("n", "other_profile"), ("v1", "resolved"), ("v2", "resolved")]
