@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +20,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed now and kept in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df``, computed now and kept as a table in the shared folder.
+
+    A table, not a checkpoint: what a checkpoint knows about its plan makes the plans of
+    later rounds ever slower to optimise, and a table has sizes that joins can go by.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -9,17 +9,21 @@ Among ``budget + 1`` blocks of a fingerprint, one is equal in any two fingerprin
 the budget. So each rotation that brings one block to the front is joined with no errors
 allowed in the front block: its nodes at that depth are independent tasks, spread by a
 shuffle. A front block with more rows than ``crowd`` is split further down: its sub-nodes
-meet in pairs within the budget, each pair a task of its own.
+meet in pairs within the budget, each pair a task of its own; what is still crowded is dealt
+into parts, of which every two meet. Tasks come sorted and are worked on one after the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import connected_components, joined
@@ -68,19 +72,12 @@ def majority(hashes: np.ndarray, first: np.ndarray, extra: int = 0) -> np.ndarra
     return out
 
 
-def _fingerprinter(size: int, extra: int, distinct: bool):
+def _fingerprinter(size: int, extra: int):
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words = Words.of(piece.column("text"), lower=True)
                 hashes, first = shingle_hashes(words, size)
-                if distinct and len(hashes):
-                    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                    order = np.lexsort((hashes, row))
-                    hashes, row = hashes[order], row[order]
-                    new = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))
-                    hashes, row = hashes[new], row[new]
-                    first = np.searchsorted(row, np.arange(len(first)))
                 prints = majority(hashes, first, extra)
                 cols = [piece.column("doc_id"), *(pa.array(prints[:, k].view(np.int64)) for k in range(1 + extra))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"f{k}" for k in range(1 + extra))])
@@ -88,26 +85,28 @@ def _fingerprinter(size: int, extra: int, distinct: bool):
     return tidy(run)
 
 
-def fingerprints(docs: DataFrame, size: int = 3, extra: int = 0, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, extra: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, f0, ...) per document: 64-bit SimHash fingerprints as longs (the bits of an unsigned number).
 
     Words are runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased; shingles are ``size`` words,
-    repeats included unless ``distinct``. Null and empty texts have fingerprint 0. Long
+    repeats included. Null and empty texts have fingerprint 0. Long
     texts count whole. Repeated rows are kept, other columns are left out.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"f{k} long" for k in range(1 + extra))
-    return docs.mapInArrow(_fingerprinter(size, extra, distinct), schema)
+    return docs.mapInArrow(_fingerprinter(size, extra), schema)
 
 
-def trie_pairs(keys: np.ndarray, roots: tuple, top: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(keys: np.ndarray, roots: tuple, top: int, budget: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j of the rows under pairs of trie nodes that differ in at most ``budget`` bits.
 
     keys: rows sorted within each node; ``roots``: (a0, a1, b0, b1, spent) arrays, the nodes
     being rows a0:a1 and b0:b1 that share their bits from ``top`` up; a node may meet itself.
+    With ``label``, pairs of nodes whose rows all have one label are not gone into.
     """
     ones: dict[int, np.ndarray] = {}
+    turns = None if label is None else np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
     stack = [(top, *roots)]
     while stack:
         bit, a0, a1, b0, b1, spent = stack.pop()
@@ -115,6 +114,9 @@ def trie_pairs(keys: np.ndarray, roots: tuple, top: int, budget: int) -> Iterato
             half = len(a0) // 2
             stack += [(bit, *(x[half:] for x in (a0, a1, b0, b1, spent))), (bit, *(x[:half] for x in (a0, a1, b0, b1, spent)))]
             continue
+        if turns is not None:
+            mixed = (turns[a1 - 1] > turns[a0]) | (turns[b1 - 1] > turns[b0]) | (label[a0] != label[b0])
+            a0, a1, b0, b1, spent = (x[mixed] for x in (a0, a1, b0, b1, spent))
         small = (a1 - a0) * (b1 - b0) <= LEAF if bit else np.ones(len(a0), bool)
         if small.any():
             yield from _leaves(keys, *(x[small] for x in (a0, a1, b0, b1)), budget)
@@ -170,22 +172,41 @@ def _blocks(bits: int, budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _joiner(bits: int, budget: int, far: int | None):
-    """Rows (task, key, node, sketch...) of whole tasks to edges (a, b): a spanning forest of the links in them."""
+#: Rows of whole tasks that a worker takes at a time, unless one task alone has more.
+TASKS = 1 << 17
 
-    def run(batches):
-        got = list(batches)
-        if not sum(x.num_rows for x in got):
-            return
-        table = pa.Table.from_batches(got)
-        task, key, node = (table.column(c).to_numpy().astype(np.int64) for c in ("task", "key", "node"))
-        order = np.lexsort((key.view(np.uint64), task))
-        task, keys, node = task[order], key[order].view(np.uint64), node[order]
-        sketch = None
-        if far is not None:
-            names = [c for c in table.column_names if c.startswith("f")]
-            sketch = np.stack([table.column(c).to_numpy().view(np.uint64)[order] for c in names], axis=1)
-        lo = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+
+def _whole_tasks(batches) -> Iterator[pa.Table]:
+    """Tables of whole tasks (equal ``task`` and ``part``), which come sorted by these."""
+    have: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = [np.stack([x.column(c).to_numpy() for c in ("task", "part")]) for x in (batch, *have[:1])]
+        if held >= TASKS and (ids[1][:, 0] != ids[0][:, -1]).any():
+            edge = int(np.argmax((ids[0] == ids[0][:, -1:]).all(0)))
+            yield pa.Table.from_batches([*have, batch.slice(0, edge)])
+            have, held = [], 0
+            batch = batch.slice(edge)
+        have.append(batch)
+        held += batch.num_rows
+    if have:
+        yield pa.Table.from_batches(have)
+
+
+def _starts(task: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, (task[1:] != task[:-1]) | (part[1:] != part[:-1])))[: len(task)]
+
+
+def _joiner(bits: int, budget: int):
+    """Rows (task, part, key, node) to edges (a, b): a spanning forest of the links in each task."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        task, part, key, node = (table.column(c).to_numpy().astype(np.int64) for c in ("task", "part", "key", "node"))
+        order = np.lexsort((key.view(np.uint64), part, task))
+        task, part, keys, node = task[order], part[order], key[order].view(np.uint64), node[order]
+        lo = _starts(task, part)
         hi = np.append(lo[1:], len(task))
         code = task[lo]
         rotation, sub = code >> 40 & 0xFF, code & 0xFFFF
@@ -203,12 +224,10 @@ def _joiner(bits: int, budget: int, far: int | None):
                 mid = np.array([lo[p] + np.searchsorted(keys[lo[p] : hi[p]] >> np.uint64(low) & np.uint64(63), np.uint64(x)) for p, x in zip(parts, side, strict=True)], dtype=np.int64)
                 mid = np.where(one, hi[parts], mid)
                 spent = np.bitwise_count(pair >> 6 ^ side).astype(np.int64)
-                starts.append((int(low), [lo[parts], mid, np.where(one, lo[parts], mid), hi[parts], spent]))
+                both = one | (mid > lo[parts]) & (mid < hi[parts])
+                starts.append((int(low), [x[both] for x in (lo[parts], mid, np.where(one, lo[parts], mid), hi[parts], spent)]))
             for depth, root in starts:
                 for i, j in trie_pairs(keys, root, depth, budget):
-                    if sketch is not None and len(i):
-                        near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= far
-                        i, j = i[near], j[near]
                     if len(i):
                         labels = joined(labels, i, j)
         # each component is a star around its smallest node: tasks that see the same one say the same
@@ -219,41 +238,59 @@ def _joiner(bits: int, budget: int, far: int | None):
             m = moved[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(node[m]), pa.array(least[labels[m]])], ["a", "b"])
 
+    def run(batches):
+        for table in _whole_tasks(batches):
+            yield from work(table)
+
     return tidy(run)
 
 
-def links(rows: DataFrame, bits: int, budget: int, far: int | None = None, crowd: int = 1 << 19) -> DataFrame:
-    """Edges (a, b) that join the nodes of ``rows`` (table, key, node[, f0...]) as their links do.
+def _dealt(rows: DataFrame, crowd: int, meet: bool = True) -> DataFrame:
+    """``rows`` with ``part``: tasks of over ``crowd`` rows are dealt by node into parts of which every two, or not ``meet`` each one, are a task."""
+    rows = rows.withColumn("part", F.lit(0).cast("long"))
+    busy = cut(rows.groupBy("task").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd))
+    if busy.isEmpty():
+        return rows
+    sized = rows.join(busy.select("task", F.greatest(F.lit(3), F.ceil(2 * F.col("_n") / crowd)).alias("_c")), "task", "left")
+    mine = F.pmod(F.xxhash64("node"), F.col("_c"))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1), lambda o: F.least(mine, o) * F.col("_c") + F.greatest(mine, o) + 1)
+    others = F.filter(pair, lambda x: x != mine * F.col("_c") + mine + 1) if meet else F.array(mine + 1)
+    return sized.withColumn("part", F.explode(F.when(F.col("_c").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others))).drop("_c")
+
+
+def _to_tasks(rows: DataFrame) -> DataFrame:
+    """Whole tasks in one partition each, one after the other."""
+    return rows.repartition(partitions(rows.sparkSession), "task", "part").sortWithinPartitions("task", "part")
+
 
-    Two nodes link if keys (the lowest ``bits`` bits) of one table differ in at most
-    ``budget`` bits, and, with ``far``, the sketches f0... in at most ``far``. Not all links
-    come back but a forest of them for each task, so copies of copies are no pairs.
+def links(rows: DataFrame, bits: int, budget: int, crowd: int = 1 << 19) -> DataFrame:
+    """Edges (a, b) that join the nodes of ``rows`` (key, node) as their links do.
+
+    Two nodes link if their keys (the lowest ``bits`` bits) differ in at most ``budget`` bits.
+    Not all links come back but a forest of them for each task, so copies of copies are no pairs.
     """
-    spark, mask = rows.sparkSession, (1 << bits) - 1
+    mask = (1 << bits) - 1
     spun = []
     for k, (at, width) in enumerate(_blocks(bits, budget)):
         key = F.col("key") if bits == 64 else F.col("key").bitwiseAND(mask)
         turned = key if not at else F.shiftleft(key, at).bitwiseOR(F.shiftrightunsigned(key, bits - at))
         turned = turned if bits == 64 else turned.bitwiseAND(mask)
         block = F.shiftrightunsigned(turned, bits - width)
-        spun.append(F.struct(F.lit(k).alias("rotation"), block.alias("block"), turned.alias("key"), F.lit(bits - width - SUB).alias("low")))
-    sketch = [c for c in rows.columns if c.startswith("f")] if far is not None else []
-    rows = rows.withColumn("_s", F.explode(F.array(*spun))).select("table", "_s.rotation", "_s.block", "_s.key", "_s.low", "node", *sketch)
-    task = F.shiftleft(F.col("table").cast("long"), 48).bitwiseOR(F.shiftleft(F.col("rotation").cast("long"), 40)).bitwiseOR(F.shiftleft(F.col("block"), 16))
-    rows = rows.withColumn("task", task)
-    # at most 2 ^ 16 blocks for each table and rotation, whatever the number of rows
-    busy = [r.task for r in rows.groupBy("task").count().filter(F.col("count") > crowd).collect()]
-    if busy:
-        hot = F.broadcast(spark.createDataFrame([(t,) for t in busy], "task long"))
+        task = F.shiftleft(F.lit(k).cast("long"), 40).bitwiseOR(F.shiftleft(block, 16))
+        spun.append(F.struct(task.alias("task"), turned.alias("key"), F.lit(bits - width - SUB).alias("low")))
+    rows = rows.withColumn("_s", F.explode(F.array(*spun))).select("_s.task", "_s.key", "_s.low", "node")
+    busy = cut(rows.groupBy("task").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd).select("task"))
+    if not busy.isEmpty():
         mine = F.expr("shiftrightunsigned(key, greatest(low, 0)) & 63")
         near = F.array(*[F.lit(x) for x in range(64) if x.bit_count() <= budget])
-        other = rows.join(hot, "task").filter("low >= 0").withColumn("_x", F.explode(near)).withColumn("_m", mine)
-        pair = F.shiftleft(F.least(F.col("_m"), F.col("_m").bitwiseXOR(F.col("_x"))), 6).bitwiseOR(F.greatest(F.col("_m"), F.col("_m").bitwiseXOR(F.col("_x"))))
-        split = other.withColumn("task", F.col("task") + pair + 1).select("task", "key", "node", *sketch)
-        rows = rows.join(hot.withColumn("_hot", F.lit(1)), "task", "left").filter("_hot is null or low < 0").select("task", "key", "node", *sketch).unionByName(split)
-    rows = rows.select("task", "key", "node", *sketch)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "task").mapInArrow(_joiner(bits, budget, far), "a long, b long")
+        marked = rows.join(busy.withColumn("_hot", F.lit(1)), "task", "left").withColumn("_hot", F.col("_hot").isNotNull() & (F.col("low") >= 0))
+        pair = lambda x: F.shiftleft(F.least(mine, mine.bitwiseXOR(x)), 6).bitwiseOR(F.greatest(mine, mine.bitwiseXOR(x)))
+        tasks = F.when(F.col("_hot"), F.transform(near, lambda x: F.col("task") + pair(x) + 1)).otherwise(F.array("task"))
+        rows = marked.withColumn("task", F.explode(tasks)).select("task", "key", "node")
+        rows = _dealt(rows, crowd)
+    else:
+        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    return _to_tasks(rows.select("task", "part", "key", "node")).mapInArrow(_joiner(bits, budget), "a long, b long")
 
 
 def components(prints: DataFrame, edges: DataFrame, node: str) -> DataFrame:
@@ -274,25 +311,188 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, crowd: int
     empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, size, **names))
-    nodes = prints.select(F.lit(0).alias("table"), F.col("f0").alias("key"), F.col("f0").alias("node")).distinct()
+    nodes = prints.select(F.col("f0").alias("key"), F.col("f0").alias("node")).distinct()
     found = components(prints, links(nodes, 64, budget, crowd=crowd), "f0")
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- similarity of shingle sets ---------------------------------------------------------------
 
-#: Documents in which frequent shingles are counted, and shingles that are held as frequent.
-SAMPLE, FREQUENT = 8000, 100_000
+#: Bits of a sketch, chance that a pair at the threshold becomes a candidate, and chance meetings of a row in one table.
+WIDE, RECALL, CHANCE = 256, 0.99, 8
+#: Rows of a front block that a table is laid out for, and links of one text from which its pairs are verified in several tasks.
+BLOCK, HUB = 1 << 19, 1024
+#: Texts of a crowded task that all others are compared with first, and rounds of such comparisons.
+LEADERS, ROUNDS = 16, 3
+
+
+def share(similar: float) -> float:
+    """Share of differing sketch bits of two sets of a Jaccard similarity, by the angle between them; small sets have up to 3 % more."""
+    return float(np.arccos(2 * similar / (1 + similar)) / np.pi) * 1.03
+
+
+def _chances(n: int, p: float) -> np.ndarray:
+    """Chances of 0 to n hits with a chance of ``p`` each."""
+    return np.array([comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+
+
+def recall(bits: int, budget: int, tables: int, far: int, p: float) -> float:
+    """Chance that sketches which differ in each bit with a chance of ``p`` meet in one of ``tables`` tables and differ in at most ``far`` bits."""
+    k = np.arange(far + 1)
+    meet = np.array([sum(comb(x, e) * comb(WIDE - x, bits - e) for e in range(budget + 1)) / comb(WIDE, bits) for x in k.tolist()])
+    return float((_chances(WIDE, p)[: far + 1] * (1 - (1 - meet) ** tables)).sum())
+
+
+@cache
+def plan(rows: int, similar: float = 0.8, wanted: float = RECALL) -> tuple[int, int, int, int]:
+    """Bits of a key, its error budget, the number of tables, and the bits by which whole sketches may differ.
+
+    Keys are so long that a row meets ``CHANCE`` others by chance in a table, whatever the
+    number of rows, and there are as many tables as the wanted recall takes at ``similar``.
+    Of the budgets that keep front blocks small the one with fewest rows to send is taken.
+    """
+    p = share(similar)
+    tail = np.cumsum(_chances(WIDE, p))
+    far = int(np.argmax(tail >= 1 - (1 - wanted) / 4))
+    best = None
+    for budget in range(3):
+        bits = 16
+        while bits < 63 and rows * sum(comb(bits, e) for e in range(budget + 1)) > CHANCE << bits:
+            bits += 1
+        if budget and rows >> (bits // (budget + 1)) > BLOCK:
+            continue
+        tables = 1
+        while recall(bits, budget, tables, far, p) < wanted:
+            tables += 1 + tables // 16
+        if best is None or tables * (budget + 1) < best[0]:
+            best = tables * (budget + 1), (bits, budget, tables, far)
+    return best[1]
+
+
+@cache
+def _places(bits: int, tables: int) -> np.ndarray:
+    """For each table the bits of the sketch that make its key, drawn once and for all."""
+    rng = np.random.default_rng(20)
+    return np.array([rng.permutation(WIDE)[:bits] for _ in range(tables)])
+
+
+def _key(sketch: np.ndarray, places: np.ndarray, turn: int) -> np.ndarray:
+    """The key of one table, turned to the left by ``turn`` bits."""
+    key = np.zeros(len(sketch), np.uint64)
+    for bit in np.roll(places, -turn).tolist():
+        key = key << np.uint64(1) | sketch[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)
+    return key
+
+
+def _sketches(batch) -> np.ndarray:
+    return np.stack([batch.column(f"f{k}").to_numpy().view(np.uint64) for k in range(WIDE // 64)], axis=1)
+
+
+def _spread(bits: int, budget: int, tables: int, names: list[str]):
+    """Nodes to a row for each table and rotation: its task is the table, rotation and front block."""
+    places, blocks = _places(bits, tables), _blocks(bits, budget)
+
+    def run(batches):
+        for batch in batches:
+            sketch = _sketches(batch)
+            for table in range(tables):
+                for rotation, (at, width) in enumerate(blocks):
+                    block = _key(sketch, places[table][np.arange(at, at + width)], 0).astype(np.int64)
+                    task = (table << 8 | rotation) << 40 | block
+                    yield pa.RecordBatch.from_arrays([pa.array(task), *(batch.column(c) for c in names)], ["task", *names])
+
+    return tidy(run)
+
+
+def _ordered(table: pa.Table, bits: int, budget: int, tables: int):
+    """A table of whole tasks sorted by turned keys: node, root, sketch, key, edges of the tasks and bits left to each."""
+    places, blocks = _places(bits, tables), _blocks(bits, budget)
+    task, part, node, root = (table.column(c if c in table.column_names else "node").to_numpy().astype(np.int64) for c in ("task", "part", "node", "root"))
+    sketch = _sketches(table)
+    key = np.zeros(len(task), np.uint64)
+    kind = task >> 40
+    for k in np.unique(kind).tolist():
+        some = kind == k
+        key[some] = _key(sketch[some], places[k >> 8], blocks[k & 0xFF][0])
+    order = np.lexsort((key, part, task))
+    task, part, node, root, sketch, key = (x[order] for x in (task, part, node, root, sketch, key))
+    lo = _starts(task, part)
+    hi = np.append(lo[1:], len(task))
+    widths = np.array([w for _, w in blocks])
+    return node, root, sketch, key, lo, hi, bits - widths[task[lo] >> 40 & 0xFF]
+
+
+def _near_pairs(key, sketch, root, lo, hi, tops, budget: int, far: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for top in np.unique(tops).tolist():
+        a, b = lo[tops == top], hi[tops == top]
+        for i, j in trie_pairs(key, (a, b, a, b, np.zeros(len(a), np.int64)), int(top), budget, root):
+            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+            near = (apart <= far) & (root[i] != root[j])
+            if near.any():
+                yield i[near], j[near], apart[near]
+
+
+def _nominator(bits: int, budget: int, tables: int, far: int):
+    """Rows of whole tasks to (node, other, apart): for each row that has a candidate of another root its nearest one, and the one with most candidates.
+
+    Tasks in which many keys are equal don't compare all their rows: each is compared with
+    ``LEADERS`` of them, and rows without a near one say so by a null.
+    """
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, root, sketch, key, lo, hi, tops = _ordered(table, bits, budget, tables)
+        run_of = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        long = np.diff(np.append(run_of, len(key)))
+        group = np.searchsorted(lo, run_of, "right") - 1
+        crowded = np.bincount(group, long.astype(float) ** 2, len(lo)) > 64 * (hi - lo)
+        said = []
+        pairs = [x for x in _near_pairs(key, sketch, root, lo[~crowded], hi[~crowded], tops[~crowded], budget, far)]
+        if pairs:
+            i, j, apart = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            one, two, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
+            degree = np.bincount(one, minlength=len(node))
+            for rank in (np.lexsort((node[two], apart, one)), np.lexsort((node[two], -degree[two], one))):
+                pick = rank[np.append(True, one[rank][1:] != one[rank][:-1])]
+                said.append((node[one[pick]], node[two[pick]], apart[pick]))
+        for a, b in zip(lo[crowded].tolist(), hi[crowded].tolist(), strict=True):
+            heads = np.unique(np.linspace(a, b - 1, LEADERS).astype(np.int64))
+            for at in range(a, b, 1 << 16):
+                rows = np.arange(at, min(b, at + (1 << 16)))
+                apart = np.bitwise_count(sketch[rows, None] ^ sketch[heads]).sum(2, dtype=np.int64)
+                apart[root[rows, None] == root[heads]] = WIDE + 1
+                best = apart.argmin(1)
+                apart = apart[np.arange(len(rows)), best]
+                said.append((node[rows], np.where(apart <= far, node[heads[best]], node[rows]), apart))
+        for one, two, apart in said:
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two, mask=one == two), pa.array(apart.astype(np.int32))], ["node", "other", "apart"])
+
+    def run(batches):
+        for table in _whole_tasks(batches):
+            yield from work(table)
+
+    return tidy(run)
+
+
+def _candidates(bits: int, budget: int, tables: int, far: int):
+    """Rows of whole tasks to all pairs (a, b) of nodes of different roots within the budget and ``far``."""
+
+    def run(batches):
+        for table in _whole_tasks(batches):
+            node, root, sketch, key, lo, hi, tops = _ordered(table, bits, budget, tables)
+            for i, j, _ in _near_pairs(key, sketch, root, lo, hi, tops, budget, far):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    return tidy(run)
 
 
 def _distinct(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of all rows, each row's sorted, and the row of each."""
+    """The distinct shingle hashes of all rows, each row's sorted, and their offsets."""
     hashes, first = shingles(texts, size)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     order = np.lexsort((hashes, row))
     hashes, row = hashes[order], row[order]
     new = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))[: len(hashes)]
-    return hashes[new], row[new]
+    return hashes[new], np.searchsorted(row[new], np.arange(len(first)))
 
 
 def _nodes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -304,122 +504,108 @@ def _nodes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
-
-
-def _prefixer(size: int, similar: float, frequent: np.ndarray, weights: np.ndarray):
-    """Rows (doc_id, text) to (doc_id, node, n, prefix): the set's number, its size, and its first shingles in one order for all."""
+def _sketcher(size: int):
+    """Rows (doc_id, text) to (doc_id, node, n, f0, f1, packed): the set's number and size, its sketch, and the text compressed."""
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for piece in pieces(batch, "text"):
-                hashes, row = _distinct(piece.column("text"), size)
-                first = np.searchsorted(row, np.arange(piece.num_rows + 1))
-                node, n = _nodes(hashes, first), np.diff(first)
-                weight = np.zeros(len(hashes), np.int64)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-                    weight = np.where(frequent[at] == hashes, weights[at], 0)
-                order = np.lexsort((hashes, weight, row))
-                long = np.where(n > 0, n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1, 0)
-                inside = np.arange(len(hashes)) - first[row] < long[row]
-                lists = _lists(hashes[order][inside], np.concatenate([[0], np.cumsum(long)]))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(node), pa.array(n, pa.int32()), lists], ["doc_id", "node", "n", "prefix"])
+                hashes, first = _distinct(piece.column("text"), size)
+                prints = majority(mix(hashes.copy()), first, WIDE // 64 - 1)
+                packed = pa.array([pack((t or "").encode()) for t in piece.column("text").to_pylist()], pa.binary())
+                cols = [piece.column("doc_id"), pa.array(_nodes(hashes, first)), pa.array(np.diff(first)), *(pa.array(f.view(np.int64)) for f in prints.T.copy()), packed]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", *(f"f{k}" for k in range(WIDE // 64)), "packed"])
 
     return tidy(run)
 
 
-def _setter(size: int):
-    """Rows (doc_id, text) to (node, shingles): the set's number and the set."""
+def _verifier(size: int, similar: float):
+    """Rows (a, b, _a, _b) with both texts to those (a, b) whose sets are alike enough."""
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                hashes, row = _distinct(piece.column("text"), size)
-                first = np.searchsorted(row, np.arange(piece.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(hashes, first)), _lists(hashes, first)], ["node", "shingles"])
+            for piece in pieces(batch, "_a", 1 << 18):
+                texts = [unpack(t.as_buffer()) for c in ("_a", "_b") for t in piece.column(c)]
+                hashes, first = _distinct(pa.array(texts, pa.binary()), size)
+                n, total = np.diff(first), piece.num_rows
+                row = np.repeat(np.arange(2 * total), n) % max(1, total)
+                order = np.lexsort((hashes, row))
+                h, r = hashes[order], row[order]
+                both = np.bincount(r[1:][(h[1:] == h[:-1]) & (r[1:] == r[:-1])], minlength=total)
+                yield piece.select(["a", "b"]).filter(pa.array(both * (1 + similar) >= similar * (n[:total] + n[total:]) - 1e-9))
 
     return tidy(run)
 
 
-def _keyed(size: int):
-    """Rows (doc_id, text) to (node, text)."""
-
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                hashes, row = _distinct(piece.column("text"), size)
-                node = _nodes(hashes, np.searchsorted(row, np.arange(piece.num_rows + 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(node), piece.column("text")], ["node", "text"])
+def _verified(pairs: DataFrame, prints: DataFrame, size: int, similar: float) -> DataFrame:
+    """The distinct ``pairs`` (a, b) of nodes whose sets have an exact Jaccard similarity of ``similar`` or more.
 
-    return tidy(run)
-
-
-def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that recur in a sample of about ``SAMPLE`` documents, and how often."""
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
-    counts = some.mapInArrow(_setter(size), "node long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count()
-    got = sorted((r[0] % (1 << 64), r[1]) for r in counts.filter("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT).collect())
-    return np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got], np.int64)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets have an exact Jaccard similarity of ``similar`` or more."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
-    both, total = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
-    return cut(pairs.join(a, "a").join(b, "b").filter(both * (1 + similar) >= similar * total - 1e-9).select("a", "b"))
-
-
-def _similar_nodes(docs: DataFrame, prints: DataFrame, size: int, similar: float) -> DataFrame:
-    """Edges (a, b) that join the nodes of ``prints`` as all pairs of ``similar`` or more do."""
-    n = partitions(docs.sparkSession)
-    alone = prints.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = alone.select(F.explode("prefix").alias("token"), "node", "n").repartition(n, "token")
-    shared = rows.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
-    live = cut(rows.join(shared, "token"))
-    # texts are moved, which compress, and their sets made again where they are wanted
-    texts = docs.mapInArrow(_keyed(size), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
-    sets = cut(texts.join(live.select("node").distinct(), "node", "left_semi").mapInArrow(_setter(size), "node long, shingles array<long>"))
-    fit = F.least("n", "m") >= similar * F.greatest("n", "m") - 1e-9
-    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    # first each document with the one that shares most of those it meets: in a group of copies, what they are copies of
-    central = live.groupBy("node").agg(F.sum("held").alias("weight"))
-    chosen = live.join(central, "node").groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("_p"))
-    chosen = chosen.select("token", F.col("_p.weight").alias("weight"), F.col("_p.node").alias("other"), F.col("_p.n").alias("m"))
-    met = live.join(chosen, "token").filter((F.col("node") != F.col("other")) & fit).groupBy("node").agg(F.max(F.struct("weight", "other")).alias("_p"))
-    tried = cut(met.select("node", F.col("_p.other").alias("other")).select(*pair).distinct())
-    edges = _verified(tried, sets, similar)
-    # then all pairs of a token that are not joined yet; what lies behind a prefix is under ceil(similar n), so too few in common before it are never enough
-    rooted = live.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rooted.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b").select("token")
-    left = cut(rooted.join(apart, "token", "left_semi").select("token", "node", "n", "root"))
-    right = left.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("_root"))
-    rest = left.join(right, "token").filter((F.col("node") < F.col("other")) & (F.col("root") != F.col("_root")) & fit)
-    rest = rest.groupBy(*pair).agg(F.count("*").alias("both"), F.first(F.col("n") + F.col("m")).alias("total"), F.first(F.greatest("n", "m")).alias("most"))
-    behind = F.ceil(similar * F.col("most") - 1e-9) - 1
-    rest = rest.filter((F.col("both") + behind) * (1 + similar) >= similar * F.col("total") - 1e-9).select("a", "b")
-    return edges.union(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, similar))
-
-
-def similar_documents(docs: DataFrame, size: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Each text is sent once, and once more for each of its pairs; the pairs of one text with
+    very many of them are spread over several tasks, each with that text.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = cut(prints.select("node", "packed").join(ends, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed")))
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("_n")).filter(F.col("_n") > HUB).select("b", F.ceil(F.col("_n") / HUB).alias("_parts"))
+    salted = pairs.join(hubs, "b", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
+    a = texts.select(F.col("node").alias("a"), F.col("packed").alias("_a"))
+    b = texts.select(F.col("node").alias("b"), F.col("packed").alias("_b")).join(hubs, "b", "left")
+    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts") - 1, F.lit(0).cast("long"))))).drop("_parts")
+    return cut(salted.join(a, "a").join(b, ["b", "_salt"]).select("a", "b", "_a", "_b").mapInArrow(_verifier(size, similar), "a long, b long"))
+
+
+def _similar_nodes(prints: DataFrame, size: int, similar: float, crowd: int) -> DataFrame:
+    """Edges (a, b) that join the nodes of ``prints`` as all candidates of ``similar`` or more do."""
+    fields = [f"f{k}" for k in range(WIDE // 64)]
+    nodes = cut(prints.filter("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in fields]))
+    shape = plan(1 << max(0, nodes.count() - 1).bit_length(), similar)
+
+    def tasks(rows: DataFrame, meet: bool) -> DataFrame:
+        names = [c for c in ("node", "root", *fields) if c in rows.columns]
+        rows = rows.select(names).mapInArrow(_spread(*shape[:3], names), "task long, " + ", ".join(f"{c} long" for c in names))
+        return _to_tasks(_dealt(rows, crowd, meet))
+
+    # first each text with one or two that many others are near to: in a group of near copies, what they are copies of
+    rounds, tried, edges = 0, None, None
+    while True:
+        said = cut(tasks(nodes, False).mapInArrow(_nominator(*shape), "node long, other long, apart int").groupBy("node", "other").agg(F.count("*").alias("votes"), F.min("apart").alias("apart")))
+        best = [F.max(F.when(F.col("other").isNotNull(), F.struct("votes", (-F.col("apart")).alias("near"), "other"))), F.max(F.when(F.col("other").isNotNull(), F.struct((-F.col("apart")).alias("near"), "votes", "other")))]
+        picked = said.groupBy("node").agg(best[0].alias("x"), best[1].alias("y")).select("node", F.explode(F.array("x.other", "y.other")).alias("other")).filter("other is not null")
+        pairs = picked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        new = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = _verified(new, prints, size, similar)
+        tried, edges = new if tried is None else tried.union(new), found if edges is None else edges.union(found)
+        live = said.select("node").union(said.filter("other is not null").select("other")).distinct()
+        roots = connected_components(edges).withColumnRenamed("root", "_root")
+        nodes = nodes.join(live, "node", "left_semi").join(roots, "node", "left").select("node", *fields, F.coalesce("_root", "node").alias("root"))
+        rounds += 1
+        if rounds == ROUNDS or found.isEmpty():
+            break
+    # then all candidates that are not joined yet
+    rest = tasks(nodes, True).mapInArrow(_candidates(*shape), "a long, b long").distinct()
+    return edges.union(_verified(cut(rest.join(tried, ["a", "b"], "left_anti")), prints, size, similar))
+
+
+def similar_documents(docs: DataFrame, size: int = 5, similar: float = 0.8, crowd: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) per document: documents link whose shingle sets are alike by ``similar`` or more.
 
-    The similarity (Jaccard) of two sets of ``size``-word shingles is exact, and every pair
-    that reaches it is joined, at any number of documents: with all shingles in one order,
-    such sets of n have one in common among the first n - ceil(similar n) + 1 of each. That
-    order has the shingles last that are frequent in a sample, so that few documents share
-    one; it decides on the work only. Of the documents that share one, each is verified
-    with one at most, and then all pairs that are in no common component yet and have
-    enough in common there. Documents of
-    equal sets are one node. Texts of no words are alike. A null doc_id takes part but is
-    no component_id. Shingles and sets are told apart by 64-bit hashes.
+    Candidates come from SimHash sketches of the sets of ``size``-word shingles: trie
+    self-joins of as many keys, drawn from a sketch's bits, as find a pair at the threshold
+    with a chance of ``RECALL`` at any number of documents (see ``plan``); nearer pairs are
+    missed much more seldom. Each link is then verified by the exact Jaccard similarity of
+    the two sets, so no pair below ``similar`` counts. Texts in a group are first verified
+    with one or two that many are near to, in ``ROUNDS`` rounds; then all candidates that are in no
+    common component are. Documents of equal sets are one node. Texts of no words are alike.
+    A null doc_id takes part but is no component_id. Repeated rows are kept, other columns
+    left out, an empty table gives an empty result. Shingles and sets are told apart by
+    64-bit hashes.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    run = _prefixer(size, similar, *_frequent(docs, size))
-    prints = cut(docs.mapInArrow(run, f"doc_id {kind}, node long, n int, prefix array<long>"))
-    return components(prints.select("doc_id", "node"), _similar_nodes(docs, prints, size, similar), "node").select("doc_id", "component_id")
+    fields = ", ".join(f"f{k} long" for k in range(WIDE // 64))
+    prints = cut(docs.mapInArrow(_sketcher(size), f"doc_id {kind}, node long, n long, {fields}, packed binary"))
+    return components(prints.select("doc_id", "node"), _similar_nodes(prints, size, similar, crowd), "node").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,14 +32,20 @@ def pairs(low, high, n, seed):
     return out
 
 
-def groups(spark, texts):
+def groups(spark, texts, **how):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    return {r.doc_id: r.component_id for r in simhash.similar_documents(docs, **how).collect()}
 
 
-def test_every_pair_at_the_threshold_is_joined(spark):
-    found = groups(spark, [t for p in pairs(0.8, 0.82, 300, 1) for t in p])
-    assert [k for k in range(300) if found[2 * k + 1] != 2 * k] == []
+@pytest.mark.parametrize("rows", [16, 24])
+def test_recall_is_the_stated_one_at_any_number_of_documents(spark, monkeypatch, rows):
+    """Keys and tables as for 2 ** rows documents: pairs just above the threshold, and nearer ones."""
+    shape = simhash.plan(1 << rows)
+    assert simhash.recall(*shape, simhash.share(0.8)) >= simhash.RECALL
+    monkeypatch.setattr(simhash, "plan", lambda *_: shape)
+    for low, high, lost in ((0.8, 0.82, 9), (0.85, 0.87, 2), (0.9, 0.92, 0)):
+        found = groups(spark, [t for p in pairs(low, high, 300, 1) for t in p])
+        assert sum(found[2 * k + 1] != 2 * k for k in range(300)) <= lost
 
 
 def test_no_pair_below_the_threshold_is_joined(spark):
@@ -47,17 +53,17 @@ def test_no_pair_below_the_threshold_is_joined(spark):
     assert [d for d, c in found.items() if c != d] == []
 
 
-@pytest.mark.parametrize("frequent", [100_000, 0])
-def test_groups_of_copies_and_of_one_template(spark, frequent, monkeypatch):
-    """Copies of one text that are alike only to it, and texts that share six tenths with each other."""
-    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+@pytest.mark.parametrize(("crowd", "hub"), [(1 << 19, 1024), (6, 2)])
+def test_groups_of_copies_and_of_one_template(spark, crowd, hub, monkeypatch):
+    """Copies of one text that are alike only to it, and texts that share six tenths with each other; also in parts."""
+    monkeypatch.setattr(simhash, "HUB", hub)
     rnd = random.Random(3)
     word = lambda: f"v{rnd.randrange(10**9)}"
     base, template = [word() for _ in range(200)], [word() for _ in range(200)]
     texts = []
     for _ in range(40):
         near = list(base)
-        for k in rnd.sample(range(0, 200, 6), 4):
+        for k in rnd.sample(range(0, 200, 6), 3):
             near[k] = word()
         texts.append(" ".join(near))
         texts.append(" ".join(template + [word() for _ in range(60)]))
@@ -68,4 +74,4 @@ def test_groups_of_copies_and_of_one_template(spark, frequent, monkeypatch):
             if alike(texts[i], texts[j]) >= 0.8:
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
-    assert groups(spark, texts) == dict(enumerate(root)) and len(set(root)) == 41
+    assert groups(spark, texts, crowd=crowd) == dict(enumerate(root)) and len(set(root)) == 41
