@@ -1,20 +1,28 @@
 """Main text of HTML pages by text-to-tag ratio over the events of the standard library's parser.
 
-Events are streamed into lines: a line is the text between two block-level boundaries, with
-the number of tags that its block took and the element it stands in. A line's text-to-tag
-ratio is its characters for each of these tags. Ratios are smoothed along the page by a
-Gaussian, and lines are clustered into content and other by a threshold, the standard
-deviation of the smoothed ratios (Weninger et al. 2010). Clusters decide about regions, not
-single lines: lines belong to the region of their nearest sectioning element, the region
-with most text in content lines is the content, and short lines inside it stay. Elements
-whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert, form or
-comments have ratio 0 and are never part of a region.
+Pages are streamed into the parser tag by tag; what never ends (a tag, a comment, a script)
+is left out, so broken pages cost no more than sound ones. Events make lines: a line is the
+text between two block-level boundaries, with the number of tags that its block took and the
+element it stands in. A line's text-to-tag ratio is its characters for each of these tags.
+Ratios are smoothed along the page by a Gaussian, and lines are clustered into content and
+other by a threshold, the standard deviation of the smoothed ratios (Weninger et al. 2010).
+Lines belong to the region of their nearest sectioning element; the region with most text in
+content lines is the content, and lines between its content lines stay, however short. Where
+that region is no article or main element, lines before its first and after its last content
+line go, but for headings.
+
+Elements beside the article (menus, headers, footers, sidebars, notices, adverts, forms,
+comments) have ratio 0: by their tag or role, or by the head noun of a class or id of a
+container. A form or a container named for its layout that holds most of a page's text is
+no such element.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -27,6 +35,8 @@ from corpusmill.llm.words import pieces, tidy
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button datalist title head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav header footer aside form dialog menu".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+IN_HEAD = frozenset("head title meta link base style script noscript template".split())
 REGION = frozenset("article main body section div td".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -36,66 +46,149 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - {"html", "body", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of a class or id, split at anything but letters, that name something beside the article.
+#: Elements whose class or id may say that they are beside the article.
+NAMED = frozenset("div section ul ol dl table center details figure iframe ins span a form".split())
+#: Last words of a class or id that name something beside the article.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb "
     "breadcrumbs header masthead footer sidebar aside widget widgets related recommended recommendations share sharing social newsletter subscribe "
     "subscription signup login cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus reply replies respond form search "
     "pagination pager toolbar skip".split()
 )
+#: Of these, such as may hold more text than the article.
+VOICES = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
+#: Words that may follow those above, and words that turn a name into something else.
+HOLDS = frozenset("area bar block box bottom col column container content holder inner item items left link links list main outer panel placeholder right row section slot thread top unit wrap wrapper".split())
+TURNS = frozenset("article entry has no of post story title with without".split())
+#: Words of short lines at the edge of a page that are no article's.
+NOTICE = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\bcookies?\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bsubscribe\b|\bsign up\b", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 
 
-def beside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element is, by its names, no part of an article."""
+def named(value: str) -> str:
+    """The word of a class or id that names something beside the article, or nothing."""
+    for name in value.lower().split():
+        parts = _PART.findall(name)
+        if not TURNS.isdisjoint(parts):
+            continue
+        while len(parts) > 1 and parts[-1] in HOLDS:
+            parts.pop()
+        if parts and parts[-1] in BESIDE:
+            return parts[-1]
+    return ""
+
+
+def beside(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+    """Whether an element is, by its names, no part of an article, and whether that holds however much text it has."""
     if tag in ASIDE:
-        return True
+        return True, tag not in ("form", "header", "dialog")
     for name, value in attrs:
         if name == "role" and (value or "").strip().lower() in ROLES:
-            return True
-        if name in ("hidden",) or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and value and tag not in ("body", "html", "main", "article"):
-            if not BESIDE.isdisjoint(_PART.findall(value.lower())):
-                return True
-        if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return True, value.strip().lower() != "form"
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
+            return True, True
+        if name in ("class", "id") and value and tag in NAMED:
+            word = named(value)
+            if word:
+                return True, word in VOICES
+    return False, False
+
+
+_TAG = re.compile(r"""</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>""")
+_OPEN = re.compile(r"</?[a-zA-Z]|<[!?]")
+_NAME = re.compile(r"<([a-zA-Z][^\s/>]*)")
+#: Characters within which quotes of a tag must close to count.
+TAG = 4096
+
+
+def tokens(html: str) -> Iterator[str]:
+    """The page in parts that each end with a whole tag; comments, declarations, raw text and what never ends left out."""
+    at = begin = 0
+    while True:
+        found = _OPEN.search(html, at)
+        if not found:
+            break
+        i = found.start()
+        if html[i + 1] in "!?":
+            end = html.find("-->", i + 4) if html.startswith("<!--", i) and not html.startswith(("<!-->", "<!--->"), i) else html.find(">", i)
+            yield html[begin:i]
+            if end < 0:
+                return
+            at = begin = end + (3 if html.startswith("-->", end) else 1)
+            continue
+        tag = _TAG.match(html, i, i + TAG)
+        at = tag.end() if tag else html.find(">", i) + 1
+        if not at:
+            yield html[begin:i]
+            return
+        yield html[begin:at]
+        begin = at
+        name = _NAME.match(html, i)
+        if name and name[1].lower() in RAW and html[at - 2] != "/":
+            closing = re.compile(f"</{re.escape(name[1])}(?=[\\s/>])", re.IGNORECASE).search(html, at)
+            if not closing:
+                return
+            at = begin = closing.start()
+    yield html[begin:]
 
 
 class Lines(HTMLParser):
-    """Feed a page and ``close``; ``lines`` has [text, tags, region, beside] lists in page order."""
+    """``read`` a page; ``lines`` has [text, tags, region, beside element, link characters, heading] lists in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        #: Open elements: (tag, is beside, is hidden, region).
-        self.open: list[tuple[str, bool, bool, int]] = []
+        #: Open elements: (tag, beside element, is hidden, region); how often each tag is open; open links.
+        self.open: list[tuple[str, int, bool, int]] = []
+        self.count: Counter = Counter()
         self.parts: list[str] = []
-        self.tags = 0
+        self.linked = self.tags = 0
         self.regions = [("", 0)]
+        #: Elements beside the article: (the one around, whether it is so whatever it holds).
+        self.asides = [(0, False)]
+
+    def read(self, html: str):
+        for part in tokens(html):
+            self.feed(part)
+            if self.rawdata.startswith("<"):  # a tag that the parser takes for unfinished
+                self.rawdata = ""
+            elif self.rawdata and part.endswith(">"):
+                text, self.rawdata = self.rawdata, ""
+                self.handle_data(text.partition("<")[0])
+        self.close()
+
+    def parse_marked_section(self, i, report=1):
+        """Marked sections mean nothing in HTML: they end with the next ``>``."""
+        return self.rawdata.find(">", i) + 1 or -1
+
+    def unknown_decl(self, data):
+        pass
 
     def _state(self):
-        return self.open[-1] if self.open else ("", False, False, 0)
+        return self.open[-1] if self.open else ("", 0, False, 0)
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            _, aside, _, region = self._state()
-            self.lines.append([text, self.tags, region, aside])
+            tag, aside, _, region = self._state()
+            self.lines.append([text, self.tags, region, aside, self.linked, tag in HEADS])
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def _pop(self, at: int):
         for tag, *_ in self.open[at:]:
             if tag in BLOCK:
                 self.flush()
                 break
+        self.count.subtract(tag for tag, *_ in self.open[at:])
         del self.open[at:]
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if self.count["head"] > 0 and tag not in IN_HEAD:
+            self._pop(next(k for k, x in enumerate(self.open) if x[0] == "head"))
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
@@ -104,14 +197,14 @@ class Lines(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
-            if tag in ENDS_P:
+            if tag in ENDS_P and self.count["p"] > 0:
                 for at in range(len(self.open) - 1, -1, -1):
                     if self.open[at][0] == "p":
                         self._pop(at)
                         break
                     if self.open[at][0] in BLOCK:
                         break
-        if tag in SAME:
+        if tag in SAME and any(self.count[x] > 0 for x in SAME[tag]):
             for at in range(len(self.open) - 1, -1, -1):
                 if self.open[at][0] in SAME[tag]:
                     self._pop(at)
@@ -119,22 +212,26 @@ class Lines(HTMLParser):
                 if self.open[at][0] in STOPS[tag]:
                     break
         _, aside, hidden, region = self._state()
-        if tag in ASIDE and tag == "header" and any(t in ("article", "main") for t, *_ in self.open):
-            pass  # an article's own header holds its title
-        else:
-            aside = aside or beside(tag, attrs)
+        if not (tag == "header" and (self.count["article"] > 0 or self.count["main"] > 0)):  # an article's own header holds its title
+            is_beside, surely = beside(tag, attrs)
+            if is_beside:
+                self.asides.append((aside, surely))
+                aside = len(self.asides) - 1
         if tag in REGION:
             self.regions.append((tag, region))
             region = len(self.regions) - 1
         self.open.append((tag, aside, hidden or tag in HIDDEN, region))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in BLOCK and self.open and self.open[-1][0] == tag and tag in ("svg", "math", "path"):
-            self.open.pop()
+        if tag in ("svg", "math", "path") and self.open and self.open[-1][0] == tag:
+            self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if self.count[tag] <= 0:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 self._pop(at)
@@ -145,6 +242,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self._state()[2]:
             self.parts.append(data)
+            if self.count["a"] > 0:
+                self.linked += len(data.strip())
 
     def close(self):
         super().close()
@@ -165,6 +264,26 @@ def smoothed(ratios: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
+def _totals(weight: list[int], parent: list[int]) -> list[int]:
+    """Each element's weight with those of the elements inside it, which come after it."""
+    for k in range(len(weight) - 1, 0, -1):
+        weight[parent[k]] += weight[k]
+    return weight
+
+
+def _beside(page: Lines) -> list[bool]:
+    """Of each element beside the article, whether it is one, or is in one, given how much text it holds."""
+    held = [0] * len(page.asides)
+    for line in page.lines:
+        held[line[3]] += len(line[0])
+    held = _totals(held, [a for a, _ in page.asides])
+    out = [False] * len(held)
+    for k in range(1, len(held)):
+        around, surely = page.asides[k]
+        out[k] = out[around] or surely or 2 * held[k] <= held[0]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The page's article: blocks in page order, white space in a block made one space, joined by two line feeds.
 
@@ -173,40 +292,57 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Lines()
-    page.feed(html)
-    page.close()
+    page.read(html)
     lines = page.lines
     if not lines:
         return ""
-    smooth = smoothed([0.0 if aside else len(text) / max(1, tags) for text, tags, _, aside in lines])
+    gone = _beside(page)
+    plain = [k for k, line in enumerate(lines) if not gone[line[3]]]
+    smooth = smoothed([0.0 if gone[aside] else len(text) / max(1, tags) for text, tags, _, aside, _, _ in lines])
     mean = sum(smooth) / len(smooth)
     threshold = min(math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), max(smooth))
-    # characters of content lines under each region, its own and those of regions inside it
-    weight = [0] * len(page.regions)
-    everything = 0
-    for (text, _, region, aside), x in zip(lines, smooth, strict=True):
-        if not aside and x >= threshold:
-            everything += len(text)
-            while True:
-                weight[region] += len(text)
-                if not region:
-                    break
-                region = page.regions[region][1]
-    plain = [i for i, line in enumerate(lines) if not line[3]]
-    if not everything:
-        return "\n\n".join(lines[i][0] for i in plain)
-    # from the page inwards as long as one region holds most of the content
+    content = {k for k in plain if smooth[k] >= threshold}
+    if not content:
+        return "\n\n".join(lines[k][0] for k in plain)
+    # from the page inwards as long as one region holds most of the content's characters
+    parent = [r for _, r in page.regions]
+    weight = [0] * len(parent)
+    for k in content:
+        weight[lines[k][2]] += len(lines[k][0])
+    weight = _totals(weight, parent)
+    best: dict[int, tuple] = {}
+    for r in range(1, len(parent)):
+        if weight[r]:
+            rank = (page.regions[r][0] in ("article", "main"), weight[r], -r)
+            best[parent[r]] = max(best.get(parent[r], rank), rank)
     chosen = 0
-    while True:
-        kids = [r for r in range(1, len(weight)) if page.regions[r][1] == chosen and r != chosen]
-        best = max(kids, key=lambda r: (page.regions[r][0] in ("article", "main"), weight[r]) if weight[r] else (False, 0), default=0)
-        if not best or weight[best] <= (0.3 if page.regions[best][0] in ("article", "main") else 0.8) * weight[chosen]:
+    while chosen in best:
+        sure, heavy, r = best[chosen]
+        if heavy <= (0.3 if sure else 0.8) * weight[chosen]:
             break
-        chosen = best
-    inside = [False] * len(weight)
-    for r in range(len(weight)):
-        inside[r] = r == chosen or bool(r) and inside[page.regions[r][1]]
-    return "\n\n".join(lines[i][0] for i in plain if inside[lines[i][2]])
+        chosen = -r
+    inside = [r == 0 == chosen for r in range(len(parent))]
+    sure = False
+    for r in range(len(parent)):
+        inside[r] = r == chosen or bool(r) and inside[parent[r]]
+    r = chosen
+    while r and not sure:
+        sure, r = page.regions[r][0] in ("article", "main"), parent[r]
+    kept = [k for k in plain if inside[lines[k][2]]]
+    return "\n\n".join(lines[k][0] for k in (kept if sure else _trimmed(kept, lines, content)))
+
+
+def _trimmed(kept: list[int], lines: list[list], content: set[int]) -> list[int]:
+    """Lines without those at either edge that are menus or notices, or no content."""
+
+    def edge(k: int) -> bool:
+        text, _, _, _, linked, heading = lines[k]
+        if 2 * linked > len(text) or len(text) < 100 and NOTICE.search(text):
+            return True
+        return not heading and k not in content
+
+    whole = [k for k in kept if not edge(k)]
+    return kept[kept.index(whole[0]) : kept.index(whole[-1]) + 1] if whole else kept
 
 
 def _extractor(names: list[str]):

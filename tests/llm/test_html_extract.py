@@ -47,3 +47,37 @@ def test_table(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "u", "a b", 3), (1, "u", "a b", 3), (None, None, "", 0)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+W = "word " * 60
+
+
+def test_malformed_and_large_pages_end_soon():
+    import time
+
+    assert main_text("x<![foo[y]]>z<![ 1>q") == "xzq"
+    assert main_text(f"<p>{W}<!-- never ends {W}") == W.strip()
+    began = time.time()
+    assert main_text("<a " * 350_000) == "" and main_text("<!--" * 250_000) == "" and main_text("<b <i " * 170_000) == ""
+    assert len(main_text("<div><p>hello there</p>" * 20_000).split("\n\n")) == 20_000
+    main_text("<div>" * 50_000 + "</section>" * 50_000)
+    assert time.time() - began < 20
+
+
+def test_names_do_not_remove_parts_of_an_article():
+    html = (
+        f'<article><p class="notice-period">{W}</p><section id="form-of-government"><p>{W}</p></section><div class="article-header"><h1>T</h1></div>'
+        f'<p class="form">f</p><ul class="menu-of-the-day"><li>soup</ul><p>{W}</p><div class="site-comments"><p>{W * 9}</p></div></article>'
+    )
+    assert main_text(html).split("\n\n") == [W.strip(), W.strip(), "T", "f", "soup", W.strip()]
+
+
+def test_wrappers_with_telling_names_and_open_heads():
+    assert main_text(f'<html><head><title>t</title><body><form><div class="content has-sidebar"><p>{W}</p><p>{W}</p></div></form>') == f"{W.strip()}\n\n{W.strip()}"
+    assert main_text(f'<div class="sidebar"><p>{W}</p><p>{W}</p></div><div><p>short one</p></div>').startswith("word")
+
+
+def test_menus_and_notices_in_the_same_container_go():
+    links = "".join(f"<li><a href=x>Menu {i}</a>" for i in range(5))
+    html = f"<div><ul>{links}</ul><p>{W}</p><p>Ok.</p><p>{W}</p><p>We use cookies.</p><div>Copyright me</div></div>"
+    assert main_text(html).split("\n\n") == [W.strip(), "Ok.", W.strip()]
