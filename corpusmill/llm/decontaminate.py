@@ -1,28 +1,28 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Documents and items are cut into shingles of ``SIZE`` words. A window is as many consecutive
-shingles as an item has. Its similarity to the item is weighted: sum of the smaller over sum
-of the larger of the two counts of each shingle. A similarity of s needs a share of
-2s / (1 + s) of the window's shingles to be the item's, so windows with fewer are passed over
-without loss; all others get a fingerprint of 128 bits, in which each bit is the majority of
-that bit over the shingles' hashes. A document of fewer shingles than an item is its one
-window for that item: it needs a share of s / (1 + s) of its and the item's shingles, and is
-verified without a look-up.
-
-Fingerprints are looked up by multi-index hashing: eight blocks of 16 bits, of which one is
-within ``RADIUS // 8`` bits in any two fingerprints within ``RADIUS``. Items stand in a table
-under every value so near to their block, so each lookup finds all items within the radius.
-Found pairs are verified by their exact weighted similarity. At a similarity of 0.8 about 19
-of 128 bits differ, four standard deviations below the radius of 39.
-
-Items go to every task: they are collected only while they are fewer than ``ITEMS`` and
-their text is under ``ITEM_BYTES``; a larger benchmark is gone through in parts of that size.
+shingles as an item has. Each gets a fingerprint of 128 bits, in which a bit is the majority
+of that bit over the shingles' hashes. Fingerprints are looked up by multi-index hashing:
+sixteen blocks of 8 bits, of which one is within ``RADIUS // 16`` bits in any two
+fingerprints within ``RADIUS``. Items of a size stand in tables under every value so near to
+their block, so a look-up finds all of them within the radius. Found pairs are verified by
+their exact weighted similarity: the sum of the smaller over the sum of the larger of the two
+counts of each shingle. At a similarity of 0.8 about 19 of 128 bits differ, four standard
+deviations below the radius of 39.
+
+A similarity of s needs a share of 2s / (1 + s) of the window's shingles to be some item's,
+so windows with fewer shingles of the whole benchmark get no fingerprint; no match is lost by
+that, and which item it may be is left to the look-up. A document of fewer shingles than an
+item is its one window for that item and needs a share of s / (1 + s) of both.
+
+Items go to every executor once: they are collected only while they are fewer than ``ITEMS``
+and their text is under ``ITEM_BYTES``; a larger benchmark is gone through in parts of that size.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.words import Words, mix, pieces, rolling, tidy
 
 SIZE, SIMILAR, RADIUS = 5, 0.8, 39
-ITEMS, ITEM_BYTES = 2000, 16 << 20
+ITEMS, ITEM_BYTES, BLOCKS = 8000, 32 << 20, 16
 _BASE = 0xD6E8FEB86659FD93
 _SALTS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 #: Bits of a filter that tells most shingles of no item at one look.
@@ -50,146 +50,158 @@ def shingles(array: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]
     return mix(rolling(h, _BASE, at, np.minimum(at + size, words.first[row + 1]))), off
 
 
-def fingerprint(rows: np.ndarray) -> np.ndarray:
-    """Eight 16-bit blocks for each row of a matrix of shingle hashes."""
-    n, m = rows.shape
-    out = []
-    for salt in _SALTS:
-        bits = np.unpackbits(mix(rows.ravel() ^ salt).astype(">u8").view(np.uint8).reshape(n, m, 8), axis=2)
-        out.append(np.packbits(2 * bits.sum(1, dtype=np.int32) > m, axis=1).reshape(n, 4, 2).astype(np.uint16) @ np.array([256, 1], np.uint16))
-    return np.concatenate(out, axis=1).astype(np.uint16)
+def bits(hashes: np.ndarray) -> np.ndarray:
+    """The 128 bits of each shingle."""
+    wide = np.stack([mix(hashes ^ salt) for salt in _SALTS], axis=1).astype(">u8")
+    return np.unpackbits(wide.view(np.uint8).reshape(len(hashes), 16), axis=1)
+
+
+def fingerprint(ones: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sixteen bytes for each window ``first:last`` of running sums of bits."""
+    return np.packbits(2 * (ones[last] - ones[first]) > (last - first)[:, None], axis=1)
+
+
+def running(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(hashes) + 1, 128), np.int32)
+    np.cumsum(bits(hashes), axis=0, out=out[1:])
+    return out
 
 
 class Items:
     """The benchmark as a task sees it."""
 
-    def __init__(self, ids: list, texts: list[str], similar: float, radius: int):
-        self.ids, self.similar, self.radius = ids, similar, radius
+    def __init__(self, texts: list[str], similar: float, radius: int):
+        self.similar, self.radius = similar, radius
         h, off = shingles(pa.array(texts, pa.string()))
-        self.runs = [h[a:b] for a, b in zip(off, off[1:], strict=False)]
-        self.counts = [Counter(r.tolist()) for r in self.runs]
+        self.counts = [Counter(h[a:b].tolist()) for a, b in zip(off, off[1:], strict=False)]
+        self.known = np.unique(h)
         self.sieve = np.zeros(1 << SIEVE, bool)
         self.sieve[(h & np.uint64((1 << SIEVE) - 1)).astype(np.int64)] = True
-        self.holders: dict[int, list[int]] = {}
-        for k, c in enumerate(self.counts):
-            for s in c:
-                self.holders.setdefault(s, []).append(k)
-        near = [0] + [sum(1 << b for b in c) for n in range(1, radius // 8 + 1) for c in combinations(range(16), n)]
-        near = np.array(near, np.uint16)
-        full = [k for k, r in enumerate(self.runs) if len(r)]
-        prints = np.array([fingerprint(self.runs[k][None])[0] for k in full], np.uint16).reshape(len(full), 8)
-        self.prints = dict(zip(full, prints, strict=True))
-        self.index = []
-        for block in range(8):
-            keys = (prints[:, block, None] ^ near).ravel()
-            who = np.repeat(np.array(full, np.int64), len(near))
-            order = np.argsort(keys, kind="stable")
-            self.index.append((np.searchsorted(keys[order], np.arange((1 << 16) + 1)), who[order]))
-
-    def lookup(self, print_: np.ndarray) -> set[int]:
-        """All items within the radius."""
-        out = set()
-        for block, (first, who) in enumerate(self.index):
-            v = int(print_[block])
-            out.update(who[first[v] : first[v + 1]].tolist())
-        return {k for k in out if int(np.bitwise_count(self.prints[k] ^ print_).sum()) <= self.radius}
+        near = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)) <= radius // BLOCKS
+        self.sizes = {}
+        for size in sorted({int(n) for n in np.diff(off) if n}):
+            who = np.flatnonzero(np.diff(off) == size)
+            ones = [running(h[off[k] : off[k + 1]]) for k in who]
+            prints = np.concatenate([fingerprint(o, np.array([0]), np.array([size])) for o in ones])
+            self.sizes[size] = who, prints, near[:, prints.T].transpose(1, 0, 2)  # (block, value, item)
+
+    def lookup(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, differing bits) of all items of a size within the radius of windows' fingerprints."""
+        who, mine, table = self.sizes[size]
+        found = table[0, prints[:, 0]]
+        for block in range(1, BLOCKS):
+            found = found | table[block, prints[:, block]]
+        w, k = np.nonzero(found)
+        apart = np.bitwise_count(prints[w] ^ mine[k]).sum(1, dtype=np.int64)
+        close = apart <= self.radius
+        return w[close], who[k[close]], apart[close]
 
     def search(self, h: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(item, first shingle, differing bits, similarity) of each item's best window in one document's shingles."""
         hits = np.flatnonzero(self.sieve[(h & np.uint64((1 << SIEVE) - 1)).astype(np.int64)])
-        places: dict[int, list[int]] = {}
-        for at, s in zip(hits.tolist(), h[hits].tolist(), strict=True):
-            for k in self.holders.get(s, ()):
-                places.setdefault(k, []).append(at)
+        if not len(hits):
+            return []
+        at = np.minimum(np.searchsorted(self.known, h[hits]), len(self.known) - 1)
+        held = np.zeros(len(h) + 1, np.int64)
+        held[hits + 1] = self.known[at] == h[hits]
+        held = np.cumsum(held)
         best: dict[int, tuple] = {}
-        done: dict[tuple[int, int], set[int]] = {}
-        for k, at in places.items():
-            size = len(self.runs[k])
-            need = int(np.ceil(self.similar / (1 + self.similar) * (size + min(size, len(h))) - 1e-9))
-            if len(at) < need:
+        ones = None
+        share = self.similar / (1 + self.similar)
+        for size in self.sizes:
+            wide = min(size, len(h))
+            need = int(np.ceil(share * (size + wide) - 1e-9))
+            if held[-1] < need:
                 continue
-            if size > len(h):  # the whole document is the window
-                both = sum((Counter(h.tolist()) & self.counts[k]).values())
-                s = both / (size + len(h) - both)
-                if s >= self.similar:
-                    best[k] = (-s, 0, int(np.bitwise_count(self.prints[k] ^ fingerprint(h[None])[0]).sum()))
+            first = np.flatnonzero(held[wide:] - held[: len(held) - wide] >= need)
+            if not len(first):
                 continue
-            mine = np.zeros(len(h) + 1, np.int64)
-            mine[np.array(at) + 1] = 1
-            mine = np.cumsum(mine)
-            for w in np.flatnonzero(mine[size:] - mine[:-size] >= need).tolist():
-                if (size, w) not in done:
-                    print_ = fingerprint(h[None, w : w + size])[0]
-                    done[size, w] = {(c, int(np.bitwise_count(self.prints[c] ^ print_).sum())) for c in self.lookup(print_)}
-                    window = Counter(h[w : w + size].tolist())
-                    for c, bits in done[size, w]:
-                        if len(self.runs[c]) == size:
-                            both = sum((window & self.counts[c]).values())
-                            s = both / (2 * size - both)
-                            if s >= self.similar:
-                                found = (-s, w, bits)
-                                best[c] = min(best.get(c, found), found)
-        return [(c, w, bits, -s) for c, (s, w, bits) in sorted(best.items())]
-
-
-def _matcher(ids: list, texts: list[str], similar: float, radius: int, kind: pa.DataType):
+            ones = running(h) if ones is None else ones
+            for at in range(0, len(first), 4096):
+                some = first[at : at + 4096]
+                w, item, apart = self.lookup(size, fingerprint(ones, some, some + wide))
+                for p, k, b in zip(some[w].tolist(), item.tolist(), apart.tolist(), strict=True):
+                    both = sum((Counter(h[p : p + wide].tolist()) & self.counts[k]).values())
+                    s = both / (size + wide - both)
+                    if s >= self.similar:
+                        found = (-s, p, b)
+                        best[k] = min(best.get(k, found), found)
+        return [(k, p, b, -s) for k, (s, p, b) in sorted(best.items())]
+
+
+#: The benchmark that this worker has laid out last, under its part's name.
+_LAID: dict[str, Items] = {}
+
+
+def _laid(shared, similar: float, radius: int) -> Items:
+    name, texts = shared.value
+    if name not in _LAID:
+        _LAID.clear()
+        _LAID[name] = Items(texts, similar, radius)
+    return _LAID[name]
+
+
+def _matcher(shared, ids: list, similar: float, radius: int):
     def run(batches):
-        items = Items(ids, texts, similar, radius)
+        items = _laid(shared, similar, radius)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 h, off = shingles(piece.column("text"))
                 found = [(r, *x) for r in range(piece.num_rows) for x in items.search(h[off[r] : off[r + 1]])]
                 if found:
-                    row, item, at, bits, s = zip(*found, strict=True)
-                    cols = [piece.column("doc_id").take(pa.array(row)), pa.array([ids[k] for k in item]), pa.array(at, pa.int64()), pa.array(bits, pa.int32()), pa.array(s)]
+                    row, item, at, apart, s = zip(*found, strict=True)
+                    cols = [piece.column("doc_id").take(pa.array(row)), pa.array([ids[k] for k in item], pa.int64()), pa.array(at, pa.int64()), pa.array(apart, pa.int32()), pa.array(s)]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "first_word", "bits", "similarity"])
 
     return tidy(run)
 
 
+def _parts(items: DataFrame):
+    """Distinct items in parts of bounded size: their ids, and a broadcast of their texts."""
+    spark = items.sparkSession
+    items = items.select(F.col("item_id").cast("long"), "text").filter("text is not null").distinct()
+    total, held = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-total // ITEMS), -(-held // ITEM_BYTES))
+    for part in range(parts):
+        rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        got = sorted(((r.item_id, r.text) for r in rows.toLocalIterator()), key=lambda x: (x[0] is None, x))
+        yield [g[0] for g in got], spark.sparkContext.broadcast((uuid.uuid4().hex, [g[1] for g in got]))
+
+
 def matches(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, bits, similarity): for each document and item its best verified window.
 
     Words are runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased. Items of fewer than five words
-    are one shingle and match documents that are those words; null and empty items and texts
+    are one shingle and match documents that are those words, not texts that hold them among
+    others, as so few words say nothing about a text; null and empty items and texts
     match nothing. Where the text has fewer shingles than the item, the whole text is the
     window, so a shortened item is found too. Rows with a null doc_id or repeated rows are matched like any other. Ties
-    go to the earlier window. ``first_word`` counts from 0. Other columns are left out.
+    go to the earlier window. ``first_word`` counts from 0. Texts count whole, however long; empty
+    tables give an empty result. Other columns are left out.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = items.select(F.col("item_id").cast("long"), "text").filter("text is not null")
-    total, held = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    parts = max(1, -(-total // ITEMS), -(-held // ITEM_BYTES))
-    found = None
-    for part in range(parts):
-        rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        got = sorted({(r.item_id, r.text) for r in rows.toLocalIterator()}, key=lambda x: (x[0] is None, x))
-        run = _matcher([g[0] for g in got], [g[1] for g in got], similar, radius, None)
-        some = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, first_word long, bits int, similarity double")
-        found = some if found is None else found.union(some)
-    return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, first_word long, bits int, similarity double")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, first_word long, bits int, similarity double"
+    found = [docs.mapInArrow(_matcher(shared, ids, similar, radius), schema) for ids, shared in _parts(items)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
-def _flagger(ids: list, texts: list[str], similar: float, radius: int, names: list[str]):
+def _flagger(shared, similar: float, radius: int, names: list[str]):
     def run(batches):
-        items = Items(ids, texts, similar, radius)
+        items = _laid(shared, similar, radius)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 h, off = shingles(piece.column("text"))
                 keep = [not items.search(h[off[r] : off[r + 1]]) for r in range(piece.num_rows)]
-                yield piece.filter(pa.array(keep)).select(names)
+                yield piece.filter(pa.array(keep, pa.bool_())).select(names)
 
     return tidy(run)
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """``docs`` (with a column text) without the documents in which a window matches an item; see ``matches``."""
-    items = items.select(F.col("item_id").cast("long"), "text").filter("text is not null")
-    total, held = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    parts = max(1, -(-total // ITEMS), -(-held // ITEM_BYTES))
-    for part in range(parts):
-        rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        got = sorted({(r.item_id, r.text) for r in rows.toLocalIterator()}, key=lambda x: (x[0] is None, x))
-        docs = docs.mapInArrow(_flagger([g[0] for g in got], [g[1] for g in got], similar, radius, docs.columns), docs.schema)
+    for _, shared in _parts(items):
+        docs = docs.mapInArrow(_flagger(shared, similar, radius, docs.columns), docs.schema)
     return docs

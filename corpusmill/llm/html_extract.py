@@ -309,16 +309,18 @@ def main_text(html: str | None) -> str:
     weight = [0] * len(parent)
     for k in content:
         weight[lines[k][2]] += len(lines[k][0])
+    direct = list(weight)
     weight = _totals(weight, parent)
     best: dict[int, tuple] = {}
     for r in range(1, len(parent)):
         if weight[r]:
             rank = (page.regions[r][0] in ("article", "main"), weight[r], -r)
             best[parent[r]] = max(best.get(parent[r], rank), rank)
-    chosen = 0
+    chosen = left = 0
     while chosen in best:
         sure, heavy, r = best[chosen]
-        if heavy <= (0.3 if sure else 0.8) * weight[chosen]:
+        left += direct[chosen]  # content of the region itself, which goes with it
+        if heavy <= (0.3 if sure else 0.8) * weight[chosen] or not sure and left > 0.02 * weight[0]:
             break
         chosen = -r
     inside = [r == 0 == chosen for r in range(len(parent))]

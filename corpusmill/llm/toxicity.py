@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.words import Words, mix, pieces, tidy
@@ -20,6 +20,8 @@ BITS = 20
 GAPS = (1, 2, 3)
 #: Labelled rows that a model is fitted on at most: those of smallest hash.
 SAMPLE = 10_000
+#: Bytes of their texts at most.
+BYTES = 128 << 20
 #: Value of a pair, against 1 of a word: pairs seen once else explain the sample before words do.
 PAIR = 0.2
 
@@ -100,18 +102,23 @@ def _trainer(epochs: int):
     return tidy(run)
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "toxic", sample: int = SAMPLE, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "toxic", sample: int = SAMPLE, epochs: int = 4, most: int = BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Indices and weights fitted on labelled documents where ``use`` (on doc_id) holds.
 
-    Of these the ``sample`` of smallest hash are taken, in that order, so a rerun gives the
-    same weights. Rows with a null doc_id, label or text are left out; of several labels of
-    a document the largest counts. Without any row the intercept is -35 and nothing else.
+    Of these the ``sample`` of smallest hash are taken, in that order and as long as their
+    texts have ``most`` bytes together, so a rerun gives the same weights and the one task
+    that fits has bounded work. Rows with a null doc_id, label or text are left out; of
+    several labels of a document the largest counts, of several texts the least. Without any
+    row, as from empty tables, the intercept is -35 and nothing else.
     """
     marked = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & use)
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("_order", F.xxhash64("doc_id"))
-    some = F.broadcast(marked.orderBy("_order", "doc_id").limit(sample))  # at most ``sample`` rows of three numbers
-    rows = docs.select("doc_id", "text").filter("text is not null").join(some, "doc_id").select("_order", "label", "text")
-    got = rows.repartition(1).mapInArrow(_trainer(epochs), "at long, w double").collect()
+    held = docs.filter("text is not null").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("_bytes"))
+    some = marked.join(held, "doc_id").orderBy("_order", "doc_id").limit(sample)
+    running = F.sum("_bytes").over(Window.orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over ``sample`` rows
+    some = F.broadcast(some.withColumn("_sum", running).filter(F.col("_sum") <= most).drop("_sum", "_bytes"))  # at most ``sample`` rows of three numbers
+    rows = docs.select("doc_id", "text").filter("text is not null").join(some, "doc_id").groupBy("doc_id", "_order", "label").agg(F.min("text").alias("text"))
+    got = rows.select("_order", "label", "text").repartition(1).mapInArrow(_trainer(epochs), "at long, w double").collect()
     if not got:  # no partition, no task
         return np.array([1 << BITS]), np.array([-35.0])
     got.sort(key=lambda r: r.at)
@@ -140,7 +147,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
     """``docs`` with ``score``: the model's probability of label 1, of every whole text.
 
     Null and empty texts score the intercept alone. Rows are scored one by one, so repeats,
-    ties and a null doc_id need no care; a column ``score`` is replaced.
+    ties and a null doc_id need no care; an empty table gives an empty result, a column ``score`` is replaced.
     """
     docs = docs.drop("score")
     names = docs.columns

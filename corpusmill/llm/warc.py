@@ -13,10 +13,13 @@ row for each slice, and within a slice a window runs over the slice's rows only.
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import io
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -171,7 +174,7 @@ def write_record(record: dict) -> bytes:
 
 
 def _headers(raw: bytes) -> tuple[str, dict[str, str]]:
-    lines = raw.decode("utf-8", "replace").split("\r\n")
+    lines = raw.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
     out: dict[str, str] = {}
     last = None
     for line in lines[1:]:
@@ -183,59 +186,88 @@ def _headers(raw: bytes) -> tuple[str, dict[str, str]]:
     return lines[0], out
 
 
-def read_records(data: bytes) -> Iterator[dict]:
-    """Rows of ``COLUMNS`` of a WARC file, plain or gzipped; reading ends at the first record that is cut off."""
-    import datetime
+class _Unzipped(io.RawIOBase):
+    """The contents of gzip members one after the other, up to where one is cut off or broken."""
 
-    if data[:2] == b"\x1f\x8b":
+    def __init__(self, source: BinaryIO):
+        self.members = gzip.GzipFile(fileobj=source)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
         try:
-            data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
-        except EOFError:
-            parts, stream = [], gzip.GzipFile(fileobj=io.BytesIO(data))
-            try:
-                while chunk := stream.read1(1 << 16):
-                    parts.append(chunk)
-            except EOFError:
-                pass
-            data = b"".join(parts)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
-            return
-        _, head = _headers(data[start:end])
-        head = {k.lower(): v for k, v in head.items()}
-        size = int(head.get("content-length") or 0)
-        body = data[end + 4 : end + 4 + size]
-        if len(body) < size:
+            some = self.members.read1(len(into))
+        except (EOFError, gzip.BadGzipFile, zlib.error):
+            return 0
+        into[: len(some)] = some
+        return len(some)
+
+
+def _date(text: str | None) -> datetime.datetime | None:
+    try:
+        when = datetime.datetime.fromisoformat((text or "").strip().replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return when if when.tzinfo else when.replace(tzinfo=datetime.UTC)
+
+
+def read_records(source: bytes | BinaryIO) -> Iterator[dict]:
+    """Rows of ``COLUMNS`` of a WARC file, plain or gzipped, read record by record.
+
+    A record without a sound Content-Length is left out, and reading goes on at the next
+    line that begins a record; a date that is none is null. Reading ends at a record that is
+    cut off, or where a gzip member is broken.
+    """
+    stream: BinaryIO = io.BytesIO(source) if isinstance(source, bytes) else source
+    stream = io.BufferedReader(stream) if not hasattr(stream, "peek") else stream
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(_Unzipped(stream))
+    number = 0
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        raw = [line]
+        while (line := stream.readline()) and line.strip():
+            raw.append(line)
+        head = {k.lower(): v for k, v in _headers(b"".join(raw))[1].items()}
+        size = head.get("content-length", "0").strip()
+        if not (size.isascii() and size.isdigit()):
+            continue
+        body = stream.read(int(size))
+        if len(body) < int(size):
             return
-        at = end + 4 + size
+        number += 1
         kind, status, headers, payload = head.get("warc-type"), None, None, body or None
         if kind in ("response", "revisit") and body.startswith(b"HTTP/"):
-            raw, _, payload = body.partition(b"\r\n\r\n")
-            first, headers = _headers(raw)
+            front, _, payload = body.partition(b"\r\n\r\n")
+            first, headers = _headers(front)
             word = first.split()
-            status = int(word[1]) if len(word) > 1 and word[1].isdigit() else None
+            status = int(word[1]) if len(word) > 1 and word[1].isascii() and word[1].isdigit() and len(word[1]) < 9 else None
             payload = payload or None
-        date = head.get("warc-date")
-        when = datetime.datetime.fromisoformat(date.replace("Z", "+00:00")) if date else None
         yield {
-            "record_id": head.get("warc-record-id", f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(start))}").strip("<>"),
-            "type": kind, "url": head.get("warc-target-uri"), "date": when, "status": status, "headers": headers,
+            "record_id": head.get("warc-record-id", f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(number))}").strip("<>"),
+            "type": kind, "url": head.get("warc-target-uri"), "date": _date(head.get("warc-date")), "status": status, "headers": headers,
             "payload": payload, "profile": head.get("warc-profile"), "refers_to": (head.get("warc-refers-to") or "").strip("<>") or None,
         }
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """Captures of all WARC files at a path that Spark can read."""
+    """Captures of all WARC files at a path that Spark can read, a file (2 GB at most) to a worker, unpacked record by record."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
-                rows = list(read_records(content.as_buffer().to_pybytes()))
-                for at in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 256], _ARROW)
+                rows, held = [], 0
+                for row in read_records(io.BytesIO(content.as_buffer())):
+                    rows.append(row)
+                    held += len(row["payload"] or b"")
+                    if len(rows) == 256 or held > 1 << 24:
+                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     return files.mapInArrow(run, COLUMNS)
 

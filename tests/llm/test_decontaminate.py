@@ -55,10 +55,12 @@ def test_against_brute_force(spark, monkeypatch):
 def test_lookup_finds_all_items_within_the_radius():
     rnd = random.Random(4)
     texts = [" ".join(rnd.choices("abcdefg", k=9)) for _ in range(60)]
-    items = decontaminate.Items(list(range(60)), texts, 0.8, decontaminate.RADIUS)
-    for k, p in items.prints.items():
-        want = {j for j, o in items.prints.items() if sum(int(a ^ b).bit_count() for a, b in zip(p, o, strict=True)) <= decontaminate.RADIUS}
-        assert items.lookup(p) == want and k in want
+    radius = 52
+    items = decontaminate.Items(texts, 0.8, radius)
+    who, prints, _ = items.sizes[5]
+    near = {(i, j) for i, p in enumerate(prints) for j, o in enumerate(prints) if sum(int(a ^ b).bit_count() for a, b in zip(p, o, strict=True)) <= radius}
+    w, k, _ = items.lookup(5, prints)
+    assert set(zip(w.tolist(), k.tolist(), strict=True)) == near and len(near) > 60
 
 
 def test_empty(spark):

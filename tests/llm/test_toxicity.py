@@ -65,3 +65,39 @@ def test_nothing_to_learn_from(spark):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     assert toxicity.score(docs, model).count() == 0
     assert toxicity.score(spark.createDataFrame([(1, "a b")], docs.schema), model).first().score < 1e-9
+
+
+def test_ftrl_against_plain_python():
+    """Per-coordinate FTRL-proximal with a dictionary of numbers, as in the paper."""
+    rnd = random.Random(8)
+    ftrl, z, n = toxicity.Ftrl(), {}, {}
+    bias = 1 << toxicity.BITS
+
+    def weight(i):
+        s = z.get(i, 0.0)
+        l1 = 0.0 if i == bias else ftrl.l1
+        return 0.0 if abs(s) <= l1 and i != bias else -(s - (1 if s > 0 else -1) * l1) / ((ftrl.beta + n.get(i, 0.0) ** 0.5) / ftrl.alpha + ftrl.l2)
+
+    for _ in range(400):
+        at = sorted(rnd.sample(range(60), 12))
+        label = int(sum(i < 15 for i in at) > 3)
+        value = [1.0 if i < 40 else toxicity.PAIR for i in at]
+        ftrl.learn(np.array(at), np.array(value), label)
+        p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in zip([*at, bias], [*value, 1.0], strict=True))))
+        w = {i: weight(i) for i in [*at, bias]}
+        for i, v in zip([*at, bias], [*value, 1.0], strict=True):
+            g = (p - label) * v
+            z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / ftrl.alpha * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    at, w = ftrl.model()
+    got = dict(zip(at.tolist(), w.tolist(), strict=True))
+    assert all(abs(got.get(i, 0.0) - weight(i)) < 1e-9 for i in [*range(60), bias]) and len(got) > 5
+
+
+def test_the_sample_is_bounded_in_bytes_and_counts_documents(spark):
+    docs, labels = make(200)
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    lab = spark.createDataFrame([*labels, *((i, 1) for i in range(5000, 9000))], "doc_id long, toxic int")
+    few = toxicity.train(df, lab, F.lit(True), sample=150, most=20_000)
+    all_ = toxicity.train(df, lab, F.lit(True), sample=200)
+    assert len(few[0]) < len(all_[0]) and len(all_[0]) > 3

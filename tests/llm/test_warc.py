@@ -89,7 +89,7 @@ def test_files_round_trip(spark, tmp_path):
         assert bytes(g["payload"] or b"") == (r["payload"] or b"")
         if r["type"] in ("response", "revisit"):
             assert g["status"] == (r["status"] or (304 if r["type"] == "revisit" else 200))
-    cut = b"".join(data)[:-40]
+    cut = b"".join(data[:-1]) + data[-1][:60]
     assert len(list(warc.read_records(cut))) == 59
 
 
@@ -120,3 +120,14 @@ def test_profiles_of_both_versions_and_others(spark):
     assert {(r.record_id, r.outcome, r.original_id) for r in warc.resolve_revisits(given).collect()} == {("v1", "resolved", "r"), ("v2", "resolved", "r")}
     both = warc.resolve_revisits(given).unionByName(warc.other_revisits(given)).collect()
     assert sorted((r.record_id, r.outcome) for r in both) == [("d", "other_profile"), ("n", "other_profile"), ("v1", "resolved"), ("v2", "resolved")]
+
+
+def test_malformed_records_are_left_out():
+    good = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:a>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: 19\r\n\r\nHTTP/1.1 200 OK\r\n\r\n\r\n\r\n"
+    bad = good.replace(b"Content-Length: 19", b"Content-Length: x1").replace(b"urn:a", b"urn:b")
+    odd = good.replace(b"2024-01-01T00:00:00Z", b"yesterday").replace(b"urn:a", b"urn:c")
+    got = {r["record_id"]: r["date"] for r in warc.read_records(good + bad + odd + b"noise\r\n" + good.replace(b"urn:a", b"urn:d"))}
+    assert set(got) == {"urn:a", "urn:c", "urn:d"} and got["urn:c"] is None and got["urn:a"].year == 2024
+    zipped = __import__("gzip").compress(good)
+    assert [r["record_id"] for r in warc.read_records(zipped + b"\x1f\x8bbroken")] == ["urn:a"]
+    assert list(warc.read_records(b"")) == []
