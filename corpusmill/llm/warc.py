@@ -230,6 +230,8 @@ def read_records(source: bytes | BinaryIO) -> Iterator[dict]:
         raw = [line]
         while (line := stream.readline()) and line.strip():
             raw.append(line)
+        if not line:
+            return
         head = {k.lower(): v for k, v in _headers(b"".join(raw))[1].items()}
         size = head.get("content-length", "0").strip()
         if not (size.isascii() and size.isdigit()):

@@ -20,29 +20,51 @@ CONTEXT_SCORE = 1.25
 CONTEXT_TYPES = ("function", "method", "endpoint", "api_call", "file_summary")
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
+def postings(rows: DataFrame, key: str = "chunk_id", text: str = "haystack") -> DataFrame:
+    """(key, token, tf, length): how often each row has each of its tokens, and how many tokens it has."""
+    tok = rows.select(key, X.tokens(F.col(text)).alias("_t"))
+    return tok.select(key, F.size("_t").alias("length"), F.explode("_t").alias("token")).groupBy(key, "length", "token").agg(F.count("*").alias("tf"))
+
+
+def corpus_stats(chunks: DataFrame, posts: DataFrame | None = None) -> DataFrame:
     """One row: chunks (n_chunks, 1 at least) and mean number of tokens (avg_tokens) of ``haystack``."""
-    return chunks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_chunks"), F.coalesce(F.avg(F.size(X.tokens(F.col("haystack")))), F.lit(0.0)).alias("avg_tokens"))
+    posts = postings(chunks) if posts is None else posts
+    n = chunks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_chunks"))
+    return n.crossJoin(posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_t"))).select("n_chunks", (F.col("_t") / F.col("n_chunks")).alias("avg_tokens"))  # one row each
 
 
-def term_idf(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def term_idf(chunks: DataFrame, queries: DataFrame, posts: DataFrame | None = None) -> DataFrame:
     """(term, df, idf) of all terms of the queries; terms that no chunk has included.
 
     Only tokens that some query asks for are shuffled.
     """
     asked = queries.select(F.explode(X.query_terms(F.col("query"))).alias("term")).distinct()
-    seen = chunks.select(F.explode(F.array_distinct(X.tokens(F.col("haystack")))).alias("term")).join(asked, "term").groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(chunks)
+    posts = postings(chunks) if posts is None else posts
+    seen = posts.select(F.col("token").alias("term")).join(asked, "term").groupBy("term").agg(F.count("*").alias("df"))
+    stats = corpus_stats(chunks, posts)
     n, df = F.col("n_chunks"), F.coalesce("df", F.lit(0))
-    return asked.join(seen, "term", "left").crossJoin(F.broadcast(stats)).select("term", df.alias("df"), F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+    return asked.join(seen, "term", "left").crossJoin(stats).select("term", df.alias("df"), F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
 
 
-def weighted_queries(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def weighted_queries(chunks: DataFrame, queries: DataFrame, posts: DataFrame | None = None) -> DataFrame:
     """(query_id, query, kind, terms: [(term, idf)] in term order, avg_tokens); queries without terms are left out."""
     terms = queries.select("query_id", F.posexplode(X.query_terms(F.col("query"))).alias("pos", "term"))
-    weighed = terms.join(term_idf(chunks, queries), "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "idf"))).alias("terms"))
+    weighed = terms.join(term_idf(chunks, queries, posts), "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "idf"))).alias("terms"))
     rows = queries.select("query_id", "query", X.question_type(F.col("query")).alias("kind")).join(weighed, "query_id")
-    return rows.crossJoin(F.broadcast(corpus_stats(chunks).select("avg_tokens")))
+    return rows.crossJoin(corpus_stats(chunks, posts).select("avg_tokens"))
+
+
+def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """(text, part): all distinct texts and distinct parts, not empty, such that the text holds the part.
+
+    An equi-join of a part's first three characters with the texts' substrings of one to
+    three characters; what meets there is compared.
+    """
+    lead = parts.select(part).filter(F.length(part) > 0).distinct().withColumn("_g", F.substring(part, 1, 3))
+    some = texts.select(text).filter(F.length(text) > 0).distinct()
+    gram = lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(F.col(text), i, F.lit(n)))
+    grams = some.withColumn("_g", F.explode(F.array_distinct(F.concat(gram(1), gram(2), gram(3)))))
+    return grams.join(lead, "_g").filter(F.col(text).contains(F.col(part))).select(text, part)
 
 
 def bm25(terms: Column, tokens: Column, avg_tokens: Column) -> Column:
@@ -75,7 +97,10 @@ def fuzzy_scores(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     words = tokens.select("token").distinct()
     asked = terms.select("term").distinct()
     low, high = F.least(F.length("term"), F.length("token")), F.length("term") + F.length("token")
-    pairs = words.join(F.broadcast(asked), 2 * low >= 0.76 * high).withColumn("ratio", _ratio("term", "token")).filter("ratio >= 0.76")
+    # a ratio of 0.76 needs matching characters, counted with repeats, of 0.76 of the mean length: few pairs have them
+    counted = lambda df, c: df.select(c, F.explode(F.split(c, "")).alias("_l")).filter("_l <> ''").groupBy(c, "_l").agg(F.count("*").alias(f"_{c}"))
+    alike = counted(words, "token").join(counted(asked, "term"), "_l").groupBy("term", "token").agg(F.sum(F.least("_term", "_token")).alias("_both"))
+    pairs = alike.filter((2 * low >= 0.76 * high - 1e-9) & (2 * F.col("_both") >= 0.76 * high - 1e-9)).withColumn("ratio", _ratio("term", "token")).filter("ratio >= 0.76")
     best = terms.join(pairs, "term").join(tokens.distinct(), "token").groupBy("query_id", "id", "term").agg(F.max("ratio").alias("ratio"))
     return best.groupBy("query_id", "id").agg(F.sum(F.when(F.col("ratio") >= 0.88, 1.2).otherwise(0.55)).alias("fuzzy"))
 
@@ -91,39 +116,53 @@ def first_per_chunk(seeds: DataFrame, by: list[str], score: str = "score", tie:
     return seeds.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def lexical(chunks: DataFrame, queries: DataFrame, fuzzy: bool = False, digits: int = 6) -> DataFrame:
+def _hits(posts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, length, term, tf): the terms that each row holds as a token (``tf`` times) or, at 0, inside one.
+
+    A term holds no character that parts tokens, so a text holds it exactly where one of its
+    tokens does. Terms are therefore looked for in the distinct tokens, which grow far
+    slower than the rows, and the rest is an equi-join of postings.
+    """
+    words = containing(posts, "token", terms, "term")
+    return posts.join(words, "token").groupBy(key, "length", "term").agg(F.sum(F.when(F.col("token") == F.col("term"), F.col("tf")).otherwise(0)).alias("tf"))
+
+
+def lexical(chunks: DataFrame, queries: DataFrame, fuzzy: bool = False, k: int | None = None, digits: int = 6) -> DataFrame:
     """(query_id, chunk_id, score, rank, matched, reasons): chunks (chunk_id, path, symbol, chunk_type, haystack) with a score over 0.
 
     BM25, 0.65 times the lexical score, 0.8 times the fuzzy score, and extras for the
-    question's type, a named symbol or path, endpoints and logins.
-
-    A term holds no character that parts tokens, so a haystack holds it exactly where one of
-    its tokens does. Terms are therefore looked for in the distinct tokens, which grow far
-    slower than the chunks, and the rest is an equi-join of postings.
+    question's type, a symbol or path that it names, endpoints and logins. With ``k`` the
+    best ``k`` of each question; then of chunks that only their type or a login speaks for,
+    which all score alike, the first ``k`` of each kind stand in.
     """
-    asked = F.broadcast(cut(weighted_queries(chunks, queries)))  # a row for each query, used four times
-    terms = F.broadcast(asked.select("query_id", "avg_tokens", F.explode("terms").alias("t")).select("query_id", "avg_tokens", "t.pos", "t.term", "t.idf"))
-    have = chunks.select("chunk_id", X.tokens(F.col("haystack")).alias("tokens"))
-    posts = have.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    words = posts.select("token").distinct().join(F.broadcast(terms.select("term").distinct()), F.col("token").contains(F.col("term")))
-    hits = posts.join(words, "token").groupBy("chunk_id", "length", "term").agg(F.count_if(F.col("token") == F.col("term")).alias("tf"))
+    posts = cut(postings(chunks))
+    asked = cut(weighted_queries(chunks, queries, posts))  # a row for each query, used several times
+    terms = asked.select("query_id", "avg_tokens", F.explode("terms").alias("t")).select("query_id", "avg_tokens", "t.pos", "t.term", "t.idf")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("avg_tokens", F.lit(1.0)))
     one = F.when(F.col("tf") > 0, F.col("idf") * F.col("tf") * (K1 + 1) / norm + 0.65 * 2.0).otherwise(0.65 * 0.75)
-    scored = hits.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(one).alias("base"), F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("m"))
+    scored = _hits(posts, terms, "chunk_id").join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(one).alias("base"), F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("m"))
     scored = scored.select("query_id", "chunk_id", "base", F.array_join(F.transform("m", lambda x: x["term"]), " ").alias("matched"))
 
     hay, low = F.col("haystack"), F.lower("query")
     facts = chunks.select("chunk_id", "path", X.empty(F.col("symbol")).alias("symbol"), "chunk_type", (hay.contains("login") | hay.contains("auth")).alias("_login"))
     shown = asked.select("query_id", "query", "kind")
     boost = X.chunk_boost(F.col("kind"), F.col("chunk_type"))
-    typed = facts.filter(F.col("chunk_type").isin(*{c for by in X.CHUNK_BOOSTS.values() for c in by})).join(shown, boost > 0)
-    gate = facts.filter("_login").join(shown.filter(low.contains("login")))
-    more = typed.union(gate).select("query_id", "chunk_id", F.lit(0.0).alias("base"), F.lit("").alias("matched"))
+    few = facts.filter(F.col("_login") | F.col("chunk_type").isin(*{c for by in X.CHUNK_BOOSTS.values() for c in by}))
+    if k is not None:
+        few = few.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_type", "_login").orderBy("chunk_id"))).filter(F.col("_n") <= k).drop("_n")
+    kinds = shown.select("kind").distinct().join(few.select("chunk_type").distinct(), boost > 0)  # a handful of kinds and types
+    typed = few.join(kinds, "chunk_type").join(shown, "kind")
+    gate = few.filter("_login").withColumn("_by", F.lit("login")).join(shown.filter(low.contains("login")).withColumn("_by", F.lit("login")), "_by")
+    only = [x.select("query_id", "chunk_id") for x in (typed, gate)]
+    lows = shown.select("query_id", low.alias("_low"))
+    for c in ("symbol", "path"):  # what a question names
+        names = facts.select("chunk_id", F.lower(c).alias("_part"))
+        only.append(names.join(containing(lows, "_low", names, "_part"), "_part").join(lows, "_low").select("query_id", "chunk_id"))
+    more = only[0].union(only[1]).union(only[2]).union(only[3]).distinct().select("query_id", "chunk_id", F.lit(0.0).alias("base"), F.lit("").alias("matched"))
     if fuzzy:
-        wanted = queries.select("query_id", F.explode(X.query_terms(F.col("query"))).alias("term"))
-        near = fuzzy_scores(wanted, posts.select(F.col("chunk_id").alias("id"), "token"))
+        near = fuzzy_scores(terms.select("query_id", "term"), posts.select(F.col("chunk_id").alias("id"), "token"))
         more = more.union(near.select("query_id", F.col("id"), 0.8 * F.col("fuzzy"), F.lit("")))
-    pairs = scored.union(more).groupBy("query_id", "chunk_id").agg(F.sum("base").alias("base"), F.max("matched").alias("matched")) if fuzzy else scored.union(more.join(scored, ["query_id", "chunk_id"], "left_anti").distinct())
+    pairs = scored.union(more).groupBy("query_id", "chunk_id").agg(F.sum("base").alias("base"), F.max("matched").alias("matched"))
     pairs = pairs.join(facts, "chunk_id").join(shown, "query_id")
     named = (F.col("symbol") != "") & low.contains(F.lower("symbol"))
     at_path = low.contains(F.lower("path"))
@@ -133,28 +172,69 @@ def lexical(chunks: DataFrame, queries: DataFrame, fuzzy: bool = False, digits:
     codes = [(F.lit(True), "lexical_chunk_match"), (named, "exact_symbol_in_query"), (at_path, "exact_file_in_query"), (endpoint, "endpoint_term_match"), (login, "login_auth_compatibility_boost")]
     reasons = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(v)) for c, v in codes])), ",")
     kept = pairs.withColumn("score", F.round(F.col("base") + extra, digits)).filter("score > 0")
-    return rank(kept.select("query_id", "chunk_id", "score", "matched", reasons.alias("reasons")), ["query_id"])
+    ranked = rank(kept.select("query_id", "chunk_id", "score", "matched", reasons.alias("reasons")), ["query_id"])
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
+def text_score(rows: DataFrame, queries: DataFrame, offset: float, key: str = "chunk_id", fuzzy: bool = True, digits: int = 6) -> DataFrame:
+    """(query_id, key, score): lexical (and fuzzy) score of ``haystack``, 2 more where it holds the whole query, plus ``offset``; only where the text itself scores."""
+    posts = cut(postings(rows, key))
+    terms = queries.select("query_id", F.explode(X.query_terms(F.col("query"))).alias("term"))
+    parts = [_hits(posts, terms, key).join(terms, "term").select("query_id", key, F.when(F.col("tf") > 0, 2.0).otherwise(0.75).alias("score"))]
+    whole = queries.select("query_id", F.lower(F.trim("query")).alias("_whole"))
+    held = containing(rows, "haystack", whole, "_whole")
+    parts.append(rows.select(key, "haystack").join(held, "haystack").join(whole, "_whole").select("query_id", key, F.lit(2.0).alias("score")))
+    if fuzzy:
+        parts.append(fuzzy_scores(terms, posts.select(F.col(key).alias("id"), "token")).select("query_id", F.col("id").alias(key), F.col("fuzzy").alias("score")))
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.union(more)
+    return found.groupBy("query_id", key).agg(F.round(F.sum("score") + offset, digits).alias("score"))
 
 
-def text_score(rows: DataFrame, queries: DataFrame, offset: float, key: str = "chunk_id", fuzzy: bool = False) -> DataFrame:
-    """(query_id, key, title, score): lexical (and fuzzy) score of ``haystack``, 2 more where it holds the whole query, plus ``offset``; only where the text itself scores."""
-    asked = F.broadcast(queries.select("query_id", "query", X.query_terms(F.col("query")).alias("terms")).filter(F.size("terms") > 0))
-    whole = F.lower(F.trim("query"))
-    have = rows.withColumn("_tokens", X.tokens(F.col("haystack")))
-    pairs = have.crossJoin(asked)
-    score = X.lexical_score(F.col("terms"), F.col("haystack"), F.col("_tokens")) + F.when((whole != "") & F.col("haystack").contains(whole), 2.0).otherwise(0.0)
-    pairs = pairs.withColumn("score", score)
-    if fuzzy:
-        terms = queries.select("query_id", F.explode(X.query_terms(F.col("query"))).alias("term"))
-        extra = fuzzy_scores(terms, rows.select(F.col(key).alias("id"), F.explode(X.tokens(F.col("haystack"))).alias("token"))).withColumnRenamed("id", key)
-        pairs = pairs.join(extra, ["query_id", key], "left").withColumn("score", F.col("score") + F.coalesce("fuzzy", F.lit(0.0)))
-    return pairs.filter("score > 0").withColumn("score", F.col("score") + offset).drop("_tokens")
+def symbol_entities(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(entity_id, chunk_id, title, path, haystack) of symbols (symbol_id, path, name, symbol_type, signature, start_line, end_line) that have a chunk."""
+    rows = chunk_of_symbol(symbols, chunks).filter("chunk_id is not null")
+    return rows.select(F.col("symbol_id").alias("entity_id"), "chunk_id", F.col("name").alias("title"), "path", X.haystack([F.col(c) for c in ("name", "symbol_type", "signature", "path")]).alias("haystack"))
+
+
+def endpoint_entities(endpoints: DataFrame, chunks: DataFrame) -> DataFrame:
+    """As above, of endpoints (endpoint_id, path, method, route, handler, metadata: keys and values in one string)."""
+    rows = chunk_of_endpoint(endpoints, chunks).filter("chunk_id is not null")
+    hay = X.haystack([F.col(c) for c in ("method", "route", "handler", "path", "metadata")])
+    return rows.select(F.col("endpoint_id").alias("entity_id"), "chunk_id", F.concat_ws(" ", "method", "route").alias("title"), "path", hay.alias("haystack"))
+
+
+def file_entities(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """As above, of files (path, language, file_type)."""
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    hay = X.haystack([F.col("path"), name, F.col("language"), F.col("file_type")])
+    return files.join(summary_chunk(chunks), "path").select(F.col("path").alias("entity_id"), "chunk_id", F.col("path").alias("title"), "path", hay.alias("haystack"))
+
+
+def node_entities(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """As above, of graph nodes (id, label, type, file_path, role, summary, layer, tags: in one string, start_line, end_line)."""
+    rows = chunk_of_node(nodes, chunks).filter("chunk_id is not null")
+    hay = X.haystack([F.col(c) for c in ("label", "type", "file_path", "role", "summary", "layer", "tags")])
+    return rows.select(F.col("id").alias("entity_id"), "chunk_id", F.col("label").alias("title"), F.col("file_path").alias("path"), hay.alias("haystack"))
+
+
+def seeds(entities: DataFrame, queries: DataFrame, kind: str, fuzzy: bool = True) -> DataFrame:
+    """(query_id, chunk_id, title, path, score): each entity that scores for a question; ``kind`` names its addend in ``OFFSETS``."""
+    found = text_score(entities.select("entity_id", "haystack"), queries, OFFSETS[kind], "entity_id", fuzzy)
+    return found.join(entities.drop("haystack"), "entity_id").select("query_id", "chunk_id", "title", "path", "score")
+
+
+def entity_rank(found: DataFrame, k: int | None = None) -> DataFrame:
+    """The best seed of each chunk, ranked within its question; with ``k`` the first ``k``."""
+    ranked = rank(first_per_chunk(found, ["query_id"]), ["query_id"])
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def exact(seeds: DataFrame, queries: DataFrame) -> DataFrame:
     """Of seeds (query_id, chunk_id, title, path, score) those whose title or path the query names; the best for each chunk, ranked."""
     asked = queries.select("query_id", F.lower("query").alias("_q"))
-    named = seeds.join(F.broadcast(asked), "query_id")
+    named = seeds.join(asked, "query_id")
     hit = ((F.length("title") > 0) & F.col("_q").contains(F.lower("title"))) | F.col("_q").contains(F.lower("path"))
     return rank(first_per_chunk(named.filter(hit).drop("_q"), ["query_id"]), ["query_id"])
 
@@ -170,37 +250,42 @@ def sparse_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sparse(chunks: DataFrame, queries: DataFrame, k: int = 10, digits: int = 9) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the ``k`` chunks of largest cosine of sparse vectors over 0; ties keep chunk order (``seq``)."""
-    have, asked = sparse_vectors(chunks, "chunk_id", "body"), sparse_vectors(queries, "query_id", "query")
-    norm = lambda df, key: df.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = (
-        have.join(F.broadcast(asked.withColumnRenamed("weight", "q")), "term")
-        .groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
-    )
-    scored = dots.join(norm(have, "chunk_id"), "chunk_id").join(F.broadcast(norm(asked, "query_id").withColumnRenamed("norm", "qnorm")), "query_id")
-    scored = scored.join(chunks.select("chunk_id", "seq"), "chunk_id").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), digits))
+    """(query_id, chunk_id, score, rank): the ``k`` chunks of largest cosine of sparse vectors over 0; ties keep chunk order (``seq``).
+
+    A chunk's norm and its weights of terms that some query has come from one aggregation;
+    only these weights meet the queries.
+    """
+    asked = cut(sparse_vectors(queries, "query_id", "query"))
+    qnorm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("qnorm"))
+    wanted = asked.select("term").distinct().withColumn("_w", F.lit(True))
+    have = sparse_vectors(chunks, "chunk_id", "body").join(wanted, "term", "left")
+    squares = F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")
+    rows = have.groupBy("chunk_id").agg(squares, F.collect_list(F.when(F.col("_w"), F.struct("term", "weight"))).alias("_t")).filter(F.size("_t") > 0)
+    met = rows.select("chunk_id", "norm", F.explode("_t").alias("t")).select("chunk_id", "norm", "t.term", "t.weight").join(asked.withColumnRenamed("weight", "q"), "term")
+    dots = met.groupBy("query_id", "chunk_id", "norm").agg(F.sum(F.col("weight") * F.col("q")).alias("dot")).join(qnorm, "query_id")
+    scored = dots.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), digits)).join(chunks.select("chunk_id", "seq"), "chunk_id")
     return rank(scored.filter("score > 0").select("query_id", "chunk_id", "seq", "score"), ["query_id"], tie=["seq", "chunk_id"]).filter(F.col("rank") <= k).drop("seq")
 
 
 def sparse_terms(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """(query_id, chunk_id, terms): the shared terms of largest weight in the query, ``k`` at most, ties by term."""
     have, asked = sparse_vectors(chunks, "chunk_id", "body").select("chunk_id", "term"), sparse_vectors(queries, "query_id", "query")
-    both = have.join(F.broadcast(asked), "term").groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct((-F.round("weight", 6)).alias("w"), "term"))).alias("t"))
+    both = have.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct((-F.round("weight", 6)).alias("w"), "term"))).alias("t"))
     return both.select("query_id", "chunk_id", F.array_join(F.transform(F.slice("t", 1, k), lambda x: x["term"]), " ").alias("terms"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers, in double; an error where a norm is zero or lengths differ."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    bad = (F.size(a) != F.size(b)) | (dot(a, a) == 0) | (dot(b, b) == 0)
-    return F.when(bad, F.raise_error(F.lit("vectors need one length and a norm over zero")).cast("double")).otherwise(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """(query_id, vec_id, score, rank): the ``k`` other vectors of largest cosine over 0. Queries are a stated set and broadcast."""
-    asked = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")))
-    pairs = vectors.join(asked, F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(cosine(F.col("embedding"), F.col("_q")), digits))
-    return rank(pairs.filter("score > 0").select("query_id", "vec_id", "score"), ["query_id"], tie=["vec_id"]).filter(F.col("rank") <= k)
+    """(query_id, vec_id, score, rank): the ``k`` other vectors of largest cosine over 0.
+
+    Queries are a stated set against all rows; norms are taken once for each vector.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    normed = lambda df, i, v: df.select(F.col("vec_id").alias(i), F.col("embedding").alias(v), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias(f"_n{v}"))
+    pairs = normed(vectors, "vec_id", "_v").join(normed(queries, "query_id", "_q"), F.col("vec_id") != F.col("query_id"))
+    bad = (F.size("_v") != F.size("_q")) | (F.col("_n_v") == 0) | (F.col("_n_q") == 0)
+    cos = F.when(bad, F.raise_error(F.lit("vectors need one length and a norm over zero")).cast("double")).otherwise(dot(F.col("_v"), F.col("_q")) / (F.col("_n_v") * F.col("_n_q")))
+    scored = pairs.withColumn("score", F.round(cos, digits)).filter("score > 0").select("query_id", "vec_id", "score")
+    return rank(scored, ["query_id"], tie=["vec_id"]).filter(F.col("rank") <= k)
 
 
 def graph_context(matched: DataFrame, edges: DataFrame, nodes: DataFrame, chunks: DataFrame, offset: DataFrame | None = None) -> DataFrame:

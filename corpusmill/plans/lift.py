@@ -36,7 +36,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, path, size_bytes, content: files under telling paths; content is a document's first line."""
+    """seq, path, size_bytes, content: files under telling paths; content is a document's text."""
     pick = lambda items, div: F.element_at(F.array(*map(F.lit, items)), (F.floor(F.col("doc_id") / div) % len(items) + 1).cast("int"))
     folder = pick(DIRS, 1)
     base = F.concat(pick(NAMES, 3), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("_"), F.col("doc_id").cast("string"))).otherwise(""), pick(ENDS, 7))
@@ -44,7 +44,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("seq"),
         F.when(folder == "", base).otherwise(F.concat(folder, F.lit("/"), base)).alias("path"),
         (F.col("n_chars") * 400).alias("size_bytes"),
-        F.split("text", "\n", 2)[0].alias("content"),
+        F.col("text").alias("content"),
     )
 
 
@@ -82,7 +82,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     role = F.element_at(F.array(*map(F.lit, ROLES[:3])), (F.col("l_orderkey") % 4 + 1).cast("int"))
-    value = t("lineitem").filter("l_orderkey % 20 = 0 and l_linenumber <= 2").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    value = t("lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     value = value.withColumn("vrole", F.when(F.col("l_orderkey") % 4 < 3, F.try_element_at(F.array(*map(F.lit, ROLES[:3])), (F.col("l_orderkey") % 4 + 1).cast("int"))))
     del role
     rows = [
@@ -106,24 +106,24 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
 
     def part(df: DataFrame, block: int, key, source, target, kind) -> DataFrame:
-        seq = F.lit(block * 100_000_000).cast("long") + key
+        seq = F.lit(block * 10**12).cast("long") + key
         return df.select(
             seq.alias("seq"), source.alias("source"), target.alias("target"), kind.alias("type"),
             ((key % 50 + 50) / 100).alias("confidence"),
             F.element_at(F.array(*map(F.lit, ["map", "deep", "inferred"])), (key % 3 + 1).cast("int")).alias("evidence_level"),
         )
 
-    line = t("lineitem").filter("l_linenumber = 1")
+    line = t("lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     col = F.col
     calls = F.element_at(F.array(*map(F.lit, ["calls", "calls_builtin", "calls_external", "calls_unresolved"])), (col("o_orderkey") % 4 + 1).cast("int"))
-    value = t("lineitem").filter("l_orderkey % 20 = 0 and l_linenumber <= 2").select("l_orderkey", "l_linenumber", (col("l_orderkey") * 10 + col("l_linenumber")).alias("k"))
+    value = t("lineitem").select("l_orderkey", "l_linenumber", (col("l_orderkey") * 10 + col("l_linenumber")).alias("k"))
     rows = [
         part(t("nation"), 1, col("n_nationkey").cast("long"), end("r", col("n_regionkey")), end("n", col("n_nationkey")), F.lit("contains")),
         part(t("customer"), 2, col("c_custkey"), end("n", col("c_nationkey")), end("c", col("c_custkey")), F.lit("defines")),
         part(t("orders"), 3, col("o_orderkey"), end("c", col("o_custkey")), end("o", col("o_orderkey")), F.lit("contains_call")),
         part(t("orders"), 4, col("o_orderkey"), end("c", col("o_custkey")), end("c", col("o_custkey") * 7 % 977 + 1), calls),
-        part(line, 5, col("l_orderkey"), end("o", col("l_orderkey")), end("p", col("l_partkey")), F.lit("calls_api")),
-        part(line, 6, col("l_orderkey"), end("p", col("l_partkey")), end("s", col("l_suppkey")), F.when(col("l_orderkey") % 3 == 0, "exposes_endpoint").otherwise("imports_internal")),
+        part(line, 5, col("k"), end("o", col("l_orderkey")), end("p", col("l_partkey")), F.lit("calls_api")),
+        part(line, 6, col("k"), end("p", col("l_partkey")), end("s", col("l_suppkey")), F.when(col("l_orderkey") % 3 == 0, "exposes_endpoint").otherwise("imports_internal")),
         part(t("supplier"), 7, col("s_suppkey"), end("s", col("s_suppkey")), end("n", col("s_nationkey") + 3), F.lit("imports")),
         part(value, 8, col("k"), end("v", col("k")), end("v", col("k") + 1), F.when(col("l_orderkey") % 3 == 0, "dfg_argument_to_parameter").otherwise("dfg_reaches")),
         part(t("supplier"), 9, col("s_suppkey"), end("s", col("s_suppkey")), end("s", col("s_suppkey") * 13 % 97 + 1), F.lit("imports_internal")),
@@ -140,7 +140,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     def prints(df: DataFrame, salt, moved) -> DataFrame:
         path = F.concat_ws("/", F.when(moved, F.concat(F.lit("moved/"), F.col("lang"))).otherwise(F.col("lang")), "source", F.col("doc_id").cast("string"))
-        h = lambda kind, s: F.sha2(F.concat_ws("|", F.lit(kind), s, F.substring("text", 1, 40)), 256)
+        h = lambda kind, s: F.sha2(F.concat_ws("|", F.lit(kind), s, "text"), 256)
         return df.select(
             F.concat(F.lit("file:v1:"), path).alias("file_key"), path.alias("path"),
             F.sha2(F.concat(salt, F.col("text")), 256).alias("content_sha256"), h("norm", salt).alias("normalized_sha256"),
@@ -185,17 +185,17 @@ def _node(prefix: str, key: str, kind: str, label: str, path: str, source: str,
 
 def _edge(block: int, key: str, source: str, target: str, kind: str, rows: str) -> str:
     return (
-        f"SELECT {block * 100_000_000}::BIGINT + {key} AS seq, {source} AS source, {target} AS target, {kind} AS type, ({key} % 50 + 50) / 100 AS confidence, "
+        f"SELECT {block * 10**12}::BIGINT + {key} AS seq, {source} AS source, {target} AS target, {kind} AS type, ({key} % 50 + 50) / 100 AS confidence, "
         f"['map', 'deep', 'inferred'][{key} % 3 + 1] AS evidence_level FROM {rows}"
     )
 
 
-_VALUES = "(SELECT *, l_orderkey * 10 + l_linenumber AS k FROM lineitem WHERE l_orderkey % 20 = 0 AND l_linenumber <= 2)"
+_VALUES = "(SELECT *, l_orderkey * 10 + l_linenumber AS k FROM lineitem)"
 
 
 def _prints(where: str, salt: str, moved: str) -> str:
     path = f"(CASE WHEN {moved} THEN 'moved/' || lang ELSE lang END || '/' || source || '/' || doc_id)"
-    h = lambda kind, s: f"sha256('{kind}|' || ({s}) || '|' || substr(text, 1, 40))"
+    h = lambda kind, s: f"sha256('{kind}|' || ({s}) || '|' || text)"
     when = lambda n: f"CASE WHEN doc_id % {n} = 0 THEN {salt} ELSE '' END"
     return (
         f"SELECT 'file:v1:' || {path} AS file_key, {path} AS path, sha256({salt} || text) AS content_sha256, {h('norm', salt)} AS normalized_sha256, "
@@ -210,7 +210,7 @@ def _key(p: str) -> str:
 
 SQL = {
     "files": f"SELECT doc_id AS seq, {_PATH} AS path, lang AS language, n_chars AS size_bytes, sha256(text) AS content_hash, text AS content FROM documents",
-    "catalogue": f"SELECT doc_id AS seq, CASE WHEN {_pick(DIRS, 1)} = '' THEN {_BASE} ELSE {_pick(DIRS, 1)} || '/' || {_BASE} END AS path, n_chars * 400 AS size_bytes, split_part(text, chr(10), 1) AS content FROM documents",
+    "catalogue": f"SELECT doc_id AS seq, CASE WHEN {_pick(DIRS, 1)} = '' THEN {_BASE} ELSE {_pick(DIRS, 1)} || '/' || {_BASE} END AS path, n_chars * 400 AS size_bytes, text AS content FROM documents",
     "chunks": f"""SELECT 'chunk_' || left(sha1(path || ':' || line || ':' || content), 16) AS chunk_id, doc_id * 100000 + line AS seq, doc_id, path, line, content
   FROM (SELECT doc_id, {_PATH} AS path, line, trim(c) AS content FROM (SELECT *, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents)) WHERE content <> ''""",
     "questions": r"SELECT item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:6], ' ') AS query FROM benchmark",
@@ -232,8 +232,8 @@ SQL = {
             _edge(2, "c_custkey", "'n' || c_nationkey", "'c' || c_custkey", "'defines'", "customer"),
             _edge(3, "o_orderkey", "'c' || o_custkey", "'o' || o_orderkey", "'contains_call'", "orders"),
             _edge(4, "o_orderkey", "'c' || o_custkey", "'c' || (o_custkey * 7 % 977 + 1)", "['calls', 'calls_builtin', 'calls_external', 'calls_unresolved'][o_orderkey % 4 + 1]", "orders"),
-            _edge(5, "l_orderkey", "'o' || l_orderkey", "'p' || l_partkey", "'calls_api'", "lineitem WHERE l_linenumber = 1"),
-            _edge(6, "l_orderkey", "'p' || l_partkey", "'s' || l_suppkey", "CASE WHEN l_orderkey % 3 = 0 THEN 'exposes_endpoint' ELSE 'imports_internal' END", "lineitem WHERE l_linenumber = 1"),
+            _edge(5, "k", "'o' || l_orderkey", "'p' || l_partkey", "'calls_api'", _VALUES),
+            _edge(6, "k", "'p' || l_partkey", "'s' || l_suppkey", "CASE WHEN l_orderkey % 3 = 0 THEN 'exposes_endpoint' ELSE 'imports_internal' END", _VALUES),
             _edge(7, "s_suppkey", "'s' || s_suppkey", "'n' || (s_nationkey + 3)", "'imports'", "supplier"),
             _edge(8, "k", "'v' || k", "'v' || (k + 1)", "CASE WHEN l_orderkey % 3 = 0 THEN 'dfg_argument_to_parameter' ELSE 'dfg_reaches' END", _VALUES),
             _edge(9, "s_suppkey", "'s' || s_suppkey", "'s' || (s_suppkey * 13 % 97 + 1)", "'imports_internal'", "supplier"),

@@ -95,13 +95,13 @@ def _classify_sql() -> str:
   FROM (SELECT id, q, CASE {kinds} ELSE 'code_question' END AS kind FROM asked)"""
 
 
-_ASKED = """asked AS (SELECT conv_id || ':' || turn AS id, left(text, 80) || ['', ' API error', ' flow overview', ' table model', ' impact', ' 401', ' onboarding'][turn % 7 + 1] AS q FROM conversations)"""
+_ASKED = """asked AS (SELECT conv_id || ':' || turn AS id, text || ['', ' API error', ' flow overview', ' table model', ' impact', ' 401', ' onboarding'][turn % 7 + 1] AS q FROM conversations)"""
 
 
 @query("WITH " + _ASKED + "\n" + _classify_sql())
 def question_types(spark, sf_dir):
     tail = F.element_at(F.array(*map(lit, ["", " API error", " flow overview", " table model", " impact", " 401", " onboarding"])), (col("turn") % 7 + 1).cast("int"))
-    rows = L.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.concat(F.substring("text", 1, 80), tail).alias("q"))
+    rows = L.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.concat("text", tail).alias("q"))
     kind = X.question_type(col("q"))
     return rows.select(
         "id", kind.alias("kind"), X.question_confidence(col("q")).alias("confidence"), X.question_reasons(col("q")).alias("reasons"), X.repair_query(kind, col("q")).alias("repair"), X.required_evidence(kind).alias("required")
@@ -357,12 +357,18 @@ def file_tree(spark, sf_dir):
 
 
 def _chunk_rows(spark, sf_dir) -> DataFrame:
-    c = L.chunks(spark, sf_dir)
-    return c.select("chunk_id", "seq", "path", lit(None).cast("string").alias("symbol"), lit("text").alias("chunk_type"), X.haystack([col("path"), lit(""), lit("text"), col("content")]).alias("haystack"), "doc_id", "line", "content").dropDuplicates(["chunk_id"])
+    """Lines as chunks of four types; the first is a file's summary, and all but text and summaries are named by their first word."""
+    c = L.chunks(spark, sf_dir).dropDuplicates(["chunk_id"])
+    kind = F.when(col("line") == 1, "file_summary").otherwise(F.element_at(F.array(*map(lit, ["text", "function", "endpoint", "method"])), (col("line") % 4 + 1).cast("int")))
+    symbol = F.when(col("chunk_type").isin("function", "endpoint", "method"), F.regexp_extract("content", "([A-Za-z]{3,})", 1)).otherwise("")
+    c = c.withColumn("chunk_type", kind).withColumn("symbol", symbol).withColumns({"start_line": col("line"), "end_line": col("line")})
+    return c.withColumn("haystack", X.haystack([col("path"), col("symbol"), col("chunk_type"), col("content")]))
 
 
 _QT = f"q AS (SELECT query_id, query, {_terms('query')} AS terms FROM questions)"
-_HAY = f"""hay AS (SELECT chunk_id, seq, path, doc_id, line, content, h, {_TOKENS.format('h')} AS toks FROM (SELECT *, lower(path || '  text ' || content) AS h FROM (SELECT DISTINCT ON (chunk_id) * FROM chunks)))"""
+_HAY = f"""hay AS (SELECT *, {_TOKENS.format('h')} AS toks FROM (SELECT *, lower(path || ' ' || symbol || ' ' || chunk_type || ' ' || content) AS h FROM (
+  SELECT *, CASE WHEN chunk_type IN ('function', 'endpoint', 'method') THEN regexp_extract(content, '([A-Za-z]{{3,}})', 1) ELSE '' END AS symbol FROM (
+  SELECT DISTINCT ON (chunk_id) *, CASE WHEN line = 1 THEN 'file_summary' ELSE ['text', 'function', 'endpoint', 'method'][line % 4 + 1] END AS chunk_type FROM chunks))))"""
 _IDF = f"""{_QT}, {_HAY}, stats AS (SELECT greatest(count(*), 1) AS n, coalesce(avg(len(toks)), 0) AS av FROM hay), asked AS (SELECT DISTINCT unnest(terms) AS term FROM q),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM hay) WHERE term IN (SELECT term FROM asked) GROUP BY term),
 idf AS (SELECT a.term, coalesce(df, 0) AS df, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM asked a LEFT JOIN df USING (term), stats)"""
@@ -373,25 +379,29 @@ def term_idf(spark, sf_dir):
     return R.term_idf(_chunk_rows(spark, sf_dir), L.questions(spark, sf_dir)).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-# all pairs that share a token or a substring, scored term by term
+_KIND = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(query), {chr(39)}{x}{chr(39)})' for x in sig)} THEN '{k}'" for k, sig in X.QUESTION_RULES) + " ELSE 'code_question' END"
+_BOOST = "CASE " + " ".join(f"WHEN kind = '{k}' AND chunk_type = '{c}' THEN {v}" for k, by in X.CHUNK_BOOSTS.items() for c, v in by.items()) + " ELSE 0.0 END"
+# every chunk against every question, scored term by term
 _PAIRS = f"""{_IDF}, qt AS (SELECT query_id, query, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM q),
 hit AS (SELECT query_id, chunk_id, pos, qt.term, idf, len(list_filter(toks, lambda x: x = qt.term)) AS tf, len(toks) AS ln FROM hay JOIN qt ON contains(h, qt.term) JOIN idf ON idf.term = qt.term),
 lex AS (SELECT query_id, chunk_id, sum(CASE WHEN tf > 0 THEN idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * ln / greatest(av, 1))) ELSE 0 END) + 0.65 * sum(CASE WHEN tf > 0 THEN 2.0 ELSE 0.75 END) AS s, string_agg(term, ' ' ORDER BY pos) AS matched FROM hit, stats GROUP BY query_id, chunk_id),
-boosted AS (SELECT query_id, chunk_id, round(s + CASE WHEN contains(lower(query), lower(path)) THEN 3.0 ELSE 0.0 END + CASE WHEN contains(lower(query), 'login') AND (contains(h, 'login') OR contains(h, 'auth')) THEN 3.0 ELSE 0.0 END, 6) AS score, matched FROM lex JOIN q USING (query_id) JOIN hay USING (chunk_id)),
-lexical AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM boosted)"""
+boosted AS (SELECT query_id, chunk_id, round(coalesce(s, 0) + {_BOOST} + CASE WHEN symbol <> '' AND contains(lower(query), lower(symbol)) THEN 3.0 ELSE 0.0 END + CASE WHEN contains(lower(query), lower(path)) THEN 3.0 ELSE 0.0 END
+  + CASE WHEN chunk_type = 'endpoint' AND s IS NOT NULL THEN 1.0 ELSE 0.0 END + CASE WHEN contains(lower(query), 'login') AND (contains(h, 'login') OR contains(h, 'auth')) THEN 3.0 ELSE 0.0 END, 6) AS score, coalesce(matched, '') AS matched
+  FROM (SELECT *, {_KIND} AS kind FROM q WHERE len(terms) > 0) CROSS JOIN hay LEFT JOIN lex USING (query_id, chunk_id)),
+lexical AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM boosted WHERE score > 0)"""
 
 
 @query(with_sql(["chunks", "questions"], _PAIRS + " SELECT query_id, chunk_id, score, rank, matched FROM lexical WHERE rank <= 10"))
 def bm25_topk(spark, sf_dir):
     """The ten best chunks of each benchmark question by the lexical retriever."""
-    return R.lexical(_chunk_rows(spark, sf_dir), L.questions(spark, sf_dir)).filter("rank <= 10").select("query_id", "chunk_id", "score", "rank", "matched")
+    return R.lexical(_chunk_rows(spark, sf_dir), L.questions(spark, sf_dir), k=10).select("query_id", "chunk_id", "score", "rank", "matched")
 
 
 @query()
 def lexical_fuzzy(spark, sf_dir):
-    """The lexical retriever with its fuzzy term, for the first words of four questions."""
+    """The lexical retriever with its fuzzy term."""
     chunks = _chunk_rows(spark, sf_dir)
-    return R.lexical(chunks, L.questions(spark, sf_dir).filter("query_id < 4"), fuzzy=True).filter("rank <= 10")
+    return R.lexical(chunks, L.questions(spark, sf_dir), fuzzy=True, k=10)
 
 
 _SPARSE_TOK = r"flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9_/.-]+'), lambda t: list_concat([t], list_filter(regexp_split_to_array(t, '[/_.-]+'), lambda p: length(p) > 1))))"
@@ -418,9 +428,9 @@ def sparse_topk(spark, sf_dir):
     return R.sparse(_bodies(spark, sf_dir), L.questions(spark, sf_dir), 10)
 
 
-@query(with_sql(["chunks", "questions"], _SPARSE + " SELECT query_id, chunk_id, array_to_string(list(term ORDER BY -round(v.weight, 6), term)[1:8], ' ') AS terms FROM cv JOIN qv v USING (term) WHERE query_id < 3 GROUP BY 1, 2"))
+@query(with_sql(["chunks", "questions"], _SPARSE + " SELECT query_id, chunk_id, array_to_string(list(term ORDER BY -round(v.weight, 6), term)[1:8], ' ') AS terms FROM cv JOIN qv v USING (term) GROUP BY 1, 2"))
 def sparse_terms(spark, sf_dir):
-    return R.sparse_terms(_bodies(spark, sf_dir), L.questions(spark, sf_dir).filter("query_id < 3"))
+    return R.sparse_terms(_bodies(spark, sf_dir), L.questions(spark, sf_dir))
 
 
 _COS = "round(list_dot_product(c.e, q.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(q.e, q.e))), 6)"
@@ -434,62 +444,125 @@ def dense_topk(spark, sf_dir):
     return R.dense(v, v.filter("vec_id % 50 = 0"), 10)
 
 
-_KEPT: dict[tuple, DataFrame] = {}
+def _entities(spark, sf_dir) -> dict[str, DataFrame]:
+    """What the entity retrievers look through: functions and methods, endpoints, files, and graph nodes of files and functions."""
+    c = _chunk_rows(spark, sf_dir)
+    named = c.filter("symbol <> ''")
+    symbols = named.filter("chunk_type <> 'endpoint'").select(col("chunk_id").alias("symbol_id"), "path", col("symbol").alias("name"), col("chunk_type").alias("symbol_type"), F.concat("symbol", lit("("), col("line").cast("string"), lit(")")).alias("signature"), "start_line", "end_line")
+    endpoints = named.filter("chunk_type = 'endpoint'").select(col("chunk_id").alias("endpoint_id"), "path", lit("GET").alias("method"), F.concat(lit("/"), "symbol").alias("route"), col("symbol").alias("handler"), lit("owner corpus").alias("metadata"))
+    files = L.files(spark, sf_dir).select("path", "language", lit("document").alias("file_type")).distinct()
+    blank = [lit("").alias(x) for x in ("role", "summary", "layer", "tags")]
+    nodes = files.select(col("path").alias("id"), F.regexp_extract("path", "([^/]*)$", 1).alias("label"), lit("file").alias("type"), col("path").alias("file_path"), *blank, lit(None).cast("int").alias("start_line"), lit(None).cast("int").alias("end_line"))
+    nodes = nodes.union(named.filter("chunk_type = 'function'").select("chunk_id", "symbol", "chunk_type", "path", *blank, "start_line", "end_line"))
+    return {"symbol": R.symbol_entities(symbols, c), "endpoint": R.endpoint_entities(endpoints, c), "metadata": R.file_entities(files, c), "graph": R.node_entities(nodes, c)}
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
-    """Lexical and sparse candidates of all questions, written once for a session and table set.
+_NAME = "regexp_extract(path, '([^/]*)$', 1)"
+_SUMMARY = "SELECT path, arg_min(chunk_id, (CASE WHEN chunk_type = 'file_summary' THEN 0 ELSE 1 END) * 1000000000000000 + seq) AS chunk_id FROM hay GROUP BY path"
+_ENTITY_SQL = {
+    "symbol": "SELECT s.chunk_id AS entity_id, arg_min(c.chunk_id, c.seq) AS chunk_id, s.symbol AS title, s.path, lower(s.symbol || ' ' || s.chunk_type || ' ' || s.symbol || '(' || s.line || ') ' || s.path) AS eh FROM hay s JOIN hay c ON s.path = c.path AND (c.symbol = s.symbol OR c.line = s.line) WHERE s.symbol <> '' AND s.chunk_type <> 'endpoint' GROUP BY ALL",
+    "endpoint": "SELECT s.chunk_id AS entity_id, arg_min(c.chunk_id, c.seq) AS chunk_id, 'GET /' || s.symbol AS title, s.path, lower('GET /' || s.symbol || ' ' || s.symbol || ' ' || s.path || ' owner corpus') AS eh FROM hay s JOIN hay c ON s.path = c.path AND c.chunk_type = 'endpoint' AND (c.symbol = s.symbol OR contains(c.content, '/' || s.symbol)) WHERE s.symbol <> '' AND s.chunk_type = 'endpoint' GROUP BY ALL",
+    "metadata": f"SELECT DISTINCT path AS entity_id, chunk_id, path AS title, path, lower(path || ' ' || {_NAME} || ' ' || language || ' document') AS eh FROM files JOIN ({_SUMMARY}) USING (path)",
+    "graph": f"SELECT DISTINCT path AS entity_id, chunk_id, {_NAME} AS title, path, lower({_NAME} || ' file ' || path || '    ') AS eh FROM files JOIN ({_SUMMARY}) USING (path) UNION ALL SELECT chunk_id, chunk_id, symbol, path, lower(symbol || ' function ' || path || '    ') FROM hay WHERE symbol <> '' AND chunk_type = 'function'",
+}
 
-    Search, its metrics, gates and evidence all start from this table: 60 rows a question and
-    retriever at most.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, "candidates")
-    if key not in _KEPT:
-        _KEPT[key] = G.cut(_retrieved(spark, sf_dir))
-    return _KEPT[key]
 
+def _entity_sql(kind: str) -> str:
+    return f"""{kind}_e AS ({_ENTITY_SQL[kind]}), {kind}_t AS (SELECT *, {_TOKENS.format('eh')} AS et FROM {kind}_e),
+{kind}_s AS (SELECT query_id, query, chunk_id, title, path, round(s + {R.OFFSETS[kind]}, 6) AS score FROM (SELECT query_id, query, chunk_id, title, path, coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(et, t) THEN 2.0 WHEN contains(eh, t) THEN 0.75 ELSE 0.0 END)), 0)
+  + CASE WHEN trim(query) <> '' AND contains(eh, lower(trim(query))) THEN 2.0 ELSE 0.0 END AS s FROM q CROSS JOIN {kind}_t) WHERE s > 0)"""
 
-def _retrieved(spark, sf_dir) -> DataFrame:
-    """Candidates of both retrievers; the entity is the line, the source the document."""
-    chunks = _chunk_rows(spark, sf_dir)
+
+_FIRST = "(SELECT query_id, chunk_id, title, score FROM {0} QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, title) = 1)"
+
+
+def _entity_rank(kind: str, source: str) -> str:
+    return f"{kind} AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM {_FIRST.format(source)})"
+
+
+_ENTITIES = ", ".join(f"{_entity_sql(k)}, {_entity_rank(k, k + '_s')}" for k in _ENTITY_SQL) + ", exact_s AS (" + " UNION ALL ".join(
+    f"SELECT * FROM {k}_s WHERE (title <> '' AND contains(lower(query), lower(title))) OR contains(lower(query), lower(path))" for k in _ENTITY_SQL
+) + "), " + _entity_rank("exact", "exact_s")
+_ENTITY_TABLES = ["chunks", "questions", "files"]
+
+
+def _entity_query(kind: str):
+    def run(spark, sf_dir):
+        found = R.seeds(_entities(spark, sf_dir)[kind], L.questions(spark, sf_dir), kind, fuzzy=False)
+        return R.entity_rank(found, 10).select("query_id", "chunk_id", "title", "score", "rank")
+
+    run.__name__, run.__doc__ = f"{kind}_topk", f"The ten best chunks of each question by the {kind} retriever, without its fuzzy term."
+    return query(with_sql(_ENTITY_TABLES, f"{_QT}, {_HAY}, {_entity_sql(kind)}, {_entity_rank(kind, kind + '_s')} SELECT query_id, chunk_id, title, score, rank FROM {kind} WHERE rank <= 10"))(run)
+
+
+for _k in _ENTITY_SQL:
+    _entity_query(_k)
+
+
+def _seeds(spark, sf_dir) -> dict[str, DataFrame]:
     q = L.questions(spark, sf_dir)
-    lex = R.lexical(chunks, q).filter("rank <= 60").select("query_id", "chunk_id", "rank", lit("lexical").alias("retriever"), F.array(lit("lexical_chunk_match")).alias("reasons"))
-    sp = R.sparse(_bodies(spark, sf_dir), q, 60).select("query_id", "chunk_id", "rank", lit("semantic").alias("retriever"), F.array(lit("sparse_vector_match")).alias("reasons"))
-    rows = lex.unionByName(sp).join(chunks.select("chunk_id", "doc_id", "line", "path"), "chunk_id")
-    return rows.select(
+    return {k: G.cut(R.seeds(e, q, k, fuzzy=False)) for k, e in _entities(spark, sf_dir).items()}
+
+
+@query(with_sql(_ENTITY_TABLES, f"{_QT}, {_HAY}, {_ENTITIES} SELECT query_id, chunk_id, title, score, rank FROM exact WHERE rank <= 10"))
+def exact_topk(spark, sf_dir):
+    """Chunks of entities that a question names."""
+    found = _seeds(spark, sf_dir)
+    rows = found["symbol"].union(found["endpoint"]).union(found["metadata"]).union(found["graph"])
+    return R.exact(rows, L.questions(spark, sf_dir)).filter("rank <= 10").select("query_id", "chunk_id", "title", "score", "rank")
+
+
+REASONS = {"lexical": "lexical_chunk_match", "semantic": "semantic_sparse_vector_match", "symbol": "symbol_match", "endpoint": "endpoint_match", "metadata": "file_metadata_match", "graph": "graph_node_match", "exact": "exact_named_target"}
+
+
+def _retrieved(spark, sf_dir) -> DataFrame:
+    """The best 50 candidates of all seven retrievers; the entity is the line, the source the document."""
+    chunks, q = _chunk_rows(spark, sf_dir), L.questions(spark, sf_dir)
+    found = _seeds(spark, sf_dir)
+    ranked = {k: R.entity_rank(f, 50) for k, f in found.items()}
+    ranked["exact"] = R.exact(found["symbol"].union(found["endpoint"]).union(found["metadata"]).union(found["graph"]), q).filter("rank <= 50")
+    ranked |= {"lexical": R.lexical(chunks, q, k=50), "semantic": R.sparse(_bodies(spark, sf_dir), q, 50)}
+    rows = None
+    for kind, r in ranked.items():
+        r = r.select("query_id", "chunk_id", "rank", lit(kind).alias("retriever"), F.array(lit(REASONS[kind])).alias("reasons"), lit({"graph": "static_resolved", "semantic": "heuristic"}.get(kind, "source_exact")).alias("support"))
+        rows = r if rows is None else rows.unionByName(r)
+    rows = rows.join(chunks.select("chunk_id", "doc_id", "line", "path"), "chunk_id")
+    return G.cut(rows.select(
         "query_id", F.concat_ws("|", "retriever", "chunk_id").alias("candidate_id"), "retriever", F.concat(lit("line:"), "chunk_id").alias("entity_key"), F.concat(lit("file:v1:"), "path").alias("source_key"),
-        col("line").alias("start_line"), col("line").alias("end_line"), "rank", F.when(col("retriever") == "lexical", "source_exact").otherwise("heuristic").alias("support"), "reasons", "doc_id", "chunk_id",
-    )
+        col("line").alias("start_line"), col("line").alias("end_line"), "rank", "support", "reasons", "doc_id", "chunk_id",
+    ))
 
 
-_CANDS = f"""{_PAIRS}, {_SPARSE}, cand AS (SELECT query_id, chunk_id, rank, 'lexical' AS retriever, 0 AS s FROM lexical WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, rank, 'semantic', 2 FROM sparse WHERE rank <= 50),
-fused AS (SELECT query_id, chunk_id, round(sum((CASE retriever WHEN 'lexical' THEN 1.0 ELSE 2.0 END) / (60 + rank)) * CASE WHEN bool_or(retriever = 'semantic') THEN 1.1 ELSE 1.0 END, 12) AS fused, min(rank)::INT AS best_rank, min(s) AS s, string_agg(retriever, ',' ORDER BY retriever) AS retrievers FROM cand GROUP BY 1, 2),
+@query(with_sql(_ENTITY_TABLES, f"{_PAIRS}, {_SPARSE}, {_ENTITIES} " + " UNION ALL ".join(f"SELECT query_id, '{k}' AS retriever, chunk_id, rank FROM {t} WHERE rank <= 50" for k, t in [*((k, k) for k in REASONS if k != "semantic"), ("semantic", "sparse")])))
+def retrieve_candidates(spark, sf_dir):
+    """What all seven retrievers hand to fusion."""
+    return _retrieved(spark, sf_dir).select("query_id", "retriever", "chunk_id", "rank")
+
+
+_CANDS = f"""{_PAIRS}, {_SPARSE}, {_ENTITIES}, cand AS ({" UNION ALL ".join(f"SELECT query_id, chunk_id, rank, '{k}' AS retriever, { {'graph': 1, 'semantic': 2}.get(k, 0)} AS s FROM {'sparse' if k == 'semantic' else k} WHERE rank <= 50" for k in REASONS)}),
+fused AS (SELECT query_id, chunk_id, round(sum((CASE retriever WHEN 'semantic' THEN 2.0 ELSE 1.0 END) / (60 + rank)) * CASE WHEN bool_or(retriever = 'semantic') THEN 1.1 ELSE 1.0 END, 12) AS fused, min(rank)::INT AS best_rank, min(s) AS s, string_agg(retriever, ',' ORDER BY retriever) AS retrievers FROM cand GROUP BY 1, 2),
 placed AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, s, best_rank, 'line:' || chunk_id))::INT AS position FROM fused)"""
-POLICY = FU.Policy(weights={"lexical": 1.0, "semantic": 2.0}, boosts={"sparse_vector_match": 1.1})
+POLICY = FU.Policy(weights=dict.fromkeys(FU.RETRIEVERS, 1.0) | {"semantic": 2.0}, boosts={"semantic_sparse_vector_match": 1.1})
 
 
 @query(
-    with_sql(
-        ["chunks", "questions"],
-        _CANDS + " SELECT query_id, chunk_id, fused, least(1.0, round(fused / (3.0 / 61), 12)) AS normalised, best_rank, ['source_exact', 'static_resolved', 'heuristic'][s + 1] AS support, retrievers, position FROM placed WHERE position <= 20",
+    with_sql(["chunks", "questions", "files"], _CANDS + " SELECT query_id, chunk_id, fused, least(1.0, round(fused / (8.0 / 61), 12)) AS normalised, best_rank, ['source_exact', 'static_resolved', 'heuristic'][s + 1] AS support, retrievers, position FROM placed WHERE position <= 20",
     )
 )
 def hybrid_search(spark, sf_dir):
-    """Lexical and sparse candidates fused by weighted reciprocal ranks."""
-    f = FU.fuse(_candidates(spark, sf_dir), POLICY)
+    """Candidates of all seven retrievers fused by weighted reciprocal ranks."""
+    f = FU.fuse(_retrieved(spark, sf_dir), POLICY)
     return f.select("query_id", F.substring("entity_key", 6, 100).alias("chunk_id"), "fused", "normalised", "best_rank", "support", F.array_join("retrievers", ",").alias("retrievers"), "position")
 
 
 @query(
-    with_sql(
-        ["chunks", "questions"],
-        _CANDS + """, half AS (SELECT *, position % 2 AS side FROM placed WHERE position <= 20), merged AS (SELECT query_id % 20 AS query_id, chunk_id, max(fused) AS fused, count(*) AS n FROM half GROUP BY 1, 2)
+    with_sql(["chunks", "questions", "files"], _CANDS + """, half AS (SELECT *, position % 2 AS side FROM placed WHERE position <= 20), merged AS (SELECT query_id % 20 AS query_id, chunk_id, max(fused) AS fused, count(*) AS n FROM half GROUP BY 1, 2)
   SELECT query_id, chunk_id, fused, (row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, 'line:' || chunk_id))::INT AS position FROM merged""",
     )
 )
 def merged_search(spark, sf_dir):
     """Fused lists of pairs of questions merged into one; support and ranks are made equal so that ties fall to the entity."""
-    f = FU.fuse(_candidates(spark, sf_dir), POLICY).withColumns({"config": lit("c"), "query_id": col("query_id") % 20, "support": lit("heuristic"), "best_rank": lit(1)})
+    f = FU.fuse(_retrieved(spark, sf_dir), POLICY).withColumns({"config": lit("c"), "query_id": col("query_id") % 20, "support": lit("heuristic"), "best_rank": lit(1)})
     a, b = f.filter("position % 2 = 0").drop("position"), f.filter("position % 2 = 1").drop("position")
     return FU.merge(a, b).select("query_id", F.substring("entity_key", 6, 100).alias("chunk_id"), "fused", "position")
 
@@ -525,7 +598,7 @@ def graph_context(spark, sf_dir):
 
 
 def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    f = FU.fuse(_candidates(spark, sf_dir), POLICY)
+    f = FU.fuse(_retrieved(spark, sf_dir), POLICY)
     rel = L.relevance(spark, sf_dir)
     doc = F.regexp_extract("source_key", r"doc_(\d+)\.txt$", 1).cast("long")
     items = f.select(col("query_id").alias("case_id"), lit("hybrid").alias("method"), col("position").alias("rank"), doc.alias("doc_id"), "source_key", "start_line", "end_line")
@@ -544,7 +617,7 @@ scores AS (SELECT case_id, 'hybrid' AS method, 5 AS k, CASE WHEN nr > 0 THEN rou
   CASE WHEN nr = 0 THEN (coalesce(n, 0) = 0)::INT::DOUBLE END AS insufficient FROM cases LEFT JOIN hits USING (case_id) LEFT JOIN tops USING (case_id))"""
 
 
-@query(with_sql(["chunks", "questions", "relevance"], _JUDGED + " SELECT * FROM scores"))
+@query(with_sql(["chunks", "questions", "files", "relevance"], _JUDGED + " SELECT * FROM scores"))
 def retrieval_metrics(spark, sf_dir):
     return EV.score(*_judged(spark, sf_dir), 5)
 
@@ -552,7 +625,7 @@ def retrieval_metrics(spark, sf_dir):
 _AGG = "agg AS (SELECT method, k, " + ", ".join(f'round(avg("{m}"), 12) AS "{m}"' for m in EV.METRICS) + ", count(*) AS cases FROM scores GROUP BY 1, 2)"
 
 
-@query(with_sql(["chunks", "questions", "relevance"], _JUDGED + ", " + _AGG + " SELECT * FROM agg"))
+@query(with_sql(["chunks", "questions", "files", "relevance"], _JUDGED + ", " + _AGG + " SELECT * FROM agg"))
 def metric_means(spark, sf_dir):
     return EV.aggregate(EV.score(*_judged(spark, sf_dir), 5))
 
@@ -561,8 +634,7 @@ RULES = [("r1", "hybrid", 5, "recall", "gte", 0.1), ("r2", "hybrid", 5, "ndcg",
 
 
 @query(
-    with_sql(
-        ["chunks", "questions", "relevance"],
+    with_sql(["chunks", "questions", "files", "relevance"],
         _JUDGED + ", " + _AGG + ", longed AS (" + " UNION ALL ".join(f"SELECT method, k, '{m}' AS metric, \"{m}\" AS value FROM agg" for m in EV.METRICS) + "), rules(rule_id, method, k, metric, comparison, bound) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c}, '{d}', '{e}', {f}::DOUBLE)" for a, b, c, d, e, f in RULES)
         + "), told AS (SELECT r.*, value, CASE WHEN value IS NULL THEN 'missing' WHEN (comparison = 'gte' AND value >= bound) OR (comparison = 'lte' AND value <= bound) OR (comparison = 'eq' AND value = bound) THEN 'ok' ELSE 'violated' END AS outcome FROM rules r LEFT JOIN longed USING (method, k, metric)) SELECT *, (SELECT bool_and(outcome = 'ok') FROM told) AS passed FROM told",
     )
@@ -583,12 +655,7 @@ _EDGE_COLS = "source, target, type, confidence, evidence_level"
 
 
 def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, written once for a session and table set: unions of seven and nine tables."""
-    for kind, lifted in (("nodes", L.nodes), ("edges", L.edges)):
-        key = (spark.sparkContext.applicationId, sf_dir, kind)
-        if key not in _KEPT:
-            _KEPT[key] = G.cut(lifted(spark, sf_dir))
-    return tuple(_KEPT[spark.sparkContext.applicationId, sf_dir, kind] for kind in ("nodes", "edges"))
+    return L.nodes(spark, sf_dir), L.edges(spark, sf_dir)
 
 
 def _shown(edges: DataFrame) -> DataFrame:
@@ -696,9 +763,9 @@ def normal_nodes(spark, sf_dir):
     return G.normal_nodes(L.nodes(spark, sf_dir)).select("id", "type", "label", "complexity", "layer", "role")
 
 
-@query(with_sql(["edges"], "SELECT source, target, CASE WHEN seq % 5 = 0 THEN 'related_to' ELSE type END AS type, CASE WHEN seq % 5 = 0 THEN 'odd' END AS original_type, least(1.0, confidence * 2 - 0.9 + 0.25) AS c2, round(least(1.0, confidence * 2 - 0.65), 4) AS weight, evidence_level FROM edges WHERE seq < 300100000"))
+@query(with_sql(["edges"], "SELECT source, target, CASE WHEN seq % 5 = 0 THEN 'related_to' ELSE type END AS type, CASE WHEN seq % 5 = 0 THEN 'odd' END AS original_type, least(1.0, confidence * 2 - 0.9 + 0.25) AS c2, round(least(1.0, confidence * 2 - 0.65), 4) AS weight, evidence_level FROM edges"))
 def normal_edges(spark, sf_dir):
-    e = L.edges(spark, sf_dir).filter("seq < 300100000").withColumns({"type": F.when(col("seq") % 5 == 0, "odd").otherwise(col("type")), "confidence": col("confidence") * 2 - 0.65})
+    e = L.edges(spark, sf_dir).withColumns({"type": F.when(col("seq") % 5 == 0, "odd").otherwise(col("type")), "confidence": col("confidence") * 2 - 0.65})
     n = G.normal_edges(e)
     return n.select("source", "target", "type", "original_type", (F.least(lit(1.0), col("confidence"))).alias("c2"), "weight", "evidence_level")
 
@@ -993,7 +1060,7 @@ def incremental_merge(spark, sf_dir):
 
 def _evidence(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates, files and skipped files; rules on ids spoil some of each."""
-    f = FU.fuse(_candidates(spark, sf_dir), POLICY)
+    f = FU.fuse(_retrieved(spark, sf_dir), POLICY)
     c = L.chunks(spark, sf_dir).dropDuplicates(["chunk_id"]).select("chunk_id", "doc_id", "path", col("content"))
     kind = F.element_at(F.array(*map(lit, ["api_question", "flow_tracing", "onboarding", "code_question"])), (col("query_id") % 4 + 1).cast("int"))
     rows = f.withColumn("chunk_id", F.substring("entity_key", 6, 100)).join(c, "chunk_id").withColumn("kind", kind)
@@ -1022,7 +1089,7 @@ def _pack_sql(budget: int, most: int) -> str:
     )
 
 
-_EVIDENCE = with_sql(["chunks", "questions"], _EV + _pack_sql(250, 6)).replace("WITH chunks", "WITH RECURSIVE chunks", 1)
+_EVIDENCE = with_sql(["chunks", "questions", "files"], _EV + _pack_sql(250, 6)).replace("WITH chunks", "WITH RECURSIVE chunks", 1)
 
 
 @query(_EVIDENCE + " SELECT query_id, cid AS candidate_id, outcome FROM steps WHERE cid IS NOT NULL UNION ALL SELECT query_id, chunk_id, reason FROM checked WHERE reason IS NOT NULL")
@@ -1256,7 +1323,7 @@ from corpusmill.operators import candidates as CA  # noqa: E402
 from corpusmill.operators import contracts as CO  # noqa: E402
 
 _CANDIDATES = """cnd AS (SELECT seq, 'edge' AS kind, NULL AS type, source || '|' || type || '|' || target AS key, CASE WHEN seq % 11 = 0 THEN target ELSE source END AS source, CASE WHEN seq % 11 = 0 THEN source ELSE target END AS target,
-    CASE WHEN seq % 11 = 0 AND type = 'calls' THEN 'calls' WHEN seq % 13 = 0 THEN 'odd' ELSE type END AS relation, CASE WHEN seq % 17 = 0 THEN 'guess' ELSE 'parser' END AS producer, CASE WHEN seq % 19 <> 0 THEN 'own' END AS owner, confidence + CASE WHEN seq % 23 = 0 THEN 1 ELSE 0 END AS confidence, CASE WHEN seq % 29 = 0 THEN 'a' ELSE 'b' END AS digest FROM edges WHERE seq < 500000000
+    CASE WHEN seq % 11 = 0 AND type = 'calls' THEN 'calls' WHEN seq % 13 = 0 THEN 'odd' ELSE type END AS relation, CASE WHEN seq % 17 = 0 THEN 'guess' ELSE 'parser' END AS producer, CASE WHEN seq % 19 <> 0 THEN 'own' END AS owner, confidence + CASE WHEN seq % 23 = 0 THEN 1 ELSE 0 END AS confidence, CASE WHEN seq % 29 = 0 THEN 'a' ELSE 'b' END AS digest FROM edges
   UNION ALL SELECT 0, 'node', type, id, NULL, NULL, NULL, 'parser', 'own', 1.0, 'b' FROM nodes)"""
 
 
@@ -1264,7 +1331,7 @@ def _graph_candidates(spark, sf_dir):
     n, e = _graph(spark, sf_dir)
     s = col("seq")
     turned = s % 11 == 0
-    edges = e.filter("seq < 500000000").select(
+    edges = e.select(
         "seq", lit("edge").alias("kind"), lit(None).cast("string").alias("type"), F.concat_ws("|", "source", "type", "target").alias("key"), F.when(turned & (col("type") != "calls"), col("target")).otherwise(col("source")).alias("source"),
         F.when(turned & (col("type") != "calls"), col("source")).otherwise(col("target")).alias("target"), F.when(turned & (col("type") == "calls"), "called_by").when(s % 13 == 0, "odd").otherwise(col("type")).alias("relation"),
         F.when(s % 17 == 0, "guess").otherwise("parser").alias("producer"), F.when(s % 19 != 0, "own").alias("owner"), (col("confidence") + F.when(s % 23 == 0, 1).otherwise(0)).alias("confidence"), F.when(s % 29 == 0, "a").otherwise("b").alias("digest"),
@@ -1288,17 +1355,21 @@ def candidate_issues(spark, sf_dir):
     return CA.issues(CA.normalise(_graph_candidates(spark, sf_dir), 0.6))[1]
 
 
-@query("SELECT l.l_orderkey * 10 + l.l_linenumber AS call_id, a.arg AS source, p.nm AS target FROM lineitem l, (VALUES (0, 'x'), (1, 'y'), (2, 'z')) a(n, arg), (VALUES (0, 'first'), (1, 'second')) p(n, nm) WHERE a.n = p.n AND l_linenumber <= 2")
+@query("SELECT l.l_orderkey * 10 + l.l_linenumber AS call_id, a.arg AS source, p.nm AS target FROM lineitem l, (VALUES (0, 'x'), (1, 'y'), (2, 'z')) a(n, arg), (VALUES (0, 'first'), (1, 'second')) p(n, nm) WHERE a.n = p.n")
 def argument_binding(spark, sf_dir):
     """Arguments of calls bound to parameters by place."""
-    calls = L.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select((col("l_orderkey") * 10 + col("l_linenumber")).alias("call_id"), lit("f").alias("callee"), F.array(lit("x"), lit("y"), lit("z")).alias("arguments"))
+    calls = L.table(spark, sf_dir, "lineitem").select((col("l_orderkey") * 10 + col("l_linenumber")).alias("call_id"), lit("f").alias("callee"), F.array(lit("x"), lit("y"), lit("z")).alias("arguments"))
     return CA.bind_arguments(calls, spark.createDataFrame([("f", ["self", "first", "second"])], "callee string, names array<string>"))
 
 
-@query("WITH r AS (SELECT o_orderkey AS ref_id, o_custkey % 7 AS caller, o_orderstatus AS name, (o_orderkey % 5)::INT AS line, row_number() OVER (PARTITION BY o_custkey % 7, o_orderstatus, o_orderkey % 5 ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 3 = 0), e AS (SELECT o_orderkey AS expr_id, o_custkey % 7 AS caller, o_orderstatus AS name, (o_orderkey % 5)::INT AS line, row_number() OVER (PARTITION BY o_custkey % 7, o_orderstatus, o_orderkey % 5 ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 4 = 0) SELECT ref_id, expr_id FROM r JOIN e USING (caller, name, line, n)")
+_CALL_SIDE = "SELECT o_orderkey AS {0}, o_custkey % 7 AS caller, o_orderstatus AS name, ((o_orderkey + {1}) % 5)::INT AS line, row_number() OVER (PARTITION BY o_custkey % 7, o_orderstatus, (o_orderkey + {1}) % 5 ORDER BY o_orderkey) AS n FROM orders"
+
+
+@query(f"WITH r AS ({_CALL_SIDE.format('ref_id', 0)}), e AS ({_CALL_SIDE.format('expr_id', 2)}) SELECT ref_id, expr_id FROM r JOIN e USING (caller, name, line, n)")
 def call_pairs(spark, sf_dir):
-    o = L.table(spark, sf_dir, "orders").select("o_orderkey", (col("o_custkey") % 7).alias("caller"), col("o_orderstatus").alias("name"), (col("o_orderkey") % 5).cast("int").alias("line"))
-    return CA.pair_calls(o.filter("o_orderkey % 3 = 0").withColumnRenamed("o_orderkey", "ref_id"), o.filter("o_orderkey % 4 = 0").withColumnRenamed("o_orderkey", "expr_id"))
+    """References and call expressions, two places of every order, paired by their occurrence."""
+    side = lambda key, by: L.table(spark, sf_dir, "orders").select(col("o_orderkey").alias(key), (col("o_custkey") % 7).alias("caller"), col("o_orderstatus").alias("name"), ((col("o_orderkey") + by) % 5).cast("int").alias("line"))
+    return CA.pair_calls(side("ref_id", 0), side("expr_id", 2))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'hybrid_retrieval' WHEN turn % 2 = 0 THEN 'exact_lookup' ELSE 'exact_lookup,hybrid_retrieval' END AS tools FROM conversations")
