@@ -8,7 +8,8 @@ strings, so windows are counted exactly, and each knows the smallest document it
 
 One flush of a map task sends one compressed row for each slot. Slots take whole groups of
 minimisers and are many times the partitions; a partition's slots come in order and are
-worked on one after the other in bounded memory. What a hot minimiser would put into one
+worked on one after the other in bounded memory: there are so many that a slot has about
+``LOAD`` bytes of text, whatever the corpus's size. What a hot minimiser would put into one
 slot is measured first: slots with over four times the mean load (thus under a quarter of
 all slots) are set apart. Their strings are made distinct by a grouped minimum, which
 combines before its shuffle, and only distinct strings are taken apart into windows.
@@ -30,8 +31,10 @@ from corpusmill.llm.words import PIECE, Words, _K, mix, pieces, rolling, tidy
 
 #: Bytes of packed strings after which a map task sends what it has, and after which a slot reader works on whole slots.
 FLUSH, WORK = 28 << 20, 1 << 20
-#: Slots for each shuffle partition; loads of this many windows never make a slot hot.
+#: Slots for each shuffle partition at least; loads of this many windows never make a slot hot.
 SLOTS, CALM = 32, 1 << 16
+#: Bytes of text for each slot.
+LOAD = 4 << 20
 CHUNK, RUN = 4096, 64
 
 
@@ -81,7 +84,8 @@ def _loads(size: int, slots: int):
                 total += np.bincount(slot_of(low, slots), minlength=slots)
         for at in range(0, slots, CHUNK):
             if total[at : at + CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK]), pa.array([total[at : at + CHUNK].tobytes()])], ["chunk", "loads"])
+                packed = zstandard.compress(total[at : at + CHUNK].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK]), pa.array([packed])], ["chunk", "loads"])
 
     return tidy(run)
 
@@ -90,7 +94,7 @@ def _add_loads(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, loads in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            now = np.frombuffer(loads, np.int64)
+            now = np.frombuffer(zstandard.decompress(loads), np.int64)
             total[chunk] = total[chunk] + now if chunk in total else now
     for chunk, loads in total.items():
         at = np.flatnonzero(loads)
@@ -176,8 +180,10 @@ def hot_repeats(docs: DataFrame, size: int, slots: int, hot: np.ndarray) -> Data
         .withColumn("_w", F.split("packed", " "))
         .select("packed", "least", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - (size - 1)), lambda i: F.array_join(F.slice("_w", i, size), " "))).alias("i", "window"))
     )
-    least = windows.groupBy("window").agg(F.min("least").alias("first"))
-    firsts = windows.join(least, "window").groupBy("packed").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("firsts"))
+    # tables of their own, so that each join is one of two shuffled tables and a window or string of very many rows can be split
+    windows = cut(windows)
+    least = cut(windows.groupBy("window").agg(F.min("least").alias("first")))
+    firsts = cut(windows.join(least, "window").groupBy("packed").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("firsts")))
     found = strings.join(firsts, "packed").withColumn("gone", F.filter("firsts", lambda x: x["first"] < F.col("doc_id")))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.size("gone").alias("n")))
     single = F.transform("gone", lambda x: F.struct(x["i"].alias("i"), F.lit(1).alias("n")))
@@ -251,8 +257,9 @@ def _repeats(size: int):
 def repeated_windows(docs: DataFrame, size: int, calm: int = CALM) -> DataFrame:
     """Runs (doc_id, pos, n) of windows, first words pos to pos + n - 1, whose words also start a window of a smaller doc_id."""
     n = partitions(docs.sparkSession)
-    slots = SLOTS * n
     docs = docs.select("doc_id", "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = max(SLOTS * n, -(-total // LOAD))
     hot = hot_slots(docs, size, slots, calm)
     blobs = docs.mapInArrow(_packer(size, slots, hot), "slot long, blob binary")
     runs = blobs.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(_repeats(size), "doc_id long, pos long, n long")
@@ -314,9 +321,12 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
     order of work; a document's own repeats stay. kept_text has one space between words.
     Null texts are empty. Rows of a null doc_id keep all and remove nothing elsewhere.
     Rows that share a doc_id are one document: what is removed at a word's place is removed
-    in each of them. Other columns stay; three of the names above would be replaced.
+    in each of them. Texts count whole, however long; a doc_id that is no whole number is an
+    error. Other columns stay; three of the names above would be replaced.
     An empty table gives an empty result.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be a whole number, as the smallest of a group counts")
     spare = [c for c in docs.columns if c not in (id_col, text_col, "n_words", "n_removed", "kept_text")]
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"_x{k}") for k, c in enumerate(spare)])
     runs = repeated_windows(given, size, calm).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("_runs"))
@@ -324,5 +334,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
     others = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
     packed = given.mapInArrow(_packed([f.name for f in fields] + ["text"]), f"{others}, text binary")
     names = [f.name for f in fields] + ["n_words", "n_removed", "kept_text"]
-    made = packed.join(runs, "doc_id", "left").mapInArrow(_keeper(size, names), f"{others}, n_words long, n_removed long, kept_text string")
+    # rows without a doc_id have no runs; a second key keeps them from meeting in one task
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 16))).otherwise(F.lit(0).cast("long"))
+    made = packed.withColumn("_salt", spread).join(runs.withColumn("_salt", F.lit(0).cast("long")), ["doc_id", "_salt"], "left").drop("_salt").mapInArrow(_keeper(size, names), f"{others}, n_words long, n_removed long, kept_text string")
     return made.select(F.col("doc_id").alias(id_col), *[F.col(f"_x{k}").alias(c) for k, c in enumerate(spare)], "n_words", "n_removed", "kept_text")

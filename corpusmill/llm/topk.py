@@ -5,11 +5,12 @@ a block of neighbouring rows is a piece of an annulus around one pivot. For a qu
 block with distances from r0 to r1, the triangle inequality gives every vector x of it
 |q - x| >= max(d(q, pivot) - r1, r0 - d(q, pivot), 0), and with the block's largest norm an
 upper bound of q . x = (|q|^2 + |x|^2 - |q - x|^2) / 2. Blocks are taken in order of their
-bound and the search of a query stops when the bound falls below its k-th best score.
+bound and the search stops when no bound left reaches the k-th best score of any query.
 
 Queries come in blocks of at most ``QUERIES`` that are broadcast one after the other, so the
 broadcast is bounded whatever their number; each pass goes over the whole index. Components
-are whole numbers, so scores are exact in double precision and bounds have slack to spare.
+are whole numbers, so scores are exact in double precision where the product of two norms is
+under 2 ** 53; larger ones are taken with Python's whole numbers. Bounds have slack to spare.
 """
 
 from __future__ import annotations
@@ -84,6 +85,14 @@ def index(vectors: DataFrame, table: dict[int, np.ndarray]) -> DataFrame:
     return keyed.repartitionByRange(partitions(vectors.sparkSession), *key).sortWithinPartitions(*key)
 
 
+def _products(q: np.ndarray, x: np.ndarray, squares: float) -> np.ndarray:
+    """Inner products of rows of whole numbers, whose norms squared have the product ``squares`` at most; exact."""
+    if squares < 2.0**105:
+        return q @ x.T
+    whole = lambda m: np.array([[int(v) for v in row] for row in m], object).reshape(m.shape)
+    return whole(q) @ whole(x).T
+
+
 def _search(ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, centre: np.ndarray, k: int):
     """Index rows of one dimension to (query_id, vec_id, score): each query's k best of the partition, at least."""
     reach = _distances(queries, centre)
@@ -107,19 +116,23 @@ def _search(ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, centre: np.
                 q = np.arange(q0, min(q0 + STRIP, len(ids)))
                 d = reach[np.ix_(q, p)]
                 gap = np.maximum(np.maximum(d - r1, r0 - d) - 1e-6, 0)
-                bound = (norm[q, None] + big - gap * gap) / 2 + 1e-3
-                for blk in np.argsort(-bound.max(0), kind="stable").tolist():
+                bound = (norm[q, None] + big - gap * gap) / 2
+                bound += np.maximum(np.abs(bound), norm[q, None] + big) * 1e-9 + 1e-3
+                most = bound.max(0)
+                for blk in np.argsort(-most, kind="stable").tolist():
+                    if most[blk] < low[q].min():
+                        break
                     live = q[bound[:, blk] >= low[q]]
                     if not len(live):
                         continue
-                    score = queries[live] @ x[a[blk] : b[blk]].T
                     own = vec[a[blk] : b[blk]]
+                    score = _products(queries[live], x[a[blk] : b[blk]], norm[live].max() * big[blk])
                     score[ids[live][:, None] == own] = -np.inf
                     for row in np.flatnonzero((score >= low[live, None]).any(1)).tolist():
                         at, s = int(live[row]), score[row]
                         some = np.flatnonzero((s >= low[at]) & (s > -np.inf))
                         if len(some) > k:
-                            some = some[np.lexsort((own[some], -s[some]))[:k]]
+                            some = some[sorted(range(len(some)), key=lambda c: (-s[some[c]], own[some[c]]))[:k]] if s.dtype == object else some[np.lexsort((own[some], -s[some]))[:k]]
                         heap = best[at]
                         for c in some.tolist():
                             item = (s[c], -own[c])
@@ -151,12 +164,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, number: int = PIVO
 
     ``vectors`` and ``queries`` are ``quantised`` tables; a query's own vec_id is no
     candidate. Ties go to the smaller vec_id; where there are fewer than ``k`` candidates all
-    come back. Only vectors of the query's dimension are compared. vec_id is taken as a key:
-    of rows that repeat a vec_id one with the smallest components is kept. Empty tables give
-    an empty result.
+    come back. Only vectors of the query's dimension are compared. Every row is a candidate,
+    so rows that repeat a vec_id count each; of queries that repeat one, that of the smallest
+    components is asked. Scores past 64 bits are an error. Other columns are left out, so
+    none can clash. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
-    vectors = vectors.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("m")).select("vec_id", "m.dim", "m.v")
+    vectors = vectors.select("vec_id", "dim", "v")
     queries = cut(queries.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("m")).select("vec_id", "m.dim", "m.v"))
     table = pivots(vectors, number)
     sorted_index = cut(index(vectors, table))
@@ -178,6 +192,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, number: int = PIVO
             known = sample.get(dim, [])
             if len(known) > k:
                 score = x @ table[dim][[p for p, _ in known]].T
+                score -= np.abs(score) * 1e-9  # a lower bound where doubles round
                 score[ids[:, None] == np.array([v for _, v in known])] = -np.inf
                 floor = np.partition(score, len(known) - k, axis=1)[:, len(known) - k]
             some = sorted_index.filter(F.col("dim") == dim)

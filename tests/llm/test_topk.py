@@ -7,15 +7,16 @@ SCHEMA = "vec_id long, embedding array<float>, score string"
 
 
 def brute(rows, k):
-    good = {}
+    good, every = {}, []
     for i, v, _ in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             q = [math.floor(256 * x) for x in v]
             good[i] = min(q, good.get(i, q))
+            every.append((i, q))
     out = []
     for q, a in good.items():
         if q % 5 == 0:
-            s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good.items() if i != q and len(a) == len(b))
+            s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in every if i != q and len(a) == len(b))
             out += [(q, r + 1, i, -t) for r, (t, i) in enumerate(s[:k])]
     return sorted(out)
 
@@ -36,3 +37,10 @@ def test_against_brute_force(spark, monkeypatch):
 def test_empty(spark):
     vectors = topk.quantised(spark.createDataFrame([], SCHEMA))
     assert topk.top_k(vectors, vectors).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    rnd = random.Random(3)
+    rows = [(i, [float(rnd.randint(-(10**6), 10**6)) + rnd.random() for _ in range(4)], "x") for i in range(60)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"))
+    assert sorted(map(tuple, topk.top_k(vectors, vectors.filter("vec_id % 5 = 0"), 5).collect())) == brute(rows, 5)
