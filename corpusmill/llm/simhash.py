@@ -258,9 +258,11 @@ def _dealt(rows: DataFrame, crowd: int, meet: bool = True) -> DataFrame:
     return sized.withColumn("part", F.explode(F.when(F.col("_c").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others))).drop("_c")
 
 
-def _to_tasks(rows: DataFrame) -> DataFrame:
-    """Whole tasks in one partition each, one after the other."""
-    return rows.repartition(partitions(rows.sparkSession), "task", "part").sortWithinPartitions("task", "part")
+def _to_tasks(rows: DataFrame, few: bool = False) -> DataFrame:
+    """Whole tasks in one partition each, one after the other; with ``few`` rows, small partitions may be put together."""
+    keys = ["task", "part"]
+    dealt = rows.repartition(*keys) if few else rows.repartition(partitions(rows.sparkSession), *keys)
+    return dealt.sortWithinPartitions(*keys)
 
 
 def links(rows: DataFrame, bits: int, budget: int, crowd: int = 1 << 19) -> DataFrame:
@@ -323,7 +325,7 @@ WIDE, RECALL, CHANCE = 256, 0.99, 8
 #: Rows of a front block that a table is laid out for, and links of one text from which its pairs are verified in several tasks.
 BLOCK, HUB = 1 << 19, 1024
 #: Texts of a crowded task that all others are compared with first, and rounds of such comparisons.
-LEADERS, ROUNDS = 16, 3
+LEADERS, ROUNDS = 16, 2
 
 
 def share(similar: float) -> float:
@@ -564,7 +566,7 @@ def _similar_nodes(prints: DataFrame, size: int, similar: float, crowd: int) ->
     def tasks(rows: DataFrame, meet: bool) -> DataFrame:
         names = [c for c in ("node", "root", *fields) if c in rows.columns]
         rows = rows.select(names).mapInArrow(_spread(*shape[:3], names), "task long, " + ", ".join(f"{c} long" for c in names))
-        return _to_tasks(_dealt(rows, crowd, meet))
+        return _to_tasks(_dealt(rows, crowd, meet), "root" in names)
 
     # first each text with one or two that many others are near to: in a group of near copies, what they are copies of
     rounds, tried, edges = 0, None, None
