@@ -270,3 +270,28 @@ def relative_path_error(path: Column) -> Column:
 def is_test_path(path: Column) -> Column:
     low = F.lower(F.replace(empty(path), F.lit("\\"), F.lit("/")))
     return low.startswith("tests/") | low.contains("/tests/") | name(low).startswith("test_")
+
+
+# --- git sources ----------------------------------------------------------------------------------
+
+# Shapes of owners and repositories, and what a reference may not hold.
+GIT_OWNER = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?"
+GIT_REPOSITORY = r"[A-Za-z0-9_.-]{1,100}"
+REF_FORBIDDEN = ("..", "@{", "\\", " ", "~", "^", ":", "?", "*", "[", "//")
+
+
+def git_source(url: Column) -> Column:
+    """``owner/repository`` of a public HTTPS address of the supported host; null for any other, and with user, port, query or fragment."""
+    plain = F.trim(url)
+    owner = F.regexp_extract(plain, rf"^(?i:https://(?:www\.)?github\.com)/+({GIT_OWNER})/+({GIT_REPOSITORY})/*$", 1)
+    name = F.regexp_replace(F.regexp_extract(plain, rf"^(?i:https://(?:www\.)?github\.com)/+({GIT_OWNER})/+({GIT_REPOSITORY})/*$", 2), r"\.git$", "")
+    return F.when((owner != "") & ~name.isin("", ".", ".."), F.concat_ws("/", owner, name))
+
+
+def git_ref_valid(ref: Column) -> Column:
+    """Whether a branch or tag name is sound; null, for the default branch, is."""
+    c = F.trim(ref)
+    bad = (c == "") | (F.length(c) > 255) | c.rlike(r"^[-./]") | c.rlike(r"(?:\.|/|\.lock)$") | c.rlike(r"[\x00-\x1f\x7f]")
+    for token in REF_FORBIDDEN:
+        bad = bad | c.contains(token)
+    return F.coalesce(~bad, F.lit(True))

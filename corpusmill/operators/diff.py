@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.graph import cut
+from corpusmill.functions.tables import cut
 
 KINDS = ("documentation", "structure", "public_api", "dependency")
 FAMILIES = ("file", "symbol", "endpoint", "reference", "chunk", "graph_node", "graph_edge", "retrieval", "embedding")
@@ -125,7 +125,11 @@ def equivalence(full: DataFrame, incremental: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """sha256 over ``path NUL size NUL hash NL`` of all files in path order, for each ``by``."""
+    """sha256 over ``path NUL size NUL hash NL`` of all files in path order, for each ``by``.
+
+    A group's lines are one string in one task, as the digest is defined over all of them in
+    order: some 100 bytes a file, and an error past 2 GB, so 20 million files in a group.
+    """
     line = F.concat("path", F.lit("\0"), F.col("size_bytes").cast("string"), F.lit("\0"), "content_hash", F.lit("\n"))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), "")
     grouped = files.groupBy(*(by or []))
@@ -134,7 +138,7 @@ def fingerprint(files: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def stale(evidence: DataFrame, current: DataFrame, key: str = "repository_id") -> DataFrame:
     """``evidence`` with whether its index_version is older than its repository's current one."""
-    return evidence.join(F.broadcast(current.select(key, F.col("index_version").alias("_v"))), key, "left").withColumn("stale", F.coalesce(F.col("index_version") < F.col("_v"), F.lit(False))).drop("_v")
+    return evidence.join(current.select(key, F.col("index_version").alias("_v")), key, "left").withColumn("stale", F.coalesce(F.col("index_version") < F.col("_v"), F.lit(False))).drop("_v")
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("recall", "precision", "reciprocal_rank", "ndcg", "source_diversity", "duplicate_rate", "insufficient")
@@ -92,3 +92,24 @@ def adoption(row: DataFrame, query_ms: float = 2000.0, corpus_ms: float = 30_000
     for k in checks:
         accepted = accepted & F.coalesce(c(k), F.lit(False))
     return out.withColumn("accepted", accepted)
+
+
+#: Retrievers of the method that knows exact words only (fixed values).
+KEYWORD = ("exact", "lexical", "symbol", "endpoint")
+
+
+def methods(candidates: DataFrame, limit: int) -> DataFrame:
+    """(method, query_id, position, entity_key, source_key, start_line, end_line): what each evaluated method makes of the candidates.
+
+    ``exact_keyword`` fuses the retrievers of ``KEYWORD``, ``deterministic_hybrid`` all of
+    them; ``naive_semantic`` takes semantic candidates in order of rank, each span once.
+    """
+    from corpusmill.operators.fusion import Policy, fuse
+
+    span = ["query_id", "entity_key", "source_key", "start_line", "end_line"]
+    semantic = candidates.filter("retriever = 'semantic'").groupBy(*span).agg(F.min(F.struct("rank", "candidate_id")).alias("_o"))
+    naive = semantic.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("_o"))).filter(F.col("position") <= limit)
+    found = naive.select(F.lit("naive_semantic").alias("method"), *span, "position")
+    for name, policy in (("exact_keyword", Policy(weights=dict.fromkeys(KEYWORD, 1.0), limit=limit)), ("deterministic_hybrid", Policy(limit=limit))):
+        found = found.unionByName(fuse(candidates, policy).select(F.lit(name).alias("method"), *span, "position"))
+    return found

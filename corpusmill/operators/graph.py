@@ -3,18 +3,18 @@
 nodes: id, type, label, file_path, role, start_line, ...; edges: source, target, type, confidence,
 evidence_level and, where order matters, seq. Traversals are loops over levels of bounded
 depth; each level is two joins and an anti-join against what has been visited, and lineage is
-cut by checkpoints in the session's shared folder.
+cut by tables in the session's shared folder.
 """
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import paths as P
+from corpusmill.functions.tables import cut, numbered
 from corpusmill.functions.text import cases
 
 # Fixed values.
@@ -62,13 +62,6 @@ class Request:
             object.__setattr__(self, name, values)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
-    return df.checkpoint()
-
-
 # --- filters ----------------------------------------------------------------------------------------
 
 
@@ -245,7 +238,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: st
 
 def visit_order(visited: DataFrame) -> DataFrame:
     """``visited`` with ``visit_no`` from 0: by depth, then id."""
-    return visited.withColumn("visit_no", F.row_number().over(Window.orderBy("depth", "id")) - 1)
+    return numbered(visited, ["depth", "id"], "visit_no").withColumn("visit_no", F.col("visit_no").cast("int"))
 
 
 def reachable(edges: DataFrame, root: str, depth: int) -> DataFrame:
@@ -266,15 +259,17 @@ def project(nodes: DataFrame, edges: DataFrame, r: Request) -> tuple[DataFrame,
     spark = nodes.sparkSession
     if r.roots:
         roots = spark.createDataFrame([(x,) for x in r.roots], "id string")
-        visited = visit_order(cut(traverse(n, e, roots, r.direction, r.depth)))
-        n = n.join(visited, "id")
+        n = n.join(cut(traverse(n, e, roots, r.direction, r.depth)), "id")
         e = with_ends(n, e)
         missing = roots.join(nodes.select("id"), "id", "left_anti")
     else:
-        n = n.withColumn("visit_no", F.lit(0))
+        n = n.withColumn("depth", F.lit(0))
         missing = None
-    order = ["visit_no", "type", "id"]
+    order = ["depth", "id"] if r.roots else ["type", "id"]
     kept = n.orderBy(*order).limit(r.nodes)
+    # places of the nodes kept are those among all visited, as what is kept comes first
+    place = F.row_number().over(Window.orderBy(*order)) - 1 if r.roots else F.lit(0)
+    kept = kept.withColumn("visit_no", place).drop("depth")
     fit = with_ends(kept, e)
     shown = fit.orderBy("type", "source", "target", F.desc("confidence")).limit(r.edges)
     counts = [
@@ -297,8 +292,10 @@ def neighbour_page(nodes: DataFrame, edges: DataFrame, root: str, r: Request) ->
     """A page of the root's neighbours after ``offset``, the root first; and counts of what is left."""
     n, e = filtered(nodes, edges, r)
     start = nodes.sparkSession.createDataFrame([(root,)], "id string")
-    visited = visit_order(cut(traverse(n, e, start, r.direction, 1)))
-    ranked = n.join(visited, "id").withColumn("_n", F.row_number().over(Window.orderBy((F.col("id") != root), "visit_no", "type", "id")) - 1)
+    visited = n.join(cut(traverse(n, e, start, r.direction, 1)), "id")
+    order = [F.col("id") != root, "depth", "id", "type"]
+    first = visited.orderBy(*order).limit(r.offset + r.nodes)
+    ranked = first.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("visit_no", F.col("_n")).drop("depth")
     page = ranked.filter((F.col("_n") == 0) & (F.col("id") == root) | (F.col("_n") > r.offset) & (F.col("_n") < r.offset + r.nodes)).drop("_n")
     inn = e.filter(F.col("target") == root).select(F.col("source").alias("id"), F.lit("in").alias("side"))
     out = e.filter(F.col("source") == root).select(F.col("target").alias("id"), F.lit("out").alias("side"))
@@ -325,7 +322,7 @@ def _reasons(pairs: list[tuple[Column, str]], default: str | None = None) -> Col
 def _page(rows: DataFrame, order: list, r: Request) -> DataFrame:
     """Rows numbered from 1 after ``offset``, as many as ``seeds``."""
     n = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("position", n).filter((F.col("position") > r.offset) & (F.col("position") <= r.offset + min(r.seeds, r.nodes)))
+    return rows.orderBy(*order).limit(r.offset + min(r.seeds, r.nodes)).withColumn("position", n).filter((F.col("position") > r.offset) & (F.col("position") <= r.offset + min(r.seeds, r.nodes)))
 
 
 def dependency_seeds(nodes: DataFrame, edges: DataFrame, endpoint_paths: DataFrame, r: Request) -> DataFrame:

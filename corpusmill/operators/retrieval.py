@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from corpusmill.functions import text as X
-from corpusmill.operators.graph import cut
+from corpusmill.functions.tables import cut
 
 K1, B = 1.2, 0.75
 #: What each retriever adds to a text score (fixed values).

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import paths as P
 from corpusmill.functions import text as X
+from corpusmill.functions.tables import cut
 from corpusmill.operators import architecture as A
 from corpusmill.operators import diff as D
 from corpusmill.operators import evaluation as EV
@@ -469,7 +470,7 @@ _ENTITY_SQL = {
 
 def _entity_sql(kind: str) -> str:
     return f"""{kind}_e AS ({_ENTITY_SQL[kind]}), {kind}_t AS (SELECT *, {_TOKENS.format('eh')} AS et FROM {kind}_e),
-{kind}_s AS (SELECT query_id, query, chunk_id, title, path, round(s + {R.OFFSETS[kind]}, 6) AS score FROM (SELECT query_id, query, chunk_id, title, path, coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(et, t) THEN 2.0 WHEN contains(eh, t) THEN 0.75 ELSE 0.0 END)), 0)
+{kind}_s AS (SELECT query_id, query, chunk_id, title, path, round(s + {R.OFFSETS[kind]}, 6)::DOUBLE AS score FROM (SELECT query_id, query, chunk_id, title, path, coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(et, t) THEN 2.0 WHEN contains(eh, t) THEN 0.75 ELSE 0.0 END)), 0)
   + CASE WHEN trim(query) <> '' AND contains(eh, lower(trim(query))) THEN 2.0 ELSE 0.0 END AS s FROM q CROSS JOIN {kind}_t) WHERE s > 0)"""
 
 
@@ -501,7 +502,7 @@ for _k in _ENTITY_SQL:
 
 def _seeds(spark, sf_dir) -> dict[str, DataFrame]:
     q = L.questions(spark, sf_dir)
-    return {k: G.cut(R.seeds(e, q, k, fuzzy=False)) for k, e in _entities(spark, sf_dir).items()}
+    return {k: cut(R.seeds(e, q, k, fuzzy=False)) for k, e in _entities(spark, sf_dir).items()}
 
 
 @query(with_sql(_ENTITY_TABLES, f"{_QT}, {_HAY}, {_ENTITIES} SELECT query_id, chunk_id, title, score, rank FROM exact WHERE rank <= 10"))
@@ -527,7 +528,7 @@ def _retrieved(spark, sf_dir) -> DataFrame:
         r = r.select("query_id", "chunk_id", "rank", lit(kind).alias("retriever"), F.array(lit(REASONS[kind])).alias("reasons"), lit({"graph": "static_resolved", "semantic": "heuristic"}.get(kind, "source_exact")).alias("support"))
         rows = r if rows is None else rows.unionByName(r)
     rows = rows.join(chunks.select("chunk_id", "doc_id", "line", "path"), "chunk_id")
-    return G.cut(rows.select(
+    return cut(rows.select(
         "query_id", F.concat_ws("|", "retriever", "chunk_id").alias("candidate_id"), "retriever", F.concat(lit("line:"), "chunk_id").alias("entity_key"), F.concat(lit("file:v1:"), "path").alias("source_key"),
         col("line").alias("start_line"), col("line").alias("end_line"), "rank", "support", "reasons", "doc_id", "chunk_id",
     ))
@@ -1422,3 +1423,6 @@ def vector_contract(spark, sf_dir):
 def coverage_shares(spark, sf_dir):
     c = L.table(spark, sf_dir, "customer").groupBy(col("c_nationkey").alias("nation")).agg(F.count_if(col("c_acctbal") > 0).alias("s"), F.count("*").alias("t"))
     return c.select("nation", CO.coverage(col("s"), col("t")).alias("coverage"))
+
+
+from corpusmill.plans import building  # noqa: E402, F401  (registers its queries)

@@ -1,9 +1,10 @@
-"""Versioned tables on shared storage: written once, verified, and made current by replacing one small file."""
+"""Versioned tables on shared storage: written once, verified, and made current by adding one small file."""
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,18 +69,40 @@ class Store:
         return [t for t, d in manifest["tables"].items() if self.digest(version, t) != d]
 
     def activate(self, version: int, expected: int | None) -> None:
-        """Makes a published version the current one if the current one is what the caller takes it for. Repeating it is fine."""
-        if self.active() == version:
+        """Makes a published version the current one if the current one is what the caller takes it for. Repeating it is fine.
+
+        Each activation is a file of its own, numbered one up and created only if there is
+        none: of two that start from the same state one wins, and a crash leaves the last whole one.
+        """
+        last, now = self._last()
+        if now == version:
             return
         if not self.manifest(version):
             raise ValueError(f"version {version} is not published")
-        if self.active() != expected:
+        if now != expected or not self._claim(f"{self.root}/active/{last + 1:012d}.json", canonical_json({"version": version, "at": datetime.now(UTC).isoformat()})):
             raise ValueError("another version became active")
-        self._put(f"{self.root}/active.json", canonical_json({"version": version, "at": datetime.now(UTC).isoformat()}))
 
     def active(self) -> int | None:
-        got = self._get(f"{self.root}/active.json")
-        return json.loads(got)["version"] if got else None
+        return self._last()[1]
+
+    def _last(self) -> tuple[int, int | None]:
+        """Number and version of the last activation."""
+        folder = self._path(f"{self.root}/active")
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+        names = [n for n in names if n.endswith(".json")]
+        return (int(names[-1][:12]), json.loads(self._get(f"{self.root}/active/{names[-1]}"))["version"]) if names else (0, None)
+
+    def _claim(self, path: str, text: str) -> bool:
+        """Moves a whole file to ``path`` unless there is one."""
+        new, to = self._path(f"{self.root}/claims/{uuid.uuid4().hex}"), self._path(path)
+        out = self._fs.create(new, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._fs.mkdirs(to.getParent())
+        if self._fs.exists(to) or not self._fs.rename(new, to):  # a rename onto a file fails
+            self._fs.delete(new, False)
+            return False
+        return True
 
     def manifest(self, version: int) -> dict | None:
         got = self._get(f"{self.root}/v={version}/manifest.json")
