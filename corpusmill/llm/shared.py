@@ -2,32 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from corpusmill.functions.tables import cut, shared_dir
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="corpusmill-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed now and kept as a table in the shared folder.
-
-    A table, not a checkpoint: what a checkpoint knows about its plan makes the plans of
-    later rounds ever slower to optimise, and a table has sizes that joins can go by.
-    """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "partitions", "shared_dir"]
 
 
 def partitions(spark: SparkSession) -> int:
