@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, mixing, simhash, substring_dedup, toxicity
 from corpusmill.llm.queries import fold
-from corpusmill.llm.shared import checkpoint_dir
+from corpusmill.llm.shared import shared_dir
 
 #: Toxicity from which a document goes, words of a passage that may not repeat, and similarity from which documents are copies.
 TOXIC, PASSAGE, SIMILAR = 0.3, 13, 0.8
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
