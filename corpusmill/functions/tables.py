@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+_MADE: ContextVar[list[str] | None] = ContextVar("_MADE", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that ``cut`` wrote inside it; one written with ``stay`` is left for what comes after."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame, stay: bool = False) -> DataFrame:
     """``df``, computed now and kept as a table in the shared folder, so that lost executors cost no recomputation.
 
     A table, not a checkpoint: what a checkpoint knows about its plan makes the plans of
@@ -30,6 +50,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = _MADE.get()
+    if made is not None and not stay:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
