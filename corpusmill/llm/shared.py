@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from corpusmill.functions.tables import cut, shared_dir
+from corpusmill.functions.tables import cut, scratch, shared_dir
 
-__all__ = ["cut", "partitions", "shared_dir"]
+__all__ = ["cut", "partitions", "scratch", "shared_dir"]
 
 
 def partitions(spark: SparkSession) -> int:

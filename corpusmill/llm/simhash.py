@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.components import connected_components, joined
 from corpusmill.llm.decontaminate import shingles
-from corpusmill.llm.shared import cut, partitions
+from corpusmill.llm.shared import cut, partitions, scratch
 from corpusmill.llm.words import Words, mix, pieces, tidy
 
 #: Pairs of nodes in work at a time, and rows under a pair of nodes from which rows are compared one by one.
@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, crowd: int
 # --- similarity of shingle sets ---------------------------------------------------------------
 
 #: Bits of a sketch, chance that a pair at the threshold becomes a candidate, and chance meetings of a row in one table.
-WIDE, RECALL, CHANCE = 256, 0.99, 8
+WIDE, RECALL, CHANCE = 256, 0.98, 32
 #: Rows of a front block that a table is laid out for, and links of one text from which its pairs are verified in several tasks.
 BLOCK, HUB = 1 << 19, 1024
 #: Texts of a crowded task that all others are compared with first, and rounds of such comparisons.
@@ -357,7 +357,7 @@ def plan(rows: int, similar: float = 0.8, wanted: float = RECALL) -> tuple[int,
     tail = np.cumsum(_chances(WIDE, p))
     far = int(np.argmax(tail >= 1 - (1 - wanted) / 4))
     best = None
-    for budget in range(3):
+    for budget in range(4):
         bits = 16
         while bits < 63 and rows * sum(comb(bits, e) for e in range(budget + 1)) > CHANCE << bits:
             bits += 1
@@ -616,6 +616,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similar: float = 0.8, id_col: st
     Rows that repeat a doc_id are one document and stay or go together; rows without a
     doc_id stay.
     """
-    found = similar_documents(docs, size, similar, id_col=id_col, text_col=text_col)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    with scratch(docs.sparkSession):
+        found = similar_documents(docs, size, similar, id_col=id_col, text_col=text_col)
+        gone = cut(found.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct(), stay=True)
     return docs.join(gone, id_col, "left_anti")
