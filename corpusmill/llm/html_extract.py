@@ -150,15 +150,27 @@ class Lines(HTMLParser):
         self.asides = [(0, False)]
 
     def read(self, html: str):
+        parts, held = [], 0
         for part in tokens(html):
-            self.feed(part)
-            if self.rawdata.startswith("<"):  # a tag that the parser takes for unfinished
-                self.rawdata = ""
-            elif self.rawdata and part.endswith(">"):
-                text, self.rawdata = self.rawdata, ""
-                self.handle_data(text.partition("<")[0])
+            parts.append(part)
+            held += len(part)
+            if held > TAG:
+                self._some("".join(parts))
+                parts, held = [], 0
+        self._some("".join(parts))
         self.close()
 
+    def _some(self, text: str):
+        """Feeds some whole tags; what the parser takes for an unfinished one is left out, and what follows it is not."""
+        self.feed(text)
+        while self.rawdata.startswith("<"):
+            left, self.rawdata = self.rawdata, ""
+            first, *rest = tokens(left)
+            self.feed(first)
+            if self.rawdata.startswith("<"):
+                self.rawdata = ""
+            self.feed("".join(rest))
+
     def parse_marked_section(self, i, report=1):
         """Marked sections mean nothing in HTML: they end with the next ``>``."""
         return self.rawdata.find(">", i) + 1 or -1
