@@ -187,7 +187,7 @@ def train(docs: DataFrame, use: Column, size: int = TRAIN, lang_col: str = "lang
     ids = docs.filter(use & F.col(lang_col).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(lang_col).alias("lang"), F.xxhash64("doc_id").alias("_order")).distinct()
     first = Window.partitionBy("lang").orderBy("_order", "doc_id")
     ids = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= TRAIN_DOCS)
-    some = docs.filter(use).select("doc_id", F.col(lang_col).alias("lang"), F.substring("text", 1, size).alias("text")).join(ids, ["doc_id", "lang"])
+    some = docs.filter(use).select("doc_id", F.col(lang_col).alias("lang"), F.substring("text", 1, size).alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])  # ``TRAIN_DOCS`` rows of numbers a language
     given: dict[str, list] = {}
     for r in some.groupBy("lang", "_n").agg(F.min("text").alias("text")).collect():
         given.setdefault(r.lang, []).append((r._n, r.text))

@@ -204,7 +204,9 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def degree_threshold(degree: DataFrame) -> DataFrame:
     """One row: the nearest-rank 75th percentile of degrees, and the least degree of a starting point."""
-    n = degree.agg(F.count("*").alias("n"), F.coalesce(F.expr("percentile_disc(0.75) within group (order by degree)"), F.lit(0)).cast("long").alias("threshold"))
+    tally = degree.groupBy("degree").agg(F.count("*").alias("_n"))  # a row for each degree there is
+    summed = tally.withColumns({"_sum": F.sum("_n").over(Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(Window.partitionBy())})
+    n = summed.agg(F.coalesce(F.max("_all"), F.lit(0)).alias("n"), F.coalesce(F.min(F.when(4 * F.col("_sum") >= 3 * F.col("_all"), F.col("degree"))), F.lit(0)).cast("long").alias("threshold"))
     return n.select("threshold", F.when(F.col("n") <= 3, F.greatest(F.lit(1), "threshold")).otherwise(F.greatest(F.lit(2), "threshold")).alias("least"))
 
 

@@ -1077,7 +1077,7 @@ def _evidence(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 _EV = _CANDS + """, ev AS (SELECT p.query_id, p.chunk_id, doc_id, path, line, content, s, retrievers, fused, best_rank, ['api_question', 'flow_tracing', 'onboarding', 'code_question'][p.query_id % 4 + 1] AS kind FROM placed p JOIN hay USING (chunk_id) WHERE position <= 20),
 checked AS (SELECT *, CASE WHEN doc_id % 43 = 0 THEN 'blocked_source' WHEN doc_id % 31 = 0 OR doc_id % 19 = 0 THEN 'source_not_in_current_index' WHEN doc_id % 41 = 0 THEN 'source_missing' WHEN doc_id % 37 = 0 THEN 'source_hash_changed' WHEN doc_id % 23 = 0 THEN 'range_invalid' WHEN doc_id % 29 = 0 THEN 'chunk_hash_changed' END AS reason,
-  row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN kind = 'code_question' THEN 0 ELSE 1 END, s, fused DESC, best_rank, chunk_id) AS pos FROM ev),
+  row_number() OVER (PARTITION BY query_id ORDER BY CASE kind WHEN 'code_question' THEN 0 WHEN 'api_question' THEN CASE WHEN contains(retrievers, 'endpoint') THEN 0 ELSE 1 END WHEN 'flow_tracing' THEN CASE WHEN contains(retrievers, 'graph') THEN 0 ELSE 1 END ELSE 1 END, CASE WHEN contains(retrievers, 'exact') THEN 0 ELSE 1 END, s, fused DESC, best_rank, chunk_id) AS pos FROM ev),
 sound AS (SELECT *, 24 + ceil(length(content) / 4) AS cost, row_number() OVER (PARTITION BY query_id ORDER BY again, pos) AS no FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY pos) > 1 AS again FROM checked WHERE reason IS NULL)),
 lists AS (SELECT query_id, list({'c': chunk_id, 'k': cost::BIGINT, 'o': ''} ORDER BY no) AS l FROM sound GROUP BY 1),
 walk AS (SELECT query_id, l, 1 AS i, 0::BIGINT AS used, 0 AS n, NULL::VARCHAR AS cid, NULL::VARCHAR AS outcome FROM lists)"""
@@ -1112,9 +1112,9 @@ def evidence_omissions(spark, sf_dir):
     return E.omissions(E.select(*_evidence(spark, sf_dir), most=6, budget=250)[0])
 
 
-_SUFF = """, sel AS (SELECT st.query_id, path, s, retrievers FROM steps st JOIN ev ON ev.query_id = st.query_id AND ev.chunk_id = st.cid WHERE outcome = 'selected'), have AS (SELECT query_id, count(*) AS n, count(DISTINCT path) AS src FROM sel WHERE s < 2 GROUP BY 1),
-r AS (SELECT query_id, query, ['api_question', 'flow_tracing', 'onboarding', 'code_question'][query_id % 4 + 1] AS kind, coalesce(n, 0) AS n, coalesce(src, 0) AS src FROM questions LEFT JOIN have USING (query_id)),
-m AS (SELECT *, concat_ws(',', CASE WHEN kind IN ('api_question', 'flow_tracing') AND n < 2 THEN 'required_strong_evidence_count:2' END, CASE WHEN kind = 'api_question' THEN 'required_retriever:endpoint' WHEN kind = 'flow_tracing' THEN 'required_retriever:graph' END, CASE WHEN kind = 'onboarding' AND src < 2 THEN 'required_distinct_sources:2' END, CASE WHEN kind = 'code_question' AND n = 0 THEN 'required_strong_evidence_count:1' END) AS missing FROM r)"""
+_SUFF = """, sel AS (SELECT st.query_id, path, s, retrievers FROM steps st JOIN ev ON ev.query_id = st.query_id AND ev.chunk_id = st.cid WHERE outcome = 'selected'), have AS (SELECT query_id, count(*) AS n, count(DISTINCT path) AS src, bool_or(contains(retrievers, 'endpoint')) AS e, bool_or(contains(retrievers, 'graph')) AS g FROM sel WHERE s < 2 GROUP BY 1),
+r AS (SELECT query_id, query, ['api_question', 'flow_tracing', 'onboarding', 'code_question'][query_id % 4 + 1] AS kind, coalesce(n, 0) AS n, coalesce(src, 0) AS src, coalesce(e, false) AS e, coalesce(g, false) AS g FROM questions LEFT JOIN have USING (query_id)),
+m AS (SELECT *, concat_ws(',', CASE WHEN kind IN ('api_question', 'flow_tracing') AND n < 2 THEN 'required_strong_evidence_count:2' END, CASE WHEN kind = 'api_question' AND NOT e THEN 'required_retriever:endpoint' WHEN kind = 'flow_tracing' AND NOT g THEN 'required_retriever:graph' END, CASE WHEN kind = 'onboarding' AND src < 2 THEN 'required_distinct_sources:2' END, CASE WHEN kind = 'code_question' AND n = 0 THEN 'required_strong_evidence_count:1' END) AS missing FROM r)"""
 
 
 @query(
