@@ -746,7 +746,7 @@ def node_degrees(spark, sf_dir):
     return G.degrees(*_graph(spark, sf_dir))
 
 
-@query(with_sql(["nodes", "edges"], "d AS (SELECT id, count(e) AS degree FROM nodes LEFT JOIN (SELECT source AS id, 1 AS e FROM edges UNION ALL SELECT target, 1 FROM edges) USING (id) GROUP BY 1) SELECT (list_sort(list(degree))[ceil(0.75 * count(*))::INT])::BIGINT AS threshold, greatest(2, threshold) AS least FROM d"))
+@query(with_sql(["nodes", "edges"], "d AS (SELECT id, coalesce(c, 0) AS degree FROM nodes LEFT JOIN (SELECT id, count(*) AS c FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1) USING (id)) SELECT (list_sort(list(degree))[ceil(0.75 * count(*))::INT])::BIGINT AS threshold, greatest(2, threshold) AS least FROM d"))
 def degree_threshold(spark, sf_dir):
     n, e = _graph(spark, sf_dir)
     return G.degree_threshold(G.degrees(n, e))
