@@ -97,10 +97,15 @@ def fuzzy_scores(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     words = tokens.select("token").distinct()
     asked = terms.select("term").distinct()
     low, high = F.least(F.length("term"), F.length("token")), F.length("term") + F.length("token")
-    # a ratio of 0.76 needs matching characters, counted with repeats, of 0.76 of the mean length: few pairs have them
-    counted = lambda df, c: df.select(c, F.explode(F.split(c, "")).alias("_l")).filter("_l <> ''").groupBy(c, "_l").agg(F.count("*").alias(f"_{c}"))
-    alike = counted(words, "token").join(counted(asked, "term"), "_l").groupBy("term", "token").agg(F.sum(F.least("_term", "_token")).alias("_both"))
-    pairs = alike.filter((2 * low >= 0.76 * high - 1e-9) & (2 * F.col("_both") >= 0.76 * high - 1e-9)).withColumn("ratio", _ratio("term", "token")).filter("ratio >= 0.76")
+    # with a ratio of 0.76 the characters in common are more than the runs that they come in, so some run has two:
+    # the words share a pair of neighbours. Two and three characters are the exception, where the pair may have one between.
+    def grams(df: DataFrame, c: str) -> DataFrame:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2)))
+        skip = F.when(F.length(c) == 3, F.array(F.concat(F.substring(c, 1, 1), F.substring(c, 3, 1)))).otherwise(F.array().cast("array<string>"))
+        return df.select(c, F.explode(F.array_distinct(F.concat(pairs, skip))).alias("_g"))
+
+    alike = grams(words, "token").join(grams(asked, "term"), "_g").filter(2 * low >= 0.76 * high - 1e-9).select("term", "token").distinct()
+    pairs = alike.withColumn("ratio", _ratio("term", "token")).filter("ratio >= 0.76")
     best = terms.join(pairs, "term").join(tokens.distinct(), "token").groupBy("query_id", "id", "term").agg(F.max("ratio").alias("ratio"))
     return best.groupBy("query_id", "id").agg(F.sum(F.when(F.col("ratio") >= 0.88, 1.2).otherwise(0.55)).alias("fuzzy"))
 
