@@ -158,6 +158,34 @@ class Words:
         """For each word, the end of its row's words."""
         return np.repeat(self.first[1:], self.counts)
 
+    def numbers(self) -> np.ndarray:
+        """A number from 0 for each word, the same for equal words only: hashes group them, bytes are compared."""
+        h = self.hashes()
+        order = np.argsort(h, kind="stable")
+        new = np.append(True, h[order[1:]] != h[order[:-1]])[: len(h)]
+        if not same(self, order[1:][~new[1:]], self, order[:-1][~new[1:]]).all():  # two words of one hash
+            seen: dict[bytes, int] = {}
+            return np.array([seen.setdefault(self.data[a:b].tobytes(), len(seen)) for a, b in zip(self.starts, self.ends, strict=True)], np.int64)
+        out = np.empty(len(h), np.int64)
+        out[order] = np.cumsum(new) - 1
+        return out
+
+
+def same(a: Words, i: np.ndarray, b: Words, k: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Whether word i[n] of ``a`` and word k[n] of ``b`` have the same bytes."""
+    wide = a.ends[i] - a.starts[i]
+    out = wide == b.ends[k] - b.starts[k]
+    for at in range(0, len(i), step):
+        live = at + np.flatnonzero(out[at : at + step])
+        if not len(live):
+            continue
+        w = wide[live]
+        first = np.cumsum(w) - w
+        inside = np.arange(w.sum()) - np.repeat(first, w)
+        equal = a.data[np.repeat(a.starts[i[live]], w) + inside] == b.data[np.repeat(b.starts[k[live]], w) + inside]
+        out[live] = np.logical_and.reduceat(equal, first)
+    return out
+
 
 def windows(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First words of all runs of ``size`` words inside a row, and a 64-bit hash of each run."""
