@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, html_extract, language_id, maxscore, mixing, runs, simhash, substring_dedup, token_counts, topk, toxicity, warc
+from corpusmill.llm import decontaminate, html_extract, language_id, maxscore, mixing, multiprobe, runs, simhash, substring_dedup, token_counts, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,6 +133,11 @@ FROM scores WHERE score > 0 QUALIFY rank <= 10
 """
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multiprobe.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.collapse_runs(runs.with_periodic_tails(table(spark, sf_dir, "documents")), 6, 4).withColumn("best", runs.best_run(F.col("runs")))
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
@@ -156,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
     "op11_ranked_search": op11_ranked_search,
+    "op12_nearest": op12_nearest,
     "op13_runs": op13_runs,
 }
 ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op6_top_k": OP6_SQL, "op8_mixing": OP8_SQL, "op11_ranked_search": OP11_SQL}
