@@ -46,25 +46,17 @@ def term_idf(chunks: DataFrame, queries: DataFrame, posts: DataFrame | None = No
     return asked.join(seen, "term", "left").crossJoin(stats).select("term", df.alias("df"), F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
 
 
-def weighted_queries(chunks: DataFrame, queries: DataFrame, posts: DataFrame | None = None) -> DataFrame:
-    """(query_id, query, kind, terms: [(term, idf)] in term order, avg_tokens); queries without terms are left out."""
-    terms = queries.select("query_id", F.posexplode(X.query_terms(F.col("query"))).alias("pos", "term"))
-    weighed = terms.join(term_idf(chunks, queries, posts), "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "idf"))).alias("terms"))
-    rows = queries.select("query_id", "query", X.question_type(F.col("query")).alias("kind")).join(weighed, "query_id")
-    return rows.crossJoin(corpus_stats(chunks, posts).select("avg_tokens"))
-
-
 def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
     """(text, part): all distinct texts and distinct parts, not empty, such that the text holds the part.
 
-    An equi-join of a part's first three characters with the texts' substrings of one to
-    three characters; what meets there is compared.
+    The texts' substrings, of just the lengths that parts have, meet whole parts in an equi-join: no
+    key stands for more than one part, however alike parts begin. Texts are short (tokens, questions).
     """
-    lead = parts.select(part).filter(F.length(part) > 0).distinct().withColumn("_g", F.substring(part, 1, 3))
-    some = texts.select(text).filter(F.length(text) > 0).distinct()
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(F.col(text), i, F.lit(n)))
-    grams = some.withColumn("_g", F.explode(F.array_distinct(F.concat(gram(1), gram(2), gram(3)))))
-    return grams.join(lead, "_g").filter(F.col(text).contains(F.col(part))).select(text, part)
+    asked = parts.select(part).filter(F.length(part) > 0).distinct()
+    sizes = asked.select(F.length(part).alias("_n")).distinct()
+    some = texts.select(text).distinct().join(sizes, F.length(text) >= F.col("_n"))  # a row for each length that occurs
+    cuts = F.transform(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1), lambda i: F.substr(F.col(text), i, F.col("_n")))
+    return some.select(text, F.explode(F.array_distinct(cuts)).alias(part)).join(asked, part).select(text, part)
 
 
 def bm25(terms: Column, tokens: Column, avg_tokens: Column) -> Column:
@@ -88,26 +80,38 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def fuzzy_scores(terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(query_id, id, fuzzy): per term the best ratio with any token of the row gives 1.2 from 0.88 on, 0.55 from 0.76 on.
+def fuzzy_pairs(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """(term, token, ratio): distinct terms and tokens whose ratio is 0.76 or more.
 
-    terms: (query_id, term); tokens: (id, token). The ratio is a Python function, so it runs
-    once for each distinct pair of a term and a token whose lengths allow it to reach 0.76.
+    The ratio is a Python function, so it runs once for each distinct pair that can reach 0.76
+    by its lengths. With that ratio the characters in common are more than the runs that they come
+    in, so some run has two: the words share a pair of neighbours. Two and three characters are the
+    exception, where the pair may have one between.
     """
-    words = tokens.select("token").distinct()
-    asked = terms.select("term").distinct()
     low, high = F.least(F.length("term"), F.length("token")), F.length("term") + F.length("token")
-    # with a ratio of 0.76 the characters in common are more than the runs that they come in, so some run has two:
-    # the words share a pair of neighbours. Two and three characters are the exception, where the pair may have one between.
+
     def grams(df: DataFrame, c: str) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2)))
         skip = F.when(F.length(c) == 3, F.array(F.concat(F.substring(c, 1, 1), F.substring(c, 3, 1)))).otherwise(F.array().cast("array<string>"))
-        return df.select(c, F.explode(F.array_distinct(F.concat(pairs, skip))).alias("_g"))
+        return df.select(c).distinct().select(c, F.explode(F.array_distinct(F.concat(pairs, skip))).alias("_g"))
 
     alike = grams(words, "token").join(grams(asked, "term"), "_g").filter(2 * low >= 0.76 * high - 1e-9).select("term", "token").distinct()
-    pairs = alike.withColumn("ratio", _ratio("term", "token")).filter("ratio >= 0.76")
+    return alike.withColumn("ratio", _ratio("term", "token")).filter("ratio >= 0.76")
+
+
+def fuzzy_worth(ratio: Column) -> Column:
+    """What the best ratio of a term adds."""
+    return F.when(ratio >= 0.88, 1.2).when(ratio >= 0.76, 0.55).otherwise(0.0)
+
+
+def fuzzy_scores(terms: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(query_id, id, fuzzy): per term the best ratio with any token of the row gives 1.2 from 0.88 on, 0.55 from 0.76 on.
+
+    terms: (query_id, term); tokens: (id, token).
+    """
+    pairs = fuzzy_pairs(tokens, terms)
     best = terms.join(pairs, "term").join(tokens.distinct(), "token").groupBy("query_id", "id", "term").agg(F.max("ratio").alias("ratio"))
-    return best.groupBy("query_id", "id").agg(F.sum(F.when(F.col("ratio") >= 0.88, 1.2).otherwise(0.55)).alias("fuzzy"))
+    return best.groupBy("query_id", "id").agg(F.sum(fuzzy_worth(F.col("ratio"))).alias("fuzzy"))
 
 
 def rank(scored: DataFrame, by: list[str], score: str = "score", tie: list[str] = ("chunk_id",)) -> DataFrame:
@@ -121,36 +125,61 @@ def first_per_chunk(seeds: DataFrame, by: list[str], score: str = "score", tie:
     return seeds.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def _hits(posts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """(key, length, term, tf): the terms that each row holds as a token (``tf`` times) or, at 0, inside one.
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, pos, term, n_terms) of every question that has terms."""
+    terms = X.query_terms(F.col("query"))
+    return queries.select("query_id", F.posexplode(terms).alias("pos", "term"), F.size(terms).alias("n_terms"))
 
-    A term holds no character that parts tokens, so a text holds it exactly where one of its
-    tokens does. Terms are therefore looked for in the distinct tokens, which grow far
-    slower than the rows, and the rest is an equi-join of postings.
+
+def term_hits(rows: DataFrame, queries: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What is scored of rows (kind, id, haystack) of all kinds at once, and each kind's size.
+
+    Hits are (kind, id, length, term, tf, held, ratio): the terms of any question that a row holds as a
+    token (``tf`` times), inside one (``held``), or that are alike to one (``ratio``, if ``fuzzy``).
+    A term holds no character that parts tokens, so a text holds it exactly where one of its tokens
+    does: terms meet the distinct tokens, which grow far slower than the rows, and one
+    equi-join of the postings does the rest. Sizes are (kind, n_rows, avg_tokens).
     """
-    words = containing(posts, "token", terms, "term")
-    return posts.join(words, "token").groupBy(key, "length", "term").agg(F.sum(F.when(F.col("token") == F.col("term"), F.col("tf")).otherwise(0)).alias("tf"))
+    tok = rows.select("kind", "id", X.tokens(F.col("haystack")).alias("_t"))
+    each = tok.select("kind", "id", F.size("_t").alias("length"), F.posexplode_outer("_t").alias("_p", "token"))
+    posts = cut(each.groupBy("kind", "id", "length", "token").agg(F.count("token").alias("tf"), F.coalesce(F.min("_p"), F.lit(0)).alias("_p")))
+    rows_of = F.count_if(F.col("_p") == 0)  # one posting of each row holds its first token
+    sizes = posts.groupBy("kind").agg(rows_of.alias("n_rows"), (F.sum("tf") / rows_of).alias("avg_tokens"))
+    words = posts.select("token").filter("token is not null").distinct()
+    asked = asked_terms(queries).select("term").distinct()
+    marks = containing(words, "token", asked, "term").select("token", "term", F.lit(True).alias("held"), F.lit(0.0).alias("ratio"))
+    if fuzzy:
+        marks = marks.union(fuzzy_pairs(words, asked).select("token", "term", F.lit(False), "ratio"))
+        marks = marks.groupBy("token", "term").agg(F.max("held").alias("held"), F.max("ratio").alias("ratio"))
+    found = posts.join(marks, "token").groupBy("kind", "id", "length", "term")
+    return cut(found.agg(F.sum(F.when(F.col("token") == F.col("term"), F.col("tf")).otherwise(0)).alias("tf"), F.max("held").alias("held"), F.max("ratio").alias("ratio"))), cut(sizes)
 
 
-def lexical(chunks: DataFrame, queries: DataFrame, fuzzy: bool = False, k: int | None = None, digits: int = 6) -> DataFrame:
+def lexical(chunks: DataFrame, queries: DataFrame, fuzzy: bool = False, k: int | None = None, digits: int = 6, hits: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank, matched, reasons): chunks (chunk_id, path, symbol, chunk_type, haystack) with a score over 0.
 
     BM25, 0.65 times the lexical score, 0.8 times the fuzzy score, and extras for the
     question's type, a symbol or path that it names, endpoints and logins. With ``k`` the
     best ``k`` of each question; then of chunks that only their type or a login speaks for,
-    which all score alike, the first ``k`` of each kind stand in.
+    which all score alike, the first ``k`` of each kind stand in. ``hits`` is ``term_hits`` of rows that hold the chunks as kind ``chunk``, if it is at hand.
     """
-    posts = cut(postings(chunks))
-    asked = cut(weighted_queries(chunks, queries, posts))  # a row for each query, used several times
-    terms = asked.select("query_id", "avg_tokens", F.explode("terms").alias("t")).select("query_id", "avg_tokens", "t.pos", "t.term", "t.idf")
+    found, sizes = hits or term_hits(chunks.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "haystack"), queries, fuzzy)
+    found = found.filter("kind = 'chunk'").withColumnRenamed("id", "chunk_id")
+    size = sizes.filter("kind = 'chunk'").select("n_rows", "avg_tokens")
+    terms = asked_terms(queries)
+    df = found.filter("tf > 0").groupBy("term").agg(F.count("*").alias("df"))
+    n, seen = F.col("n_rows"), F.coalesce("df", F.lit(0))
+    idf = terms.select("term").distinct().join(df, "term", "left").crossJoin(size).select("term", "avg_tokens", F.log(1 + (n - seen + 0.5) / (seen + 0.5)).alias("idf"))  # one row of sizes
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("avg_tokens", F.lit(1.0)))
-    one = F.when(F.col("tf") > 0, F.col("idf") * F.col("tf") * (K1 + 1) / norm + 0.65 * 2.0).otherwise(0.65 * 0.75)
-    scored = _hits(posts, terms, "chunk_id").join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(one).alias("base"), F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("m"))
+    one = F.when(F.col("tf") > 0, F.col("idf") * F.col("tf") * (K1 + 1) / norm + 0.65 * 2.0).when(F.col("held"), 0.65 * 0.75).otherwise(0.0)
+    if fuzzy:
+        one = one + 0.8 * fuzzy_worth(F.col("ratio"))
+    scored = found.join(terms.join(idf, "term"), "term").groupBy("query_id", "chunk_id").agg(F.sum(one).alias("base"), F.array_sort(F.collect_list(F.when(F.col("held"), F.struct("pos", "term")))).alias("m"))
     scored = scored.select("query_id", "chunk_id", "base", F.array_join(F.transform("m", lambda x: x["term"]), " ").alias("matched"))
 
     hay, low = F.col("haystack"), F.lower("query")
     facts = chunks.select("chunk_id", "path", X.empty(F.col("symbol")).alias("symbol"), "chunk_type", (hay.contains("login") | hay.contains("auth")).alias("_login"))
-    shown = asked.select("query_id", "query", "kind")
+    shown = queries.filter(F.size(X.query_terms(F.col("query"))) > 0).select("query_id", "query", X.question_type(F.col("query")).alias("kind"))
     boost = X.chunk_boost(F.col("kind"), F.col("chunk_type"))
     few = facts.filter(F.col("_login") | F.col("chunk_type").isin(*{c for by in X.CHUNK_BOOSTS.values() for c in by}))
     if k is not None:
@@ -164,9 +193,6 @@ def lexical(chunks: DataFrame, queries: DataFrame, fuzzy: bool = False, k: int |
         names = facts.select("chunk_id", F.lower(c).alias("_part"))
         only.append(names.join(containing(lows, "_low", names, "_part"), "_part").join(lows, "_low").select("query_id", "chunk_id"))
     more = only[0].union(only[1]).union(only[2]).union(only[3]).distinct().select("query_id", "chunk_id", F.lit(0.0).alias("base"), F.lit("").alias("matched"))
-    if fuzzy:
-        near = fuzzy_scores(terms.select("query_id", "term"), posts.select(F.col("chunk_id").alias("id"), "token"))
-        more = more.union(near.select("query_id", F.col("id"), 0.8 * F.col("fuzzy"), F.lit("")))
     pairs = scored.union(more).groupBy("query_id", "chunk_id").agg(F.sum("base").alias("base"), F.max("matched").alias("matched"))
     pairs = pairs.join(facts, "chunk_id").join(shown, "query_id")
     named = (F.col("symbol") != "") & low.contains(F.lower("symbol"))
@@ -181,20 +207,22 @@ def lexical(chunks: DataFrame, queries: DataFrame, fuzzy: bool = False, k: int |
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def text_score(rows: DataFrame, queries: DataFrame, offset: float, key: str = "chunk_id", fuzzy: bool = True, digits: int = 6) -> DataFrame:
-    """(query_id, key, score): lexical (and fuzzy) score of ``haystack``, 2 more where it holds the whole query, plus ``offset``; only where the text itself scores."""
-    posts = cut(postings(rows, key))
-    terms = queries.select("query_id", F.explode(X.query_terms(F.col("query"))).alias("term"))
-    parts = [_hits(posts, terms, key).join(terms, "term").select("query_id", key, F.when(F.col("tf") > 0, 2.0).otherwise(0.75).alias("score"))]
-    whole = queries.select("query_id", F.lower(F.trim("query")).alias("_whole"))
-    held = containing(rows, "haystack", whole, "_whole")
-    parts.append(rows.select(key, "haystack").join(held, "haystack").join(whole, "_whole").select("query_id", key, F.lit(2.0).alias("score")))
+def text_score(rows: DataFrame, queries: DataFrame, offset: float, key: str = "chunk_id", fuzzy: bool = True, digits: int = 6, hits: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score): lexical (and fuzzy) score of ``haystack``, 2 more where it holds the whole query, plus ``offset``; only where the text itself scores.
+
+    ``hits`` are the rows' own hits (id, term, tf, held, ratio), if they are at hand. A text that holds a
+    whole query holds all its terms, so just rows that do are looked through for it.
+    """
+    if hits is None:
+        hits = term_hits(rows.select(F.lit("row").alias("kind"), F.col(key).alias("id"), "haystack"), queries, fuzzy)[0]
+    one = F.when(F.col("tf") > 0, 2.0).when(F.col("held"), 0.75).otherwise(0.0)
     if fuzzy:
-        parts.append(fuzzy_scores(terms, posts.select(F.col(key).alias("id"), "token")).select("query_id", F.col("id").alias(key), F.col("fuzzy").alias("score")))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.union(more)
-    return found.groupBy("query_id", key).agg(F.round(F.sum("score") + offset, digits).alias("score"))
+        one = one + fuzzy_worth(F.col("ratio"))
+    met = hits.join(asked_terms(queries), "term").groupBy("query_id", F.col("id").alias(key)).agg(F.sum(one).alias("s"), (F.count_if("held") == F.max("n_terms")).alias("_all"))
+    every = met.filter("_all").join(rows.select(key, "haystack"), key).join(queries.select("query_id", F.lower(F.trim("query")).alias("_whole")), "query_id")
+    whole = every.filter(F.col("haystack").contains(F.col("_whole"))).select("query_id", key, F.lit(2.0).alias("_more"))
+    found = met.join(whole, ["query_id", key], "left").withColumn("s", F.col("s") + F.coalesce("_more", F.lit(0.0))).filter("s > 0")
+    return found.select("query_id", key, F.round(F.col("s") + offset, digits).alias("score"))
 
 
 def symbol_entities(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -224,9 +252,13 @@ def node_entities(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("entity_id"), "chunk_id", F.col("label").alias("title"), F.col("file_path").alias("path"), hay.alias("haystack"))
 
 
-def seeds(entities: DataFrame, queries: DataFrame, kind: str, fuzzy: bool = True) -> DataFrame:
-    """(query_id, chunk_id, title, path, score): each entity that scores for a question; ``kind`` names its addend in ``OFFSETS``."""
-    found = text_score(entities.select("entity_id", "haystack"), queries, OFFSETS[kind], "entity_id", fuzzy)
+def seeds(entities: DataFrame, queries: DataFrame, kind: str, fuzzy: bool = True, hits: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, title, path, score): each entity that scores for a question; ``kind`` names its addend in ``OFFSETS``.
+
+    ``hits`` are the first of ``term_hits``, of rows that hold the entities as kind ``kind``, if they are at hand.
+    """
+    own = None if hits is None else hits.filter(F.col("kind") == kind)
+    found = text_score(entities.select("entity_id", "haystack"), queries, OFFSETS[kind], "entity_id", fuzzy, hits=own)
     return found.join(entities.drop("haystack"), "entity_id").select("query_id", "chunk_id", "title", "path", "score")
 
 
@@ -293,24 +325,30 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6)
     return rank(scored, ["query_id"], tie=["vec_id"]).filter(F.col("rank") <= k)
 
 
-def graph_context(matched: DataFrame, edges: DataFrame, nodes: DataFrame, chunks: DataFrame, offset: DataFrame | None = None) -> DataFrame:
+def graph_context(matched: DataFrame, edges: DataFrame, nodes: DataFrame, chunks: DataFrame, offset: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): chunks of fit types in files next to matched files, at one flat score.
 
     matched: (query_id, path, chunk_id); an edge of the graph in either direction makes the
-    files of its ends neighbours. Chunks matched already are left out. Ranks go on after
-    ``offset`` (query_id, n), the number of graph candidates there are.
+    files of its ends neighbours, of one file too, and a neighbour may be matched itself. Only chunks matched already are
+    left out. Ranks go on after ``offset`` (query_id, n), the number of graph candidates there
+    are. With ``k`` ranks up to ``k``: of each file just as many chunks are looked at as can be matched or ranked.
     """
     at = nodes.filter("file_path is not null").select(F.col("id"), F.col("file_path"))
     both = edges.select("source", "target").union(edges.select("target", "source"))
     step = both.join(at.withColumnRenamed("file_path", "path"), F.col("source") == F.col("id")).drop("id")
-    step = step.join(at.withColumnRenamed("file_path", "next"), F.col("target") == F.col("id")).select("path", "next").filter("path <> next").distinct()
+    step = step.join(at.withColumnRenamed("file_path", "next"), F.col("target") == F.col("id")).select("path", "next").distinct()
     near = matched.select("query_id", "path").distinct().join(step, "path").select("query_id", F.col("next").alias("path")).distinct()
-    near = near.join(matched.select("query_id", "path").distinct(), ["query_id", "path"], "left_anti")
-    found = near.join(chunks.filter(F.col("chunk_type").isin(*CONTEXT_TYPES)), "path").join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    fit = chunks.filter(F.col("chunk_type").isin(*CONTEXT_TYPES)).select("path", "chunk_id")
+    if k is not None:
+        most = matched.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+        fit = fit.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("chunk_id"))).filter(F.col("_n") <= k + most).drop("_n")
+    found = near.join(fit, "path").join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     ranked = rank(found.select("query_id", "chunk_id", F.lit(CONTEXT_SCORE).alias("score")), ["query_id"])
+    if k is not None:
+        ranked = ranked.filter(F.col("rank") <= k)
     if offset is not None:
         ranked = ranked.join(offset, "query_id", "left").withColumn("rank", F.col("rank") + F.coalesce("n", F.lit(0)).cast("int")).drop("n")
-    return ranked
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 # --- chunks of other records ----------------------------------------------------------------------

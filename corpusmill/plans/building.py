@@ -139,7 +139,7 @@ told AS (SELECT 'exact_keyword' AS method, query_id, chunk_id, row_number() OVER
 UNION ALL SELECT 'naive_semantic', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) FROM cand WHERE retriever = 'semantic')"""
 
 
-@query(with_sql(_TABLES, f"{_CANDS}, {_METHOD} SELECT method, query_id, chunk_id, position::INT AS position FROM told WHERE position <= 5"))
+@query(with_sql([*_TABLES, "file_links"], f"{_CANDS}, {_METHOD} SELECT method, query_id, chunk_id, position::INT AS position FROM told WHERE position <= 5"))
 def evaluation_methods(spark, sf_dir):
     """The first five results of each question by each of the three evaluated methods."""
     return EV.methods(_retrieved(spark, sf_dir), 5).select("method", "query_id", F.substring("entity_key", 6, 100).alias("chunk_id"), "position")

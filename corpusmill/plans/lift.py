@@ -64,10 +64,24 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, doc_id: documents that hold a whole passage; passages are few and of a fixed number."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    """query_id, doc_id: documents that hold a whole passage. A passage's first and last whole words but one meet the documents' pairs of words so far apart."""
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"([^\s]+)"), F.lit(1))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), words(F.col("text")).alias("_w"))
+    items = items.withColumn("_g", F.size("_w") - 3).withColumns({"_a": F.get("_w", F.lit(1)), "_b": F.get("_w", F.size("_w") - 2)})
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(items), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    gaps = items.filter("_g >= 1").select("_g").distinct()  # the passages' lengths
+    split = docs.select("doc_id", words(F.col("text")).alias("_w")).join(gaps, F.size("_w") >= F.col("_g") + 2)
+    inner = F.transform(F.sequence(F.lit(0), F.size("_w") - F.col("_g") - 1), lambda i: F.struct(F.get("_w", i).alias("_a"), F.get("_w", i + F.col("_g")).alias("_b")))
+    met = split.select("doc_id", "_g", F.explode(F.array_distinct(inner)).alias("_p")).select("doc_id", "_g", "_p._a", "_p._b").join(items.drop("_w"), ["_g", "_a", "_b"])
+    few = docs.join(items.filter("_g < 1").select("query_id", "passage"), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    return met.join(docs, "doc_id").filter(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id").union(few)
+
+
+def file_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, target: each document's file imports that of the document 40 before it and that of half its id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    ends = docs.select(F.col("path").alias("source"), F.explode(F.array((F.col("doc_id") - 40).cast("long"), F.floor(F.col("doc_id") / 2).cast("long"))).alias("doc_id"))
+    return ends.join(docs.withColumnRenamed("path", "target"), "doc_id").select("source", "target")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +228,7 @@ SQL = {
     "chunks": f"""SELECT 'chunk_' || left(sha1(path || ':' || line || ':' || content), 16) AS chunk_id, doc_id * 100000 + line AS seq, doc_id, path, line, content
   FROM (SELECT doc_id, {_PATH} AS path, line, trim(c) AS content FROM (SELECT *, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents)) WHERE content <> ''""",
     "questions": r"SELECT item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:6], ' ') AS query FROM benchmark",
+    "file_links": f"SELECT a.path AS source, b.path AS target FROM (SELECT {_PATH} AS path, unnest([doc_id - 40, doc_id // 2]) AS tgt FROM documents) a JOIN (SELECT doc_id, {_PATH} AS path FROM documents) b ON a.tgt = b.doc_id",
     "relevance": "SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "nodes": " UNION ALL ".join(
         [
@@ -248,4 +263,4 @@ SQL = {
 
 def with_sql(names: list[str], body: str) -> str:
     """``body`` after the common table expressions of the lifted tables it names; it may go on with more of them."""
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + (",\n" if body.lstrip()[:6].upper() != "SELECT" else "\n") + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + (",\n" if body.lstrip()[:6].upper() != "SELECT" else "\n") + body

@@ -382,14 +382,32 @@ def term_idf(spark, sf_dir):
 
 _KIND = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(query), {chr(39)}{x}{chr(39)})' for x in sig)} THEN '{k}'" for k, sig in X.QUESTION_RULES) + " ELSE 'code_question' END"
 _BOOST = "CASE " + " ".join(f"WHEN kind = '{k}' AND chunk_type = '{c}' THEN {v}" for k, by in X.CHUNK_BOOSTS.items() for c, v in by.items()) + " ELSE 0.0 END"
-# every chunk against every question, scored term by term
-_PAIRS = f"""{_IDF}, qt AS (SELECT query_id, query, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM q),
+# ratios of terms and tokens: the longest common block (first in the term, then in the token), then what lies before and behind it
+_BLOCK = "list_max(flatten(list_transform(range(1, length({0}) + 1), lambda i: list_filter(list_transform(range(1, length({0}) - i + 2), lambda k: {{'k': k, 'i': -i}}), lambda s: instr({1}, substr({0}, -s.i, s.k)) > 0))))"
+_PAIR_GRAMS = "list_concat(list_transform(range(1, greatest(length({0}) - 1, 1) + 1), lambda i: substr({0}, i, 2)), CASE WHEN length({0}) = 3 THEN [left({0}, 1) || right({0}, 1)] ELSE [] END)"
+
+
+def _fuzzy_sql(words: str) -> str:
+    """fz (term, token, v): what alike terms and tokens add; ``words`` selects tokens."""
+    return f"""wd AS (SELECT DISTINCT token FROM ({words})), ft AS (SELECT DISTINCT unnest(terms) AS term FROM q),
+alike AS (SELECT DISTINCT term, token FROM (SELECT term, unnest({_PAIR_GRAMS.format('term')}) AS g FROM ft) JOIN (SELECT token, unnest({_PAIR_GRAMS.format('token')}) AS g FROM wd) USING (g) WHERE 2 * least(length(term), length(token)) >= 0.76 * (length(term) + length(token)) - 1e-9),
+rp AS (SELECT term, token, term AS a, token AS b, {_BLOCK.format('term', 'token')} AS s FROM alike UNION ALL
+  SELECT term, token, p.a, p.b, {_BLOCK.format('p.a', 'p.b')} FROM (SELECT term, token, unnest([{{'a': left(a, -s.i - 1), 'b': left(b, instr(b, substr(a, -s.i, s.k)) - 1)}}, {{'a': substr(a, -s.i + s.k), 'b': substr(b, instr(b, substr(a, -s.i, s.k)) + s.k)}}]) AS p FROM rp WHERE s IS NOT NULL) WHERE p.a <> '' AND p.b <> ''),
+fz AS (SELECT term, token, CASE WHEN r >= 0.88 THEN 1.2 ELSE 0.55 END::DOUBLE AS v FROM (SELECT term, token, 2.0::DOUBLE * sum(s.k) / (length(term) + length(token)) AS r FROM rp WHERE s IS NOT NULL GROUP BY term, token) WHERE r >= 0.76)"""
+
+
+_CHUNK_WORDS = "SELECT unnest(toks) AS token FROM hay"
+# every chunk against every question, scored term by term; fz comes before
+_LEX = f"""qt AS (SELECT query_id, query, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM q),
 hit AS (SELECT query_id, chunk_id, pos, qt.term, idf, len(list_filter(toks, lambda x: x = qt.term)) AS tf, len(toks) AS ln FROM hay JOIN qt ON contains(h, qt.term) JOIN idf ON idf.term = qt.term),
 lex AS (SELECT query_id, chunk_id, sum(CASE WHEN tf > 0 THEN idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * ln / greatest(av, 1))) ELSE 0 END) + 0.65 * sum(CASE WHEN tf > 0 THEN 2.0 ELSE 0.75 END) AS s, string_agg(term, ' ' ORDER BY pos) AS matched FROM hit, stats GROUP BY query_id, chunk_id),
-boosted AS (SELECT query_id, chunk_id, round(coalesce(s, 0) + {_BOOST} + CASE WHEN symbol <> '' AND contains(lower(query), lower(symbol)) THEN 3.0 ELSE 0.0 END + CASE WHEN contains(lower(query), lower(path)) THEN 3.0 ELSE 0.0 END
+fuz AS (SELECT query_id, chunk_id, sum(v) AS f FROM (SELECT query_id, chunk_id, qt.term, max(v) AS v FROM (SELECT DISTINCT chunk_id, unnest(toks) AS token FROM hay) JOIN fz USING (token) JOIN qt USING (term) GROUP BY ALL) GROUP BY ALL),
+boosted AS (SELECT query_id, chunk_id, round(coalesce(s, 0) + 0.8::DOUBLE * coalesce(f, 0) + {_BOOST} + CASE WHEN symbol <> '' AND contains(lower(query), lower(symbol)) THEN 3.0 ELSE 0.0 END + CASE WHEN contains(lower(query), lower(path)) THEN 3.0 ELSE 0.0 END
   + CASE WHEN chunk_type = 'endpoint' AND s IS NOT NULL THEN 1.0 ELSE 0.0 END + CASE WHEN contains(lower(query), 'login') AND (contains(h, 'login') OR contains(h, 'auth')) THEN 3.0 ELSE 0.0 END, 6) AS score, coalesce(matched, '') AS matched
-  FROM (SELECT *, {_KIND} AS kind FROM q WHERE len(terms) > 0) CROSS JOIN hay LEFT JOIN lex USING (query_id, chunk_id)),
+  FROM (SELECT *, {_KIND} AS kind FROM q WHERE len(terms) > 0) CROSS JOIN hay LEFT JOIN lex USING (query_id, chunk_id) LEFT JOIN fuz USING (query_id, chunk_id)),
 lexical AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM boosted WHERE score > 0)"""
+_NO_FUZZY = "fz AS (SELECT '' AS term, '' AS token, 0.0::DOUBLE AS v WHERE false)"
+_PAIRS = f"{_IDF}, {_NO_FUZZY}, {_LEX}"
 
 
 @query(with_sql(["chunks", "questions"], _PAIRS + " SELECT query_id, chunk_id, score, rank, matched FROM lexical WHERE rank <= 10"))
@@ -398,11 +416,10 @@ def bm25_topk(spark, sf_dir):
     return R.lexical(_chunk_rows(spark, sf_dir), L.questions(spark, sf_dir), k=10).select("query_id", "chunk_id", "score", "rank", "matched")
 
 
-@query()
+@query(with_sql(["chunks", "questions"], f"{_IDF}, {_fuzzy_sql(_CHUNK_WORDS)}, {_LEX} SELECT query_id, chunk_id, score, rank, matched FROM lexical WHERE rank <= 10"))
 def lexical_fuzzy(spark, sf_dir):
     """The lexical retriever with its fuzzy term."""
-    chunks = _chunk_rows(spark, sf_dir)
-    return R.lexical(chunks, L.questions(spark, sf_dir), fuzzy=True, k=10)
+    return R.lexical(_chunk_rows(spark, sf_dir), L.questions(spark, sf_dir), fuzzy=True, k=10).select("query_id", "chunk_id", "score", "rank", "matched")
 
 
 _SPARSE_TOK = r"flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9_/.-]+'), lambda t: list_concat([t], list_filter(regexp_split_to_array(t, '[/_.-]+'), lambda p: length(p) > 1))))"
@@ -445,9 +462,9 @@ def dense_topk(spark, sf_dir):
     return R.dense(v, v.filter("vec_id % 50 = 0"), 10)
 
 
-def _entities(spark, sf_dir) -> dict[str, DataFrame]:
+def _entities(spark, sf_dir, c: DataFrame | None = None) -> dict[str, DataFrame]:
     """What the entity retrievers look through: functions and methods, endpoints, files, and graph nodes of files and functions."""
-    c = _chunk_rows(spark, sf_dir)
+    c = _chunk_rows(spark, sf_dir) if c is None else c
     named = c.filter("symbol <> ''")
     symbols = named.filter("chunk_type <> 'endpoint'").select(col("chunk_id").alias("symbol_id"), "path", col("symbol").alias("name"), col("chunk_type").alias("symbol_type"), F.concat("symbol", lit("("), col("line").cast("string"), lit(")")).alias("signature"), "start_line", "end_line")
     endpoints = named.filter("chunk_type = 'endpoint'").select(col("chunk_id").alias("endpoint_id"), "path", lit("GET").alias("method"), F.concat(lit("/"), "symbol").alias("route"), col("symbol").alias("handler"), lit("owner corpus").alias("metadata"))
@@ -468,10 +485,15 @@ _ENTITY_SQL = {
 }
 
 
+def _entity_rows(kind: str) -> str:
+    return f"{kind}_e AS ({_ENTITY_SQL[kind]}), {kind}_t AS (SELECT *, {_TOKENS.format('eh')} AS et FROM {kind}_e)"
+
+
 def _entity_sql(kind: str) -> str:
-    return f"""{kind}_e AS ({_ENTITY_SQL[kind]}), {kind}_t AS (SELECT *, {_TOKENS.format('eh')} AS et FROM {kind}_e),
+    """Seeds of one kind, after its rows and fz."""
+    return f"""{kind}_f AS (SELECT query_id, entity_id, sum(v) AS f FROM (SELECT query_id, entity_id, q1.term, max(v) AS v FROM (SELECT DISTINCT entity_id, unnest(et) AS token FROM {kind}_t) JOIN fz USING (token) JOIN (SELECT query_id, unnest(terms) AS term FROM q) q1 USING (term) GROUP BY ALL) GROUP BY ALL),
 {kind}_s AS (SELECT query_id, query, chunk_id, title, path, round(s + {R.OFFSETS[kind]}, 6)::DOUBLE AS score FROM (SELECT query_id, query, chunk_id, title, path, coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(et, t) THEN 2.0 WHEN contains(eh, t) THEN 0.75 ELSE 0.0 END)), 0)
-  + CASE WHEN trim(query) <> '' AND contains(eh, lower(trim(query))) THEN 2.0 ELSE 0.0 END AS s FROM q CROSS JOIN {kind}_t) WHERE s > 0)"""
+  + CASE WHEN trim(query) <> '' AND contains(eh, lower(trim(query))) THEN 2.0 ELSE 0.0 END + coalesce(f, 0) AS s FROM q CROSS JOIN {kind}_t LEFT JOIN {kind}_f USING (query_id, entity_id)) WHERE s > 0)"""
 
 
 _FIRST = "(SELECT query_id, chunk_id, title, score FROM {0} QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, title) = 1)"
@@ -481,83 +503,126 @@ def _entity_rank(kind: str, source: str) -> str:
     return f"{kind} AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM {_FIRST.format(source)})"
 
 
-_ENTITIES = ", ".join(f"{_entity_sql(k)}, {_entity_rank(k, k + '_s')}" for k in _ENTITY_SQL) + ", exact_s AS (" + " UNION ALL ".join(
-    f"SELECT * FROM {k}_s WHERE (title <> '' AND contains(lower(query), lower(title))) OR contains(lower(query), lower(path))" for k in _ENTITY_SQL
+_ROWS = ", ".join(_entity_rows(k) for k in _ENTITY_SQL)
+_ENTITY_WORDS = " UNION ALL ".join(f"SELECT unnest(et) AS token FROM {k}_t" for k in _ENTITY_SQL)
+_EXACT = "exact_s AS (" + " UNION ALL ".join(
+    f"SELECT * FROM {k}_s WHERE (title <> '' AND contains(lower(query), lower(title))) OR contains(lower(query), lower(path))" for k in _ENTITY_SQL if k != "graph"
 ) + "), " + _entity_rank("exact", "exact_s")
+_SEEDS = ", ".join(f"{_entity_sql(k)}, {_entity_rank(k, k + '_s')}" for k in _ENTITY_SQL) + ", " + _EXACT
 _ENTITY_TABLES = ["chunks", "questions", "files"]
 
 
 def _entity_query(kind: str):
     def run(spark, sf_dir):
-        found = R.seeds(_entities(spark, sf_dir)[kind], L.questions(spark, sf_dir), kind, fuzzy=False)
+        found = R.seeds(_entities(spark, sf_dir)[kind], L.questions(spark, sf_dir), kind)
         return R.entity_rank(found, 10).select("query_id", "chunk_id", "title", "score", "rank")
 
-    run.__name__, run.__doc__ = f"{kind}_topk", f"The ten best chunks of each question by the {kind} retriever, without its fuzzy term."
-    return query(with_sql(_ENTITY_TABLES, f"{_QT}, {_HAY}, {_entity_sql(kind)}, {_entity_rank(kind, kind + '_s')} SELECT query_id, chunk_id, title, score, rank FROM {kind} WHERE rank <= 10"))(run)
+    run.__name__, run.__doc__ = f"{kind}_topk", f"The ten best chunks of each question by the {kind} retriever."
+    words = f"SELECT unnest(et) AS token FROM {kind}_t"
+    return query(with_sql(_ENTITY_TABLES, f"{_QT}, {_HAY}, {_entity_rows(kind)}, {_fuzzy_sql(words)}, {_entity_sql(kind)}, {_entity_rank(kind, kind + '_s')} SELECT query_id, chunk_id, title, score, rank FROM {kind} WHERE rank <= 10"))(run)
 
 
 for _k in _ENTITY_SQL:
     _entity_query(_k)
 
+#: Retrievers that the exact one goes through.
+NAMED = ("symbol", "endpoint", "metadata")
 
-def _seeds(spark, sf_dir) -> dict[str, DataFrame]:
-    q = L.questions(spark, sf_dir)
-    return {k: cut(R.seeds(e, q, k, fuzzy=False)) for k, e in _entities(spark, sf_dir).items()}
 
+def _seeds(spark, sf_dir, chunks: DataFrame, more: DataFrame | None = None) -> tuple[dict[str, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Seeds by entity retriever, and the hits of all kinds, from one table of postings; ``more`` are rows of further kinds."""
+    q, entities = L.questions(spark, sf_dir), {k: cut(e) for k, e in _entities(spark, sf_dir, chunks).items()}
+    rows = more
+    for k, e in entities.items():
+        e = e.select(lit(k).alias("kind"), col("entity_id").alias("id"), "haystack")
+        rows = e if rows is None else rows.union(e)
+    hits = R.term_hits(rows, q)
+    return {k: cut(R.seeds(e, q, k, hits=hits[0])) for k, e in entities.items()}, hits
 
-@query(with_sql(_ENTITY_TABLES, f"{_QT}, {_HAY}, {_ENTITIES} SELECT query_id, chunk_id, title, score, rank FROM exact WHERE rank <= 10"))
+
+def _named(found: dict[str, DataFrame]) -> DataFrame:
+    rows = found[NAMED[0]]
+    for k in NAMED[1:]:
+        rows = rows.union(found[k])
+    return rows
+
+
+@query(with_sql(_ENTITY_TABLES, f"{_QT}, {_HAY}, {_ROWS}, {_fuzzy_sql(_ENTITY_WORDS)}, {_SEEDS} SELECT query_id, chunk_id, title, score, rank FROM exact WHERE rank <= 10"))
 def exact_topk(spark, sf_dir):
     """Chunks of entities that a question names."""
-    found = _seeds(spark, sf_dir)
-    rows = found["symbol"].union(found["endpoint"]).union(found["metadata"]).union(found["graph"])
-    return R.exact(rows, L.questions(spark, sf_dir)).filter("rank <= 10").select("query_id", "chunk_id", "title", "score", "rank")
+    found, _ = _seeds(spark, sf_dir, _chunk_rows(spark, sf_dir))
+    return R.exact(_named(found), L.questions(spark, sf_dir)).filter("rank <= 10").select("query_id", "chunk_id", "title", "score", "rank")
 
 
 REASONS = {"lexical": "lexical_chunk_match", "semantic": "semantic_sparse_vector_match", "symbol": "symbol_match", "endpoint": "endpoint_match", "metadata": "file_metadata_match", "graph": "graph_node_match", "exact": "exact_named_target"}
+CONTEXT = "graph_context_neighbor"
+
+
+def _file_graph(spark, sf_dir, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, file_path) of files and of functions, and edges: imports of files, and a file's functions."""
+    functions = chunks.filter("chunk_type = 'function' and symbol <> ''")
+    nodes = chunks.select(col("path").alias("id"), col("path").alias("file_path")).distinct().union(functions.select("chunk_id", "path"))
+    return nodes, L.file_links(spark, sf_dir).union(functions.select("path", "chunk_id"))
 
 
 def _retrieved(spark, sf_dir) -> DataFrame:
-    """The best 50 candidates of all seven retrievers; the entity is the line, the source the document."""
-    chunks, q = _chunk_rows(spark, sf_dir), L.questions(spark, sf_dir)
-    found = _seeds(spark, sf_dir)
+    """The best 50 candidates of all seven retrievers, then chunks of files next to theirs in the graph; the entity is the line, the source the document."""
+    chunks, q = cut(_chunk_rows(spark, sf_dir)), L.questions(spark, sf_dir)
+    found, hits = _seeds(spark, sf_dir, chunks, chunks.select(lit("chunk").alias("kind"), col("chunk_id").alias("id"), "haystack"))
     ranked = {k: R.entity_rank(f, 50) for k, f in found.items()}
-    ranked["exact"] = R.exact(found["symbol"].union(found["endpoint"]).union(found["metadata"]).union(found["graph"]), q).filter("rank <= 50")
-    ranked |= {"lexical": R.lexical(chunks, q, k=50), "semantic": R.sparse(_bodies(spark, sf_dir), q, 50)}
+    ranked["exact"] = R.exact(_named(found), q).filter("rank <= 50")
+    ranked |= {"lexical": R.lexical(chunks, q, True, 50, hits=hits), "semantic": R.sparse(chunks.withColumn("body", F.concat("path", lit("  text "), "content")), q, 50)}
     rows = None
     for kind, r in ranked.items():
         r = r.select("query_id", "chunk_id", "rank", lit(kind).alias("retriever"), F.array(lit(REASONS[kind])).alias("reasons"), lit({"graph": "static_resolved", "semantic": "heuristic"}.get(kind, "source_exact")).alias("support"))
         rows = r if rows is None else rows.unionByName(r)
-    rows = rows.join(chunks.select("chunk_id", "doc_id", "line", "path"), "chunk_id")
+    rows = cut(rows.join(chunks.select("chunk_id", "doc_id", "line", "path"), "chunk_id"))
+    nodes, edges = _file_graph(spark, sf_dir, chunks)
+    taken = rows.filter("retriever = 'graph'").groupBy("query_id").agg(F.count("*").alias("n"))
+    near = R.graph_context(rows.select("query_id", "path", "chunk_id"), edges, nodes, chunks, taken, 50)
+    near = near.select("query_id", "chunk_id", "rank", lit("graph").alias("retriever"), F.array(lit(CONTEXT)).alias("reasons"), lit("static_resolved").alias("support"))
+    rows = rows.unionByName(near.join(chunks.select("chunk_id", "doc_id", "line", "path"), "chunk_id"))
     return cut(rows.select(
         "query_id", F.concat_ws("|", "retriever", "chunk_id").alias("candidate_id"), "retriever", F.concat(lit("line:"), "chunk_id").alias("entity_key"), F.concat(lit("file:v1:"), "path").alias("source_key"),
         col("line").alias("start_line"), col("line").alias("end_line"), "rank", "support", "reasons", "doc_id", "chunk_id",
     ))
 
 
-@query(with_sql(_ENTITY_TABLES, f"{_PAIRS}, {_SPARSE}, {_ENTITIES} " + " UNION ALL ".join(f"SELECT query_id, '{k}' AS retriever, chunk_id, rank FROM {t} WHERE rank <= 50" for k, t in [*((k, k) for k in REASONS if k != "semantic"), ("semantic", "sparse")])))
+_CAND_TABLES = ["chunks", "questions", "files", "file_links"]
+_FOUND = f"""{_IDF}, {_ROWS}, {_fuzzy_sql(_CHUNK_WORDS + ' UNION ALL ' + _ENTITY_WORDS)}, {_LEX}, {_SPARSE}, {_SEEDS}, first_round AS ({" UNION ALL ".join(f"SELECT query_id, chunk_id, rank, '{k}' AS retriever, { {'graph': 1, 'semantic': 2}.get(k, 0)} AS s FROM {'sparse' if k == 'semantic' else k} WHERE rank <= 50" for k in REASONS)}),
+gn AS (SELECT DISTINCT path AS id, path AS file_path FROM hay UNION ALL SELECT chunk_id, path FROM hay WHERE chunk_type = 'function' AND symbol <> ''),
+ge AS (SELECT source, target FROM file_links UNION ALL SELECT path, chunk_id FROM hay WHERE chunk_type = 'function' AND symbol <> ''),
+file_steps AS (SELECT DISTINCT x.file_path AS path, y.file_path AS nxt FROM (SELECT source, target FROM ge UNION ALL SELECT target, source FROM ge) b JOIN gn x ON b.source = x.id JOIN gn y ON b.target = y.id),
+file_nexts AS (SELECT DISTINCT query_id, nxt AS path FROM (SELECT DISTINCT query_id, path FROM first_round JOIN hay USING (chunk_id)) JOIN file_steps USING (path)),
+around AS (SELECT query_id, chunk_id, ((row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)) + coalesce((SELECT count(*) FROM first_round g WHERE g.query_id = x.query_id AND retriever = 'graph'), 0))::INT AS rank
+  FROM (SELECT query_id, chunk_id FROM file_nexts JOIN hay USING (path) WHERE chunk_type IN {listed(R.CONTEXT_TYPES)}) x ANTI JOIN first_round USING (query_id, chunk_id)),
+cand AS (SELECT *, false AS near FROM first_round UNION ALL SELECT query_id, chunk_id, rank, 'graph', 1, true FROM around WHERE rank <= 50)"""
+
+
+@query(with_sql(_CAND_TABLES, _FOUND + " SELECT query_id, retriever, chunk_id, rank, near FROM cand"))
 def retrieve_candidates(spark, sf_dir):
-    """What all seven retrievers hand to fusion."""
-    return _retrieved(spark, sf_dir).select("query_id", "retriever", "chunk_id", "rank")
+    """What all seven retrievers hand to fusion, and what the graph adds to it."""
+    return _retrieved(spark, sf_dir).select("query_id", "retriever", "chunk_id", "rank", F.array_contains("reasons", CONTEXT).alias("near"))
 
 
-_CANDS = f"""{_PAIRS}, {_SPARSE}, {_ENTITIES}, cand AS ({" UNION ALL ".join(f"SELECT query_id, chunk_id, rank, '{k}' AS retriever, { {'graph': 1, 'semantic': 2}.get(k, 0)} AS s FROM {'sparse' if k == 'semantic' else k} WHERE rank <= 50" for k in REASONS)}),
-fused AS (SELECT query_id, chunk_id, round(sum((CASE retriever WHEN 'semantic' THEN 2.0 ELSE 1.0 END) / (60 + rank)) * CASE WHEN bool_or(retriever = 'semantic') THEN 1.1 ELSE 1.0 END, 12) AS fused, min(rank)::INT AS best_rank, min(s) AS s, string_agg(retriever, ',' ORDER BY retriever) AS retrievers FROM cand GROUP BY 1, 2),
+_CANDS = f"""{_FOUND},
+fused AS (SELECT query_id, chunk_id, round(sum((CASE retriever WHEN 'semantic' THEN 2.0 ELSE 1.0 END) / (60 + rank)) * CASE WHEN bool_or(retriever = 'semantic') THEN 1.1 ELSE 1.0 END, 12) AS fused, min(rank)::INT AS best_rank, min(s) AS s, string_agg(retriever, ',' ORDER BY retriever) AS retrievers, bool_or(near) AS near FROM cand GROUP BY 1, 2),
 placed AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, s, best_rank, 'line:' || chunk_id))::INT AS position FROM fused)"""
 POLICY = FU.Policy(weights=dict.fromkeys(FU.RETRIEVERS, 1.0) | {"semantic": 2.0}, boosts={"semantic_sparse_vector_match": 1.1})
 
 
 @query(
-    with_sql(["chunks", "questions", "files"], _CANDS + " SELECT query_id, chunk_id, fused, least(1.0, round(fused / (8.0 / 61), 12)) AS normalised, best_rank, ['source_exact', 'static_resolved', 'heuristic'][s + 1] AS support, retrievers, position FROM placed WHERE position <= 20",
+    with_sql(_CAND_TABLES, _CANDS + " SELECT query_id, chunk_id, fused, least(1.0, round(fused / (8.0 / 61), 12)) AS normalised, best_rank, ['source_exact', 'static_resolved', 'heuristic'][s + 1] AS support, retrievers, near, position FROM placed WHERE position <= 20",
     )
 )
 def hybrid_search(spark, sf_dir):
-    """Candidates of all seven retrievers fused by weighted reciprocal ranks."""
+    """Candidates of all seven retrievers and of the graph around them, fused by weighted reciprocal ranks."""
     f = FU.fuse(_retrieved(spark, sf_dir), POLICY)
-    return f.select("query_id", F.substring("entity_key", 6, 100).alias("chunk_id"), "fused", "normalised", "best_rank", "support", F.array_join("retrievers", ",").alias("retrievers"), "position")
+    return f.select("query_id", F.substring("entity_key", 6, 100).alias("chunk_id"), "fused", "normalised", "best_rank", "support", F.array_join("retrievers", ",").alias("retrievers"), F.array_contains("reason_codes", CONTEXT).alias("near"), "position")
 
 
 @query(
-    with_sql(["chunks", "questions", "files"], _CANDS + """, half AS (SELECT *, position % 2 AS side FROM placed WHERE position <= 20), merged AS (SELECT query_id % 20 AS query_id, chunk_id, max(fused) AS fused, count(*) AS n FROM half GROUP BY 1, 2)
+    with_sql(_CAND_TABLES, _CANDS + """, half AS (SELECT *, position % 2 AS side FROM placed WHERE position <= 20), merged AS (SELECT query_id % 20 AS query_id, chunk_id, max(fused) AS fused, count(*) AS n FROM half GROUP BY 1, 2)
   SELECT query_id, chunk_id, fused, (row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, 'line:' || chunk_id))::INT AS position FROM merged""",
     )
 )
@@ -582,8 +647,8 @@ def weighted_rrf(spark, sf_dir):
     with_sql(
         ["chunks", "questions", "nodes", "edges"],
         """m AS (SELECT query_id, 'src/nation/' || (query_id % 25) || '.py' AS path, 'x' || query_id AS chunk_id FROM questions), c AS (SELECT id AS chunk_id, file_path AS path, type AS chunk_type FROM nodes WHERE type IN ('function', 'method', 'endpoint') AND file_path IS NOT NULL),
-  b AS (SELECT source, target FROM edges UNION ALL SELECT target, source FROM edges), st AS (SELECT DISTINCT x.file_path AS path, y.file_path AS nxt FROM b JOIN nodes x ON b.source = x.id JOIN nodes y ON b.target = y.id WHERE x.file_path <> y.file_path),
-  near AS (SELECT DISTINCT m.query_id, nxt AS path FROM m JOIN st USING (path)) SELECT query_id, count(*) AS n, min(chunk_id) AS first_chunk FROM near JOIN c USING (path) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.query_id = near.query_id AND m.path = near.path) GROUP BY 1""",
+  b AS (SELECT source, target FROM edges UNION ALL SELECT target, source FROM edges), st AS (SELECT DISTINCT x.file_path AS path, y.file_path AS nxt FROM b JOIN nodes x ON b.source = x.id JOIN nodes y ON b.target = y.id ),
+  near AS (SELECT DISTINCT m.query_id, nxt AS path FROM m JOIN st USING (path)) SELECT query_id, count(*) AS n, min(chunk_id) AS first_chunk FROM near JOIN c USING (path) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.query_id = near.query_id AND m.chunk_id = c.chunk_id) GROUP BY 1""",
     )
 )
 def graph_context(spark, sf_dir):
@@ -618,7 +683,7 @@ scores AS (SELECT case_id, 'hybrid' AS method, 5 AS k, CASE WHEN nr > 0 THEN rou
   CASE WHEN nr = 0 THEN (coalesce(n, 0) = 0)::INT::DOUBLE END AS insufficient FROM cases LEFT JOIN hits USING (case_id) LEFT JOIN tops USING (case_id))"""
 
 
-@query(with_sql(["chunks", "questions", "files", "relevance"], _JUDGED + " SELECT * FROM scores"))
+@query(with_sql([*_CAND_TABLES, "relevance"], _JUDGED + " SELECT * FROM scores"))
 def retrieval_metrics(spark, sf_dir):
     return EV.score(*_judged(spark, sf_dir), 5)
 
@@ -626,7 +691,7 @@ def retrieval_metrics(spark, sf_dir):
 _AGG = "agg AS (SELECT method, k, " + ", ".join(f'round(avg("{m}"), 12) AS "{m}"' for m in EV.METRICS) + ", count(*) AS cases FROM scores GROUP BY 1, 2)"
 
 
-@query(with_sql(["chunks", "questions", "files", "relevance"], _JUDGED + ", " + _AGG + " SELECT * FROM agg"))
+@query(with_sql([*_CAND_TABLES, "relevance"], _JUDGED + ", " + _AGG + " SELECT * FROM agg"))
 def metric_means(spark, sf_dir):
     return EV.aggregate(EV.score(*_judged(spark, sf_dir), 5))
 
@@ -635,7 +700,7 @@ RULES = [("r1", "hybrid", 5, "recall", "gte", 0.1), ("r2", "hybrid", 5, "ndcg",
 
 
 @query(
-    with_sql(["chunks", "questions", "files", "relevance"],
+    with_sql([*_CAND_TABLES, "relevance"],
         _JUDGED + ", " + _AGG + ", longed AS (" + " UNION ALL ".join(f"SELECT method, k, '{m}' AS metric, \"{m}\" AS value FROM agg" for m in EV.METRICS) + "), rules(rule_id, method, k, metric, comparison, bound) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c}, '{d}', '{e}', {f}::DOUBLE)" for a, b, c, d, e, f in RULES)
         + "), told AS (SELECT r.*, value, CASE WHEN value IS NULL THEN 'missing' WHEN (comparison = 'gte' AND value >= bound) OR (comparison = 'lte' AND value <= bound) OR (comparison = 'eq' AND value = bound) THEN 'ok' ELSE 'violated' END AS outcome FROM rules r LEFT JOIN longed USING (method, k, metric)) SELECT *, (SELECT bool_and(outcome = 'ok') FROM told) AS passed FROM told",
     )
@@ -1090,7 +1155,7 @@ def _pack_sql(budget: int, most: int) -> str:
     )
 
 
-_EVIDENCE = with_sql(["chunks", "questions", "files"], _EV + _pack_sql(250, 6)).replace("WITH chunks", "WITH RECURSIVE chunks", 1)
+_EVIDENCE = with_sql(_CAND_TABLES, _EV + _pack_sql(250, 6))
 
 
 @query(_EVIDENCE + " SELECT query_id, cid AS candidate_id, outcome FROM steps WHERE cid IS NOT NULL UNION ALL SELECT query_id, chunk_id, reason FROM checked WHERE reason IS NOT NULL")
