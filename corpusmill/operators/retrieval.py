@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from corpusmill.functions import text as X
 from corpusmill.functions.tables import cut
@@ -75,28 +75,66 @@ def similarity_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity_ratio(x, y) for x, y in zip(a, b, strict=True)])
+#: Terms that a pass over the tokens is made for, and tokens and terms compared at a time.
+TERMS, STRIP = 1 << 13, 64
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """How many characters of each word fall into each of 64 classes."""
+    size = np.array([len(w) for w in words], np.int64)
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 63
+    counts = np.bincount(np.repeat(np.arange(len(words)), size) * 64 + code, minlength=64 * len(words))
+    return np.minimum(counts, 255).reshape(len(words), 64).astype(np.uint8)
+
+
+def _alike(terms: list[str]):
+    """Tokens to (term, token, ratio) of 0.76 or more. Letters in common, whatever their order, bound the ratio."""
+    letters, sizes = _letters(terms), np.array([len(t) for t in terms])
+
+    def run(frames):
+        match = SequenceMatcher()
+        for frame in frames:
+            for at in range(0, len(frame), 1024):
+                tokens = frame["token"].iloc[at : at + 1024].tolist()
+                have, long = _letters(tokens), np.array([len(t) for t in tokens])
+                out = []
+                for k in range(0, len(terms), STRIP):
+                    both = long[:, None] + sizes[None, k : k + STRIP]
+                    fits = 2 * np.minimum(long[:, None], sizes[None, k : k + STRIP]) >= 0.76 * both - 1e-9
+                    row = np.flatnonzero(fits.any(1))
+                    common = np.minimum(have[row, None, :], letters[None, k : k + STRIP, :]).sum(2, dtype=np.int64)
+                    r, c = np.nonzero(fits[row] & (2 * common >= 0.76 * both[row] - 1e-9))
+                    last = -1
+                    for i, j in zip(row[r].tolist(), (c + k).tolist(), strict=True):
+                        if i != last:
+                            match.set_seq2(tokens[i])
+                            last = i
+                        match.set_seq1(terms[j])
+                        ratio = match.ratio()
+                        if ratio >= 0.76:
+                            out.append((terms[j], tokens[i], ratio))
+                if out:
+                    yield pd.DataFrame(out, columns=["term", "token", "ratio"])
+
+    return run
 
 
 def fuzzy_pairs(words: DataFrame, asked: DataFrame) -> DataFrame:
     """(term, token, ratio): distinct terms and tokens whose ratio is 0.76 or more.
 
-    The ratio is a Python function, so it runs once for each distinct pair that can reach 0.76
-    by its lengths. With that ratio the characters in common are more than the runs that they come
-    in, so some run has two: the words share a pair of neighbours. Two and three characters are the
-    exception, where the pair may have one between.
+    The terms of the questions, a stated set, go over all distinct tokens in blocks of ``TERMS``;
+    the ratio is a Python function and runs where lengths and letters in common let it reach 0.76.
     """
-    low, high = F.least(F.length("term"), F.length("token")), F.length("term") + F.length("token")
-
-    def grams(df: DataFrame, c: str) -> DataFrame:
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2)))
-        skip = F.when(F.length(c) == 3, F.array(F.concat(F.substring(c, 1, 1), F.substring(c, 3, 1)))).otherwise(F.array().cast("array<string>"))
-        return df.select(c).distinct().select(c, F.explode(F.array_distinct(F.concat(pairs, skip))).alias("_g"))
-
-    alike = grams(words, "token").join(grams(asked, "term"), "_g").filter(2 * low >= 0.76 * high - 1e-9).select("term", "token").distinct()
-    return alike.withColumn("ratio", _ratio("term", "token")).filter("ratio >= 0.76")
+    spark = words.sparkSession
+    terms = asked.select("term").filter("term is not null").distinct()
+    blocks = max(1, -(-terms.count() // TERMS))
+    tokens = words.select("token").filter("token is not null").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
+    found = None
+    for block in range(blocks):
+        some = sorted(r.term for r in (terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block)).collect())
+        rows = tokens.mapInPandas(_alike(some), "term string, token string, ratio double")
+        found = rows if found is None else found.union(rows)
+    return found
 
 
 def fuzzy_worth(ratio: Column) -> Column:
@@ -278,29 +316,37 @@ def exact(seeds: DataFrame, queries: DataFrame) -> DataFrame:
 
 def sparse_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): each token counts 1, and adds 0.35 for each of its four-grams."""
-    tok = X.sparse_tokens(F.col(text))
-    parts = F.concat(
+    return rows.select(key, F.explode(_sparse_parts(F.col(text))).alias("p")).groupBy(key, "p.term").agg(F.sum("p.weight").alias("weight"))
+
+
+def _sparse_parts(text: Column) -> Column:
+    """Tokens of weight 1 and their four-grams of weight 0.35; one term may come several times."""
+    tok = X.sparse_tokens(text)
+    return F.concat(
         F.transform(tok, lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("weight"))),
         F.flatten(F.transform(tok, lambda t: F.transform(X.four_grams(t), lambda g: F.struct(g.alias("term"), F.lit(0.35).alias("weight"))))),
     )
-    return rows.select(key, F.explode(parts).alias("p")).groupBy(key, "p.term").agg(F.sum("p.weight").alias("weight"))
+
+
+def _norm(parts: Column) -> Column:
+    """The norm of the sums by term, folded over the sorted parts of one row."""
+    state = lambda term, weight, squares: F.named_struct(F.lit("term"), term, F.lit("weight"), weight, F.lit("squares"), squares)
+    ended = lambda s: s["squares"] + s["weight"] * s["weight"]
+    add = lambda s, x: F.when(s["term"] == x["term"], state(s["term"], s["weight"] + x["weight"], s["squares"])).otherwise(state(x["term"], x["weight"], ended(s)))
+    return F.aggregate(F.sort_array(parts), state(F.lit(""), F.lit(0.0), F.lit(0.0)), add, lambda s: F.sqrt(ended(s)))
 
 
 def sparse(chunks: DataFrame, queries: DataFrame, k: int = 10, digits: int = 9) -> DataFrame:
     """(query_id, chunk_id, score, rank): the ``k`` chunks of largest cosine of sparse vectors over 0; ties keep chunk order (``seq``).
 
-    A chunk's norm and its weights of terms that some query has come from one aggregation;
-    only these weights meet the queries.
+    A chunk's norm is folded inside its row; only its parts that some query has as a term are shuffled.
     """
     asked = cut(sparse_vectors(queries, "query_id", "query"))
     qnorm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("qnorm"))
-    wanted = asked.select("term").distinct().withColumn("_w", F.lit(True))
-    have = sparse_vectors(chunks, "chunk_id", "body").join(wanted, "term", "left")
-    squares = F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")
-    rows = have.groupBy("chunk_id").agg(squares, F.collect_list(F.when(F.col("_w"), F.struct("term", "weight"))).alias("_t")).filter(F.size("_t") > 0)
-    met = rows.select("chunk_id", "norm", F.explode("_t").alias("t")).select("chunk_id", "norm", "t.term", "t.weight").join(asked.withColumnRenamed("weight", "q"), "term")
-    dots = met.groupBy("query_id", "chunk_id", "norm").agg(F.sum(F.col("weight") * F.col("q")).alias("dot")).join(qnorm, "query_id")
-    scored = dots.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), digits)).join(chunks.select("chunk_id", "seq"), "chunk_id")
+    rows = chunks.select("chunk_id", "seq", _sparse_parts(F.col("body")).alias("_p")).withColumn("norm", _norm(F.col("_p")))
+    met = rows.select("chunk_id", "seq", "norm", F.explode("_p").alias("p")).select("chunk_id", "seq", "norm", "p.term", "p.weight").join(asked.withColumnRenamed("weight", "q"), "term")
+    dots = met.groupBy("query_id", "chunk_id", "seq", "norm").agg(F.sum(F.col("weight") * F.col("q")).alias("dot")).join(qnorm, "query_id")
+    scored = dots.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), digits))
     return rank(scored.filter("score > 0").select("query_id", "chunk_id", "seq", "score"), ["query_id"], tie=["seq", "chunk_id"]).filter(F.col("rank") <= k).drop("seq")
 
 
