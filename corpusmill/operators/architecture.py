@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import paths as P
 from corpusmill.functions.text import any_of, cases
+from corpusmill.operators.flow import walks
 
 # Fixed values from here on.
 LAYERS = "entrypoint presentation api application domain data_access messaging integration".split()
@@ -138,23 +139,10 @@ def convention_relations(parts: DataFrame) -> DataFrame:
     return out
 
 
-def flow(start: str, links: DataFrame, most: int = 6) -> list[str]:
-    """A walk from a component: always the best relation (confirmed first, by layer, by name) to one not seen yet.
-
-    Relations between components are a small, capped table, so the walk runs on the driver.
-    """
-    order = {k: n for n, k in enumerate(LAYERS)}
-    out: dict[str, list] = {}
-    for r in links.orderBy("source", "target", "label").limit(MOST["relations"]).collect():
-        out.setdefault(r.source, []).append((r.support != "confirmed", order.get(r.target.split(":")[0], 9), r.target))
-    walk, at = [start], start
-    while len(walk) < most:
-        step = next((t for *_, t in sorted(out.get(at, [])) if t not in walk), None)
-        if step is None:
-            break
-        walk.append(step)
-        at = step
-    return walk
+def flows(starts: DataFrame, links: DataFrame, most: int = 6) -> DataFrame:
+    """(start, step, node, support): the walk from each component along its best relations: confirmed first, by layer, by name."""
+    sure, layer = F.col("support") != "confirmed", layer_order(F.substring_index("target", ":", 1))
+    return walks(starts, links, [sure, layer], most, ("presentation:web", "container:backend"))
 
 
 def style(parts: DataFrame, files: DataFrame, tech: DataFrame) -> DataFrame:

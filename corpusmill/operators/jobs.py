@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.tables import cut
+from corpusmill.operators import flow
+
 LEASE_SECONDS, MAX_ATTEMPTS = 60, 3
 TERMINAL = ("completed", "failed", "cancelled")
 #: Allowed changes of a job's state.
@@ -124,26 +127,15 @@ def repaired_status(job_state: Column, repository_state: Column) -> Column:
 
 
 def readiness(specs: DataFrame, states: DataFrame) -> DataFrame:
-    """(capability, state): the worst of each capability's own state and those it depends on, through any number of steps.
+    """(capability, state): each capability's state after those that it depends on, see ``flow.dependency_states``.
 
-    specs: capability, depends_on (array). A cycle or an unknown dependency is an error. The
-    specification is a small vocabulary, so levels are worked out on the driver.
+    specs: capability, depends_on (array). A cycle, an unknown dependency, or capabilities with only a state or only a specification are an error.
     """
-    order = ("stale", "failed", "unavailable", "limited", "ready")
-    base = {r.capability: r.state for r in states.collect()}
-    deps = {r.capability: sorted(r.depends_on or []) for r in specs.collect()}
-    if set(base) != set(deps):
+    found = cut(flow.dependency_states(specs, states))
+    if not states.select("capability").exceptAll(specs.select("capability")).isEmpty() or not specs.select("capability").exceptAll(states.select("capability")).isEmpty():
         raise ValueError("states and specifications name different capabilities")
-    done: dict[str, str] = {}
-
-    def visit(name: str, path: tuple) -> str:
-        if name in path:
-            raise ValueError("capabilities depend on each other in a cycle")
-        if name not in deps:
-            raise ValueError(f"unknown capability {name}")
-        if name not in done:
-            done[name] = min([base[name], *(visit(d, (*path, name)) for d in deps[name])], key=order.index)
-        return done[name]
-
-    rows = [(name, visit(name, ())) for name in sorted(deps)]
-    return specs.sparkSession.createDataFrame(rows, "capability string, state string")
+    if not found.filter("state = 'cycle'").isEmpty():
+        raise ValueError("capabilities depend on each other in a cycle")
+    if not found.filter(F.array_contains("reasons", "UNKNOWN_DEPENDENCY")).isEmpty():
+        raise ValueError("unknown capability")
+    return found.select("capability", "state")

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS = "path string, kind string, name string, owner string, start_line int, end_line int, detail string, ordinal int"
+FRAMEWORKS = ("fastapi", "flask", "django", "sqlalchemy", "pydantic", "requests", "pytest", "numpy", "pandas")
+STANDARD = tuple(sorted(n for n in sys.stdlib_module_names if not n.startswith("_")))
+BUILTIN = tuple(sorted(n for n in dir(builtins) if not n.startswith("_")))
 HTTP = ("get", "post", "put", "delete", "patch", "options", "head")
 
 
@@ -187,15 +190,15 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Each import (path, name) with outcome resolved, unresolved or ambiguous, and its target.
+    """Each import (path, name) with outcome resolved, unresolved or ambiguous, its targets, and why it has none.
 
-    A module may be ``m.py`` or ``m/__init__.py``; leading dots climb from the file's folder. A
-    target is a path that equals a candidate or ends with it after a slash: candidates are
-    joined with all endings of the paths, so the join is one of equal keys.
+    A module may be ``m.py`` or ``m/__init__.py``; leading dots climb from the file's folder (a file without a
+    folder counts as its own). A target is a path that equals a candidate or ends with it after a slash: candidates are
+    joined with all endings of the paths, so the join is one of equal keys. Reasons are framework_module, stdlib_module and module_not_found.
     """
     dots = F.length(F.regexp_extract("name", r"^(\.*)", 1))
     parts = F.split("path", "/")
-    base = F.slice(parts, 1, F.greatest(F.size(parts) - F.greatest(dots, F.lit(1)), F.lit(0)))
+    base = F.slice(parts, 1, F.greatest(F.greatest(F.size(parts), F.lit(2)) - F.greatest(dots, F.lit(1)), F.lit(0)))
     module = F.replace(F.regexp_replace("name", r"^\.+", ""), F.lit("."), F.lit("/"))
     full = F.when(dots > 0, F.array_join(F.concat(base, F.filter(F.array(module), lambda m: m != "")), "/")).otherwise(module)
     asked = imports.select("path", "name").distinct().withColumn("_c", F.explode(F.array(F.concat(full, F.lit(".py")), F.concat(full, F.lit("/__init__.py")))))
@@ -203,38 +206,37 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     ends = files.select(F.col("path").alias("target"), F.explode(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, 1000), "/"))).alias("_c"))
     found = asked.join(ends, "_c", "left").groupBy("path", "name").agg(F.array_sort(F.collect_set("target")).alias("targets"))
     n = F.size("targets")
-    return found.select("path", "name", F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("outcome"), F.array_join("targets", ",").alias("targets"))
-
-
-FRAMEWORKS = ("fastapi", "flask", "django", "sqlalchemy", "pydantic", "requests", "pytest", "numpy", "pandas")
+    root = F.regexp_extract("name", r"^\.*([^.]*)", 1)
+    why = F.when(n > 0, None).when(root.isin(*FRAMEWORKS), "framework_module").when(root.isin(*STANDARD), "stdlib_module").otherwise("module_not_found")
+    return found.select("path", "name", F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("outcome"), F.array_join("targets", ",").alias("targets"), why.alias("reason"))
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """Each call (path, name, owner, start_line) with an outcome: resolved, builtin, stdlib, framework, external, dynamic_attribute or target_not_found.
 
-    Names are looked up in the same file by name or qualified name; ``self.x`` in the class
-    that owns the caller. Standard and framework modules go by the first part of the name's import.
+    Scopes in order, the first that has the name decides: functions and methods of the same file, by name or
+    qualified name, and for ``self.x`` the class that owns the caller; builtins and imports by the
+    name's first part, of several imports the last one. Standard and framework modules go by the first part of the import.
     """
     qualified = F.when(F.col("owner") == "", F.col("name")).otherwise(F.concat("owner", F.lit("."), "name"))
-    known = symbols.filter(F.col("kind").isin("function", "method", "class")).select("path", F.explode(F.array_distinct(F.array("name", qualified))).alias("_n"), F.concat("path", F.lit(":"), qualified, F.lit(":"), F.col("start_line").cast("string")).alias("target"))
+    known = symbols.filter(F.col("kind").isin("function", "method")).select("path", F.explode(F.array_distinct(F.array("name", qualified))).alias("_n"), F.concat("path", F.lit(":"), qualified, F.lit(":"), F.col("start_line").cast("string")).alias("target"))
     hits = known.groupBy("path", "_n").agg(F.array_sort(F.collect_set("target")).alias("t"))
     owner = F.regexp_replace("owner", r"\.?[^.]*$", "")
     look = F.when(F.col("name").startswith("self."), F.concat_ws(".", F.nullif(owner, F.lit("")), F.substr("name", F.lit(6)))).otherwise(F.col("name"))
     alias = F.coalesce(F.nullif(F.regexp_extract("detail", r"(?:^| as )(\w+)$", 1), F.lit("")), F.regexp_extract("name", r"^\.*(\w+)", 1))
-    brought = imports.select("path", alias.alias("_a"), F.regexp_extract("name", r"^\.*(\w+)", 1).alias("_m")).groupBy("path", "_a").agg(F.min("_m").alias("_m"))
+    brought = imports.select("path", alias.alias("_a"), F.regexp_extract("name", r"^\.*(\w+)", 1).alias("_m"), "start_line").groupBy("path", "_a").agg(F.max_by("_m", F.struct("start_line", "_m")).alias("_m"))
     first = F.regexp_extract("name", r"^(\w+)", 1)
     rows = calls.withColumn("_n", look).join(hits, ["path", "_n"], "left").withColumn("_a", first).join(brought, ["path", "_a"], "left")
-    std, own = sorted(n for n in sys.stdlib_module_names if not n.startswith("_")), sorted(n for n in dir(builtins) if not n.startswith("_"))
     outcome = (
-        F.when(F.size("t") == 1, "resolved").when(F.size("t") > 1, "ambiguous").when(F.col("name").isin(*own), "builtin").when(F.col("_m").isin(*std), "stdlib").when(F.col("_m").isin(*FRAMEWORKS), "framework")
+        F.when(F.size("t") == 1, "resolved").when(F.size("t") > 1, "ambiguous").when(F.col("_a").isin(*BUILTIN), "builtin").when(F.col("_m").isin(*FRAMEWORKS), "framework").when(F.col("_m").isin(*STANDARD), "stdlib")
         .when(F.col("_m").isNotNull(), "external").when(F.col("name").contains("."), "dynamic_attribute").otherwise("target_not_found")
     )
     return rows.select("path", "name", "owner", "start_line", outcome.alias("outcome"), F.array_join("t", ",").alias("targets"))
 
 
 def references(resolved: DataFrame, kind: str) -> DataFrame:
-    """References with their occurrence number among equal (path, name) in line order, from 0."""
-    n = F.row_number().over(Window.partitionBy("path", "name").orderBy("start_line", "owner")) - 1
+    """References with their occurrence number among those of one caller (path, owner) and name in line order, from 0."""
+    n = F.row_number().over(Window.partitionBy("path", "owner", "name").orderBy("start_line")) - 1
     return resolved.withColumns({"kind": F.lit(kind), "occurrence": n})
 
 
