@@ -3,8 +3,9 @@
 A text is cut greedily into phrases, each the longest string that occurs in a language's
 training text (Ziv-Merhav cross-parsing). Phrases are normalised by the rate at which the
 language's own text, held back from a first automaton, falls into phrases, so that a
-language with little training text is not at a disadvantage; the language that needs the
-fewest normalised phrases wins. Texts are lower-cased and taken as UTF-8 bytes of letters,
+language with little training text is not at a disadvantage. What is held back of a few words says next to nothing, so a
+rate counts as if ``PRIOR`` more bytes had fallen into phrases at the rate of all languages together: a label with a line of text
+wins just texts that repeat it. The language that needs the fewest normalised phrases wins. Texts are lower-cased and taken as UTF-8 bytes of letters,
 with one gap for what stands between words, so every script has a small alphabet.
 
 The suffix automaton of a training text accepts exactly its substrings. It is completed to
@@ -27,6 +28,8 @@ from corpusmill.llm.words import pieces, tidy
 
 #: Bytes of training text for each language at most, documents they are taken from, and bytes of all tables together.
 TRAIN, TRAIN_DOCS, MODEL = 24_000, 64, 128 << 20
+#: Bytes at the pooled rate that count beside those held back of each language.
+PRIOR = 64
 #: Bytes of a stretch, and of its beginning after which parses from different states mostly agree.
 STRETCH, BEGIN = 256, 64
 #: Classes that every alphabet has: past the end, between words, a byte not seen in training.
@@ -152,14 +155,16 @@ class Model:
 
     def __init__(self, texts: dict[str, bytes]):
         self.langs = sorted(texts)
-        self.parts = []
+        told = []
         for lang in self.langs:
             text = texts[lang]
-            whole = self._part(text)
             part = len(text) * 3 // 4
             held, known = text[part:], self._part(text[:part])
-            rate = self._count(known, np.frombuffer(held, np.uint8), np.array([0, len(held)]))[0] / len(held) if held else 1.0
-            self.parts.append((*whole, max(float(rate), 1e-6)))
+            told.append((self._count(known, np.frombuffer(held, np.uint8), np.array([0, len(held)]))[0] if held else 0, len(held)))
+        counts, sizes = np.array(told, float).reshape(-1, 2).T
+        pooled = counts.sum() / sizes.sum() if sizes.sum() else 1.0
+        rates = np.maximum((counts + PRIOR * pooled) / (sizes + PRIOR), 1e-6)
+        self.parts = [(*self._part(texts[lang]), float(rate)) for lang, rate in zip(self.langs, rates, strict=True)]
 
     @staticmethod
     def _part(text: bytes):

@@ -44,7 +44,7 @@ NOT_MODIFIED_URIS = (NOT_MODIFIED, "http://netpreserve.org/warc/1.0/revisit/serv
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no user, default port, fragment or ``www.``; query parameters sorted; path ``/`` at least.
+    """Lower-case scheme (http for https) and host, no user, default port, fragment or ``www.``; query parameters sorted; path ``/`` at least.
 
     Percent escapes are upper-cased. Null stays null; what is no URL is trimmed and lower-cased.
     """
@@ -54,7 +54,7 @@ def canonical_url(url: Column) -> Column:
     port = F.when((part(3) == "") | ((scheme == "http") & (part(3) == "80")) | ((scheme == "https") & (part(3) == "443")), "").otherwise(F.concat(F.lit(":"), part(3)))
     query = F.array_join(F.array_sort(F.filter(F.split(part(5), "&"), lambda p: p != "")), "&")
     path = F.when(part(4) == "", "/").otherwise(part(4))
-    fixed = F.concat(F.lit("http://"), host, port, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    fixed = F.concat(F.when(scheme == "https", "http").otherwise(scheme), F.lit("://"), host, port, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     # escapes by pieces: each piece after a % begins with two hex digits
     escaped = F.array_join(F.transform(F.split(fixed, "%"), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.upper(F.substring(p, 1, 2)), F.substring(p, 3, 1 << 30)))), "%")
     return F.when(part(1) == "", F.lower(u)).otherwise(escaped)
@@ -65,7 +65,7 @@ def lower_keys(headers: Column) -> Column:
 
     A name without a value is left out; a null map is empty.
     """
-    entries = F.array_sort(F.transform(F.filter(F.map_entries(headers), lambda e: e["value"].isNotNull()), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    entries = F.array_distinct(F.transform(F.filter(F.map_entries(headers), lambda e: e["value"].isNotNull()), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
     return F.coalesce(F.map_from_entries(F.filter(entries, lambda e: ~F.exists(entries, lambda o: (o["key"] == e["key"]) & (o["value"] > e["value"])))), F.create_map().cast("map<string,string>"))
 
 
@@ -212,6 +212,15 @@ def _date(text: str | None) -> datetime.datetime | None:
     return when if when.tzinfo else when.replace(tzinfo=datetime.UTC)
 
 
+def _body(stream, size: str) -> bytes | None:
+    """So many bytes, read piece by piece, as a length that is told may be any; null where the stream ends before."""
+    left, parts = int(size) if len(size) < 19 else 1 << 62, []
+    while left and (part := stream.read(min(left, 1 << 20))):
+        parts.append(part)
+        left -= len(part)
+    return None if left else b"".join(parts)
+
+
 def read_records(source: bytes | BinaryIO) -> Iterator[dict]:
     """Rows of ``COLUMNS`` of a WARC file, plain or gzipped, read record by record.
 
@@ -236,8 +245,8 @@ def read_records(source: bytes | BinaryIO) -> Iterator[dict]:
         size = head.get("content-length", "0").strip()
         if not (size.isascii() and size.isdigit()):
             continue
-        body = stream.read(int(size))
-        if len(body) < int(size):
+        body = _body(stream, size)
+        if body is None:
             return
         number += 1
         kind, status, headers, payload = head.get("warc-type"), None, None, body or None

@@ -109,3 +109,15 @@ def test_empty(spark):
     model = L.train(df, F.lit(True))
     assert L.predict(df, model).count() == 0
     assert L.predict(spark.createDataFrame([(1, "abc", "x")], df.schema), model).first().lang_pred == "und"
+
+
+def test_a_label_with_next_to_no_text_wins_nothing_from_others():
+    rnd = random.Random(7)
+    trains = {k: text(rnd, k, 3000).encode()[:20_000] for k in SYLLABLES}
+    docs = [(k, text(rnd, k, n)) for k in SYLLABLES for n in (3, 10, 60) for _ in range(40)]
+    raw, off, _ = L.letters([t for _, t in docs])
+    line = "zwölf boxkämpfer jagen viktor quer über den großen sylter deich und noch mehr ".encode()
+    for rival in (b"", b"abc", line[:20], line[:38], line[:60], text(rnd, "aa", 9).encode()):
+        model = L.Model(trains | {"zz": rival})
+        told = [model.langs[b] for b in model.costs(raw, off).argmin(1)]
+        assert sum(a == b for (a, _), b in zip(docs, told, strict=True)) > 0.99 * len(docs) - 1, rival

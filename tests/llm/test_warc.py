@@ -1,6 +1,7 @@
 import datetime
 import random
 import re
+from pyspark.sql import functions as F
 
 from corpusmill.llm import warc
 
@@ -17,7 +18,7 @@ def canonical(u):
     scheme, host, port, path, query = m[1].lower(), re.sub(r"^www\d*\.|\.$", "", m[2].lower()), m[3] or "", m[4] or "/", m[5] or ""
     port = "" if port == "" or (scheme, port) in (("http", "80"), ("https", "443")) else ":" + port
     query = "&".join(sorted(p for p in query.split("&") if p))
-    fixed = f"http://{host}{port}{path}" + (f"?{query}" if query else "")
+    fixed = f"{'http' if scheme == 'https' else scheme}://{host}{port}{path}" + (f"?{query}" if query else "")
     first, *rest = fixed.split("%")
     return "%".join([first, *(p[:2].upper() + p[2:] for p in rest)])
 
@@ -52,7 +53,7 @@ def brute(rows):
 
 def make():
     rnd = random.Random(8)
-    urls = ["http://A.example.com/x?b=2&a=1#f", "https://www.a.example.com:443/x?a=1&b=2", "HTTP://u@b.example.org:8080", "http://b.example.org:8080/", "http://c.example.net/%c3%a9", "http://c.example.net/%C3%A9", None, "", "no url"]
+    urls = ["http://A.example.com/x?b=2&a=1#f", "https://www.a.example.com:443/x?a=1&b=2", "HTTP://u@b.example.org:8080", "http://b.example.org:8080/", "http://c.example.net/%c3%a9", "http://c.example.net/%C3%A9", "ftp://b.example.org:8080/", "FTP://c.example.net/%c3%a9", None, "", "no url"]
     rows = []
     for i in range(400):
         kind = rnd.choice(["response", "revisit", "revisit", "request"])
@@ -131,3 +132,15 @@ def test_malformed_records_are_left_out():
     zipped = __import__("gzip").compress(good)
     assert [r["record_id"] for r in warc.read_records(zipped + b"\x1f\x8bbroken")] == ["urn:a"]
     assert list(warc.read_records(b"")) == []
+
+
+def test_names_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([({"ETag": "q", "etag": "q", "ETAG": "p", "B": None},), (None,)], "h map<string,string>")
+    assert [r.h for r in df.select(warc.lower_keys(F.col("h")).alias("h")).collect()] == [{"etag": "q"}, {}]
+
+
+def test_lengths_past_any_file_end_reading():
+    good = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    for size in (b"9" * 23, b"1" * 5000, b"4000000000000"):
+        bad = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: " + size + b"\r\n\r\nxx"
+        assert [r["payload"] for r in warc.read_records(good + bad)] == [b"ok"]
