@@ -1490,4 +1490,4 @@ def coverage_shares(spark, sf_dir):
     return c.select("nation", CO.coverage(col("s"), col("t")).alias("coverage"))
 
 
-from corpusmill.plans import building, flow, lifecycle  # noqa: E402, F401  (they register their queries)
+from corpusmill.plans import building, checks, flow, lifecycle  # noqa: E402, F401  (they register their queries)
