@@ -208,12 +208,20 @@ def client_route(raw: Column, base: Column) -> Column:
 # --- messages ----------------------------------------------------------------------------------------
 
 
+#: Shapes of credentials, and what stands for each (fixed values).
+CREDENTIALS = (
+    (r"(?i)\b(bearer\s+)[a-z0-9._~+/=-]{8,}", "$1[REDACTED]"),
+    (r"\b(?:sk[-_]|ghp_|github_pat_)[A-Za-z0-9_-]{8,}\b", "[REDACTED]"),
+    (r"(?i)\b(password|passwd|api[_-]?key|access[_-]?token|secret)\b(\s*[:=]\s*)([^\s,;]+)", "$1$2[REDACTED]"),
+)
+
+
 def redact(message: Column, most: int = 16_000) -> Column:
     """The first ``most`` characters with credentials of three shapes made ``[REDACTED]``."""
     out = F.substring(message, 1, most)
-    out = F.regexp_replace(out, r"(?i)\b(bearer\s+)[a-z0-9._~+/=-]{8,}", "$1[REDACTED]")
-    out = F.regexp_replace(out, r"\b(?:sk[-_]|ghp_|github_pat_)[A-Za-z0-9_-]{8,}\b", "[REDACTED]")
-    return F.regexp_replace(out, r"(?i)\b(password|passwd|api[_-]?key|access[_-]?token|secret)\b(\s*[:=]\s*)([^\s,;]+)", "$1$2[REDACTED]")
+    for shape, instead in CREDENTIALS:
+        out = F.regexp_replace(out, shape, instead)
+    return out
 
 
 def memory_tokens(text: Column) -> Column:

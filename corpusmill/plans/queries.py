@@ -1305,8 +1305,15 @@ def technology_owners(spark, sf_dir):
     return A.technology_owner(rows, A.role_scores(_sources(spark, sf_dir)))
 
 
-@query()
+_STYLE = f"""spiced AS (SELECT path, content FROM src), {_TECH}, k AS (SELECT {', '.join(f"coalesce(bool_or(kind = '{x}'), false) AS {x}" for x in ('messaging', 'presentation', 'api', 'application'))}, count(DISTINCT domain) FILTER (kind = 'api' AND domain <> 'operational') AS domains FROM scores),
+f AS (SELECT {', '.join(f"coalesce(bool_or(contains('/' || lower(path), '/{x}/')), false) AS {x}" for x in ('views', 'controllers', 'models'))}, coalesce(bool_or({_any_sql('lower(content)', ['argparse', 'click.command', 'commander', 'cobra.command', 'system.commandline'])}), false) AS cli,
+  coalesce(bool_or(lower({_NAME}) IN ('lib.rs', 'setup.py', 'pyproject.toml', 'package.json', 'go.mod', 'pom.xml')), false) AS package FROM spiced), b AS (SELECT coalesce(bool_or(category = 'message_broker'), false) AS broker FROM tech)
+SELECT CASE WHEN messaging AND broker THEN 'event_driven' WHEN presentation AND api THEN 'layered_web' WHEN views AND controllers AND models THEN 'mvc' WHEN api AND domains >= 3 AND application THEN 'modular' WHEN api THEN 'backend_api' WHEN cli THEN 'cli' WHEN package THEN 'library' ELSE 'package_map' END AS style FROM k, f, b"""
+
+
+@query(with_sql(["catalogue"], _roles_sql().replace("min(content) AS content", "min(content) || [' import redis', ' psycopg', '', ' kafka client', ''][length(path) % 5 + 1] AS content") + ", " + _STYLE))
 def architecture_style(spark, sf_dir):
+    """How a corpus is built, by the kinds of its components, its folders and its technologies."""
     s = _spiced(spark, sf_dir)
     return A.style(A.role_scores(s), s, A.technologies(s))
 

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import corpusmill.plans.building as building
 import corpusmill.plans.queries as plans
 
 DIR = "/root/testdata/sf0.001"
@@ -21,6 +22,21 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def candidates_once():
+    """The queries over fused candidates share them, in these tests only."""
+    made, retrieve = {}, plans._retrieved
+
+    def once(spark, sf_dir):
+        if sf_dir not in made:
+            made[sf_dir] = retrieve(spark, sf_dir)
+        return made[sf_dir]
+
+    plans._retrieved = building._retrieved = once
+    yield
+    plans._retrieved = building._retrieved = retrieve
+
+
 def norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else f"{v:.9g}"
