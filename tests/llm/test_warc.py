@@ -1,6 +1,7 @@
 import datetime
 import random
 import re
+
 from pyspark.sql import functions as F
 
 from corpusmill.llm import warc
