@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MULTI_STEP = ("flow_tracing", "impact_analysis", "architecture_overview")
+#: Kinds of questions that take the hybrid tool only (fixed values).
+MULTI_STEP = ("architecture_overview", "flow_tracing", "impact_analysis", "api_question", "onboarding")
 ANSWER = "answer string, cited array<string>"
 
 

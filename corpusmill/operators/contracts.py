@@ -54,3 +54,14 @@ def jobs() -> dict[str, Column]:
 def coverage(success: Column, total: Column) -> Column:
     """Share of units that succeeded, to six digits; 1 where there is none."""
     return F.when(total > 0, F.round(success / total, 6)).otherwise(1.0)
+
+
+def manifests() -> dict[str, Column]:
+    """Index manifests (repository_id, index_version_id, base_index_version_id, sequence, artifacts: type and uri, status, validation, critical_issues)."""
+    ready, warned = c("status") == "ready", c("status") == "ready_with_warnings"
+    fits = F.when(ready, c("validation") == "passed").when(warned, c("validation") == "passed_with_warnings").otherwise(True)
+    return {
+        "repository_prefix": c("repository_id").startswith("repo_"), "index_prefix": c("index_version_id").startswith("idx_"), "base_differs": c("base_index_version_id").isNull() | (c("base_index_version_id") != c("index_version_id")),
+        "sequence_positive": c("sequence") > 0, "artifacts_once": F.size(F.array_distinct("artifacts")) == F.size("artifacts"),
+        "status_known": c("status").isin("building", "validating", "ready", "ready_with_warnings", "failed", "cancelled"), "status_fits_validation": fits, "ready_without_critical": ~(ready | warned) | (c("critical_issues") == 0),
+    }

@@ -529,9 +529,9 @@ for _k in _ENTITY_SQL:
 NAMED = ("symbol", "endpoint", "metadata")
 
 
-def _seeds(spark, sf_dir, chunks: DataFrame, more: DataFrame | None = None) -> tuple[dict[str, DataFrame], tuple[DataFrame, DataFrame]]:
+def _seeds(spark, sf_dir, chunks: DataFrame, more: DataFrame | None = None, q: DataFrame | None = None) -> tuple[dict[str, DataFrame], tuple[DataFrame, DataFrame]]:
     """Seeds by entity retriever, and the hits of all kinds, from one table of postings; ``more`` are rows of further kinds."""
-    q, entities = L.questions(spark, sf_dir), {k: cut(e) for k, e in _entities(spark, sf_dir, chunks).items()}
+    q, entities = L.questions(spark, sf_dir) if q is None else q, {k: cut(e) for k, e in _entities(spark, sf_dir, chunks).items()}
     rows = more
     for k, e in entities.items():
         e = e.select(lit(k).alias("kind"), col("entity_id").alias("id"), "haystack")
@@ -565,10 +565,10 @@ def _file_graph(spark, sf_dir, chunks: DataFrame) -> tuple[DataFrame, DataFrame]
     return nodes, L.file_links(spark, sf_dir).union(functions.select("path", "chunk_id"))
 
 
-def _retrieved(spark, sf_dir) -> DataFrame:
-    """The best 50 candidates of all seven retrievers, then chunks of files next to theirs in the graph; the entity is the line, the source the document."""
-    chunks, q = cut(_chunk_rows(spark, sf_dir)), L.questions(spark, sf_dir)
-    found, hits = _seeds(spark, sf_dir, chunks, chunks.select(lit("chunk").alias("kind"), col("chunk_id").alias("id"), "haystack"))
+def _retrieved(spark, sf_dir, q: DataFrame | None = None) -> DataFrame:
+    """For the benchmark's questions, or ``q``: the best 50 candidates of all seven retrievers, then chunks of files next to theirs in the graph; the entity is the line, the source the document."""
+    chunks, q = cut(_chunk_rows(spark, sf_dir)), L.questions(spark, sf_dir) if q is None else q
+    found, hits = _seeds(spark, sf_dir, chunks, chunks.select(lit("chunk").alias("kind"), col("chunk_id").alias("id"), "haystack"), q)
     ranked = {k: R.entity_rank(f, 50) for k, f in found.items()}
     ranked["exact"] = R.exact(_named(found), q).filter("rank <= 50")
     ranked |= {"lexical": R.lexical(chunks, q, True, 50, hits=hits), "semantic": R.sparse(chunks.withColumn("body", F.concat("path", lit("  text "), "content")), q, 50)}
@@ -1124,9 +1124,9 @@ def incremental_merge(spark, sf_dir):
 # --- evidence ------------------------------------------------------------------------------------------------
 
 
-def _evidence(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidates, files and skipped files; rules on ids spoil some of each."""
-    f = FU.fuse(_retrieved(spark, sf_dir), POLICY)
+def _evidence(spark, sf_dir, f: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates (those fused in ``f``), files and skipped files; rules on ids spoil some of each."""
+    f = FU.fuse(_retrieved(spark, sf_dir), POLICY) if f is None else f
     c = L.chunks(spark, sf_dir).dropDuplicates(["chunk_id"]).select("chunk_id", "doc_id", "path", col("content"))
     kind = F.element_at(F.array(*map(lit, ["api_question", "flow_tracing", "onboarding", "code_question"])), (col("query_id") % 4 + 1).cast("int"))
     rows = f.withColumn("chunk_id", F.substring("entity_key", 6, 100)).join(c, "chunk_id").withColumn("kind", kind)
@@ -1134,6 +1134,7 @@ def _evidence(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = rows.select(
         "query_id", "chunk_id", F.col("chunk_id").alias("candidate_id"), "kind", "path", F.when(col("doc_id") % 19 == 0, "file:v0").otherwise(col("source_key")).alias("source_key"), (col("start_line") + F.when(col("doc_id") % 23 == 0, 100_000).otherwise(0)).alias("start_line"),
         (col("end_line") + F.when(col("doc_id") % 23 == 0, 100_000).otherwise(0)).alias("end_line"), "content", F.when(col("doc_id") % 29 == 0, F.sha2("content", 256)).otherwise(good).alias("chunk_hash"), "support", "retrievers", "reason_codes", lit("text").alias("chunk_type"), "fused", "best_rank", "entity_key",
+        "candidate_ids", "normalised",
     )
     doc = L.files(spark, sf_dir)
     files = doc.filter("seq % 31 <> 0").select("path", F.when(col("seq") % 37 == 0, "stale").otherwise(col("content_hash")).alias("indexed_hash"), F.when(col("seq") % 41 == 0, lit(None)).otherwise(col("content")).alias("content"))
@@ -1497,4 +1498,4 @@ def coverage_shares(spark, sf_dir):
     return c.select("nation", CO.coverage(col("s"), col("t")).alias("coverage"))
 
 
-from corpusmill.plans import building, checks, flow, lifecycle  # noqa: E402, F401  (they register their queries)
+from corpusmill.plans import answering, building, checks, flow, lifecycle  # noqa: E402, F401  (they register their queries)
