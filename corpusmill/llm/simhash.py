@@ -324,12 +324,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, crowd: int
 WIDE, RECALL, CHANCE = 256, 0.98, 32
 #: Rows of a front block that a table is laid out for, and links of one text from which its pairs are verified in several tasks.
 BLOCK, HUB = 1 << 19, 1024
+#: Sets of up to so many shingles are also compared exactly, without sketches.
+SMALL = 9
 #: Texts of a crowded task that all others are compared with first, and rounds of such comparisons.
 LEADERS, ROUNDS = 16, 2
 
 
 def share(similar: float) -> float:
-    """Share of differing sketch bits of two sets of a Jaccard similarity, by the angle between them; small sets have up to 3 % more."""
+    """Share of differing sketch bits of two sets of a Jaccard similarity, by the angle between them. Sets of few shingles have up to 3 % more, but for one of 4 in one of 5, which has 20 % more: see ``_small_edges``."""
     return float(np.arccos(2 * similar / (1 + similar)) / np.pi) * 1.03
 
 
@@ -497,12 +499,17 @@ def _distinct(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.searchsorted(row[new], np.arange(len(first)))
 
 
+def _parts(hashes: np.ndarray) -> np.ndarray:
+    """What each hash adds to the sum from which a set's number is made."""
+    return mix(hashes ^ np.uint64(0x9E3779B97F4A7C15))
+
+
 def _nodes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit number for each set of hashes, equal for equal sets; 0 for empty ones."""
     counts = np.diff(first)
     out, full = np.zeros(len(counts), np.uint64), np.flatnonzero(counts > 0)
     if len(full):
-        out[full] = mix(np.add.reduceat(mix(hashes ^ np.uint64(0x9E3779B97F4A7C15)), first[full]) + counts[full].astype(np.uint64))
+        out[full] = mix(np.add.reduceat(_parts(hashes), first[full]) + counts[full].astype(np.uint64))
     return out.view(np.int64)
 
 
@@ -557,6 +564,41 @@ def _verified(pairs: DataFrame, prints: DataFrame, size: int, similar: float) ->
     return cut(salted.join(a, "a").join(b, ["b", "_salt"]).select("a", "b", "_a", "_b").mapInArrow(_verifier(size, similar), "a long, b long"))
 
 
+def _subsets(size: int, least: int):
+    """Rows (node, packed) of sets that aren't empty to (key, node, kept, whole): the numbers of the set itself and of it without each one of its shingles, if ``least`` are kept."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for piece in pieces(batch, "packed", 1 << 18):
+                hashes, first = _distinct(pa.array([unpack(t.as_buffer()) for t in piece.column("packed")], pa.binary()), size)
+                node, n, parts = piece.column("node").to_numpy(), np.diff(first), _parts(hashes)
+                row = np.repeat(np.arange(len(n)), n)
+                rest = mix(np.add.reduceat(parts, first[:-1])[row] - parts + (n[row] - 1).astype(np.uint64)).view(np.int64)
+                key, of, kept = np.concatenate([node, rest]), np.concatenate([node, node[row]]), np.concatenate([n, n[row] - 1])
+                some = kept >= least
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, of, kept, np.arange(len(key)) < len(node))], ["key", "node", "kept", "whole"])
+
+    return tidy(run)
+
+
+def _small_edges(prints: DataFrame, size: int, similar: float) -> DataFrame:
+    """Edges (a, b) that join all nodes of up to ``SMALL`` shingles, of which one is another with one more, or two are alike but for one each, by exact similarity.
+
+    A set and its subsets of one shingle less meet by their numbers. Those that meet share all
+    but one shingle at most, so one edge for each, to the set that is shared or else the
+    smallest node, joins what is alike, and no pairs are listed.
+    """
+    least = next(c for c in range(1, 1 << 20) if c >= similar * (c + 1) - 1e-9) if similar < 1 else SMALL
+    small = prints.filter(F.col("n").between(least, SMALL)).groupBy("node").agg(F.first("packed").alias("packed"))
+    keyed = cut(small.mapInArrow(_subsets(size, least), "key long, node long, kept long, whole boolean"))
+    swapped = F.col("kept") >= similar * (F.col("kept") + 2) - 1e-9
+    heads = keyed.groupBy("key", "kept").agg(F.count("*").alias("_n"), F.max(F.when(F.col("whole"), F.col("node"))).alias("_whole"), F.min("node").alias("_low"))
+    heads = heads.filter("_n > 1").select("key", F.coalesce("_whole", F.when(swapped, F.col("_low"))).alias("_head")).filter("_head is not null")
+    met = keyed.join(heads, "key").filter("node <> _head")
+    return cut(met.select(F.least("node", "_head").alias("a"), F.greatest("node", "_head").alias("b")).distinct())
+
+
 def _similar_nodes(prints: DataFrame, size: int, similar: float, crowd: int) -> DataFrame:
     """Edges (a, b) that join the nodes of ``prints`` as all candidates of ``similar`` or more do."""
     fields = [f"f{k}" for k in range(WIDE // 64)]
@@ -569,7 +611,7 @@ def _similar_nodes(prints: DataFrame, size: int, similar: float, crowd: int) ->
         return _to_tasks(_dealt(rows, crowd, meet), "root" in names)
 
     # first each text with one or two that many others are near to: in a group of near copies, what they are copies of
-    rounds, tried, edges = 0, None, None
+    rounds, tried, edges = 0, None, _small_edges(prints, size, similar)
     while True:
         said = cut(tasks(nodes, False).mapInArrow(_nominator(*shape), "node long, other long, apart int").groupBy("node", "other").agg(F.count("*").alias("votes"), F.min("apart").alias("apart")))
         best = [F.max(F.when(F.col("other").isNotNull(), F.struct("votes", (-F.col("apart")).alias("near"), "other"))), F.max(F.when(F.col("other").isNotNull(), F.struct((-F.col("apart")).alias("near"), "votes", "other")))]
@@ -577,7 +619,7 @@ def _similar_nodes(prints: DataFrame, size: int, similar: float, crowd: int) ->
         pairs = picked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         new = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = _verified(new, prints, size, similar)
-        tried, edges = new if tried is None else tried.union(new), found if edges is None else edges.union(found)
+        tried, edges = new if tried is None else tried.union(new), edges.union(found)
         live = said.select("node").union(said.filter("other is not null").select("other")).distinct()
         roots = connected_components(edges).withColumnRenamed("root", "_root")
         nodes = nodes.join(live, "node", "left_semi").join(roots, "node", "left").select("node", *fields, F.coalesce("_root", "node").alias("root"))
@@ -595,7 +637,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similar: float = 0.8, crow
     Candidates come from SimHash sketches of the sets of ``size``-word shingles: trie
     self-joins of as many keys, drawn from a sketch's bits, as find a pair at the threshold
     with a chance of ``RECALL`` at any number of documents (see ``plan``); nearer pairs are
-    missed much more seldom. Each link is then verified by the exact Jaccard similarity of
+    missed much more seldom. Sets of up to ``SMALL`` shingles are also joined exactly. Each link is then verified by the exact Jaccard similarity of
     the two sets, so no pair below ``similar`` counts. Texts in a group are first verified
     with one or two that many are near to, in ``ROUNDS`` rounds; then all candidates that are in no
     common component are. Documents of equal sets are one node. Texts of no words are alike.

@@ -75,3 +75,54 @@ def test_groups_of_copies_and_of_one_template(spark, crowd, hub, monkeypatch):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     assert groups(spark, texts, crowd=crowd) == dict(enumerate(root)) and len(set(root)) == 41
+
+
+def words(rnd, n):
+    return [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+
+
+def test_short_texts_inside_one_a_word_longer_are_all_joined(spark):
+    """Sets of 4 to 9 shingles inside those of one more, which sketches alone miss for 4 in 5."""
+    rnd, texts = random.Random(5), []
+    for k in range(1200):
+        long = words(rnd, 9 + k % 6)
+        texts += [" ".join(long), " ".join(long[1:] if k % 2 else long[:-1])]
+    assert all(alike(*texts[k : k + 2]) >= 0.8 for k in range(0, len(texts), 2))
+    found = groups(spark, texts)
+    apart = [k for k in range(0, len(texts), 2) if found[k + 1] != k]
+    assert [k for k in apart if len(shingles(texts[k])) <= simhash.SMALL] == [] and len(apart) <= 12
+    assert {c for d, c in found.items() if d % 2 == 0} == set(range(0, len(texts), 2))
+
+
+def test_many_short_texts_around_one(spark):
+    """One text of eight words with 3,000 that have one more; as many without that text; and twelve words shared, where each is alike to each."""
+    rnd = random.Random(6)
+    eight, lone, twelve = words(rnd, 8), words(rnd, 8), words(rnd, 12)
+    many = lambda start: [" ".join([*start, f"e{k}"]) for k in range(3000)]
+    found = groups(spark, [" ".join(eight), *many(eight), *many(lone), *many(twelve)])
+    assert {found[k] for k in range(3001)} == {0}
+    assert all(found[k] == k for k in range(3001, 6001))
+    assert {found[k] for k in range(6001, 9001)} == {6001}
+
+
+def test_sets_of_few_shingles_against_all_pairs(spark):
+    """Parts of a few texts of repeating words, empty ones and nulls too: the groups of exact similarity, and never a link below it."""
+    rnd, texts = random.Random(7), ["", " ", "one", "one"]
+    for _ in range(40):
+        base = [rnd.choice("abcdefgh") for _ in range(13)]
+        for _ in range(8):
+            a = rnd.randrange(6)
+            texts.append(" ".join(base[a : a + rnd.randint(5, 13)]))
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            same = not texts[i].split() and not texts[j].split() or bool(texts[i].split()) and bool(texts[j].split()) and alike(texts[i], texts[j]) >= 0.8 - 1e-12
+            if same and top(i) != top(j):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    assert groups(spark, texts) == {k: top(k) for k in range(len(texts))}
