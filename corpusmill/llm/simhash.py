@@ -176,15 +176,15 @@ def _blocks(bits: int, budget: int) -> list[tuple[int, int]]:
 TASKS = 1 << 17
 
 
-def _whole_tasks(batches) -> Iterator[pa.Table]:
-    """Tables of whole tasks (equal ``task`` and ``part``), which come sorted by these."""
+def _whole_tasks(batches, most: int = TASKS) -> Iterator[pa.Table]:
+    """Tables of whole tasks (equal ``task`` and ``part``), which come sorted by these, of about ``most`` rows."""
     have: list[pa.RecordBatch] = []
     held = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         ids = [np.stack([x.column(c).to_numpy() for c in ("task", "part")]) for x in (batch, *have[:1])]
-        if held >= TASKS and (ids[1][:, 0] != ids[0][:, -1]).any():
+        if held >= most and (ids[1][:, 0] != ids[0][:, -1]).any():
             edge = int(np.argmax((ids[0] == ids[0][:, -1:]).all(0)))
             yield pa.Table.from_batches([*have, batch.slice(0, edge)])
             have, held = [], 0
@@ -230,13 +230,7 @@ def _joiner(bits: int, budget: int):
                 for i, j in trie_pairs(keys, root, depth, budget):
                     if len(i):
                         labels = joined(labels, i, j)
-        # each component is a star around its smallest node: tasks that see the same one say the same
-        least = np.full(len(labels), np.iinfo(np.int64).max)
-        np.minimum.at(least, labels, node)
-        moved = np.flatnonzero(node != least[labels])
-        for at in range(0, len(moved), 1 << 16):
-            m = moved[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(node[m]), pa.array(least[labels[m]])], ["a", "b"])
+        yield from _stars(node, labels)
 
     def run(batches):
         for table in _whole_tasks(batches):
@@ -245,19 +239,24 @@ def _joiner(bits: int, budget: int):
     return tidy(run)
 
 
-def _dealt(rows: DataFrame, crowd: int, meet: bool = True) -> DataFrame:
-    """``rows`` with ``part``: tasks of over ``crowd`` rows are dealt by node into parts of which every two, or not ``meet`` each one, are a task."""
+def _dealt(rows: DataFrame, busy: DataFrame) -> DataFrame:
+    """``rows`` with ``part``: tasks of ``busy`` (task, parts) are dealt by node into at least three parts, of which every two are a task."""
     rows = rows.withColumn("part", F.lit(0).cast("long"))
-    busy = cut(rows.groupBy("task").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd))
+    busy = cut(busy)
     if busy.isEmpty():
         return rows
-    sized = rows.join(busy.select("task", F.greatest(F.lit(3), F.ceil(2 * F.col("_n") / crowd)).alias("_c")), "task", "left")
+    sized = rows.join(busy.select("task", F.greatest(F.lit(3).cast("long"), "parts").alias("_c")), "task", "left")
     mine = F.pmod(F.xxhash64("node"), F.col("_c"))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1), lambda o: F.least(mine, o) * F.col("_c") + F.greatest(mine, o) + 1)
-    others = F.filter(pair, lambda x: x != mine * F.col("_c") + mine + 1) if meet else F.array(mine + 1)
+    others = F.filter(pair, lambda x: x != mine * F.col("_c") + mine + 1)
     return sized.withColumn("part", F.explode(F.when(F.col("_c").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others))).drop("_c")
 
 
+def _crowded(rows: DataFrame, crowd: int) -> DataFrame:
+    """(task, parts) of the tasks of over ``crowd`` rows."""
+    return rows.groupBy("task").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd).select("task", F.ceil(2 * F.col("_n") / crowd).alias("parts"))
+
+
 def _to_tasks(rows: DataFrame, few: bool = False) -> DataFrame:
     """Whole tasks in one partition each, one after the other; with ``few`` rows, small partitions may be put together."""
     keys = ["task", "part"]
@@ -289,7 +288,7 @@ def links(rows: DataFrame, bits: int, budget: int, crowd: int = 1 << 19) -> Data
         pair = lambda x: F.shiftleft(F.least(mine, mine.bitwiseXOR(x)), 6).bitwiseOR(F.greatest(mine, mine.bitwiseXOR(x)))
         tasks = F.when(F.col("_hot"), F.transform(near, lambda x: F.col("task") + pair(x) + 1)).otherwise(F.array("task"))
         rows = marked.withColumn("task", F.explode(tasks)).select("task", "key", "node")
-        rows = _dealt(rows, crowd)
+        rows = _dealt(rows, _crowded(rows, crowd))
     else:
         rows = rows.withColumn("part", F.lit(0).cast("long"))
     return _to_tasks(rows.select("task", "part", "key", "node")).mapInArrow(_joiner(bits, budget), "a long, b long")
@@ -322,12 +321,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, crowd: int
 
 #: Bits of a sketch, chance that a pair at the threshold becomes a candidate, and chance meetings of a row in one table.
 WIDE, RECALL, CHANCE = 256, 0.98, 32
-#: Rows of a front block that a table is laid out for, and links of one text from which its pairs are verified in several tasks.
+#: Rows of a front block that a table is laid out for, and texts of a group from which it is compared in several tasks.
 BLOCK, HUB = 1 << 19, 1024
 #: Sets of up to so many shingles are also compared exactly, without sketches.
 SMALL = 9
-#: Texts of a crowded task that all others are compared with first, and rounds of such comparisons.
-LEADERS, ROUNDS = 16, 2
+#: Texts of a crowded task that all others are compared with first.
+LEADERS = 16
+#: Compressed bytes of a part of a group, bits of the widest parity map, rows compared at a time with others, and shingles verified at a time.
+GROUP, MAP, ROWS, VERIFIED = 8 << 20, 1 << 14, 32, 1 << 21
 
 
 def share(similar: float) -> float:
@@ -409,9 +410,9 @@ def _spread(bits: int, budget: int, tables: int, names: list[str]):
 
 
 def _ordered(table: pa.Table, bits: int, budget: int, tables: int):
-    """A table of whole tasks sorted by turned keys: node, root, sketch, key, edges of the tasks and bits left to each."""
+    """A table of whole tasks sorted by turned keys: node, sketch, key, edges of the tasks and bits left to each."""
     places, blocks = _places(bits, tables), _blocks(bits, budget)
-    task, part, node, root = (table.column(c if c in table.column_names else "node").to_numpy().astype(np.int64) for c in ("task", "part", "node", "root"))
+    task, part, node = (table.column(c).to_numpy().astype(np.int64) for c in ("task", "part", "node"))
     sketch = _sketches(table)
     key = np.zeros(len(task), np.uint64)
     kind = task >> 40
@@ -419,56 +420,50 @@ def _ordered(table: pa.Table, bits: int, budget: int, tables: int):
         some = kind == k
         key[some] = _key(sketch[some], places[k >> 8], blocks[k & 0xFF][0])
     order = np.lexsort((key, part, task))
-    task, part, node, root, sketch, key = (x[order] for x in (task, part, node, root, sketch, key))
+    task, part, node, sketch, key = (x[order] for x in (task, part, node, sketch, key))
     lo = _starts(task, part)
     hi = np.append(lo[1:], len(task))
     widths = np.array([w for _, w in blocks])
-    return node, root, sketch, key, lo, hi, bits - widths[task[lo] >> 40 & 0xFF]
+    return node, sketch, key, lo, hi, bits - widths[task[lo] >> 40 & 0xFF]
 
 
-def _near_pairs(key, sketch, root, lo, hi, tops, budget: int, far: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for top in np.unique(tops).tolist():
-        a, b = lo[tops == top], hi[tops == top]
-        for i, j in trie_pairs(key, (a, b, a, b, np.zeros(len(a), np.int64)), int(top), budget, root):
-            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
-            near = (apart <= far) & (root[i] != root[j])
-            if near.any():
-                yield i[near], j[near], apart[near]
+def _stars(node: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of each node to the smallest one of its label: tasks that see the same ones say the same."""
+    least = np.full(len(labels), np.iinfo(np.int64).max)
+    np.minimum.at(least, labels, node)
+    moved = np.flatnonzero(node != least[labels])
+    for at in range(0, len(moved), 1 << 16):
+        m = moved[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(node[m]), pa.array(least[labels[m]])], ["a", "b"])
 
 
-def _nominator(bits: int, budget: int, tables: int, far: int):
-    """Rows of whole tasks to (node, other, apart): for each row that has a candidate of another root its nearest one, and the one with most candidates.
+def _resembling(bits: int, budget: int, tables: int, far: int):
+    """Rows of whole tasks to edges (a, b): a spanning forest of the candidates, nodes within the budget and ``far``, of each task.
 
-    Tasks in which many keys are equal don't compare all their rows: each is compared with
-    ``LEADERS`` of them, and rows without a near one say so by a null.
+    In tasks in which many keys are equal each row is compared with ``LEADERS`` of them first,
+    and those that are then together are not compared with each other.
     """
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, root, sketch, key, lo, hi, tops = _ordered(table, bits, budget, tables)
+        node, sketch, key, lo, hi, tops = _ordered(table, bits, budget, tables)
+        labels = np.arange(len(node))
         run_of = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         long = np.diff(np.append(run_of, len(key)))
         group = np.searchsorted(lo, run_of, "right") - 1
         crowded = np.bincount(group, long.astype(float) ** 2, len(lo)) > 64 * (hi - lo)
-        said = []
-        pairs = [x for x in _near_pairs(key, sketch, root, lo[~crowded], hi[~crowded], tops[~crowded], budget, far)]
-        if pairs:
-            i, j, apart = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            one, two, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
-            degree = np.bincount(one, minlength=len(node))
-            for rank in (np.lexsort((node[two], apart, one)), np.lexsort((node[two], -degree[two], one))):
-                pick = rank[np.append(True, one[rank][1:] != one[rank][:-1])]
-                said.append((node[one[pick]], node[two[pick]], apart[pick]))
         for a, b in zip(lo[crowded].tolist(), hi[crowded].tolist(), strict=True):
             heads = np.unique(np.linspace(a, b - 1, LEADERS).astype(np.int64))
             for at in range(a, b, 1 << 16):
                 rows = np.arange(at, min(b, at + (1 << 16)))
-                apart = np.bitwise_count(sketch[rows, None] ^ sketch[heads]).sum(2, dtype=np.int64)
-                apart[root[rows, None] == root[heads]] = WIDE + 1
-                best = apart.argmin(1)
-                apart = apart[np.arange(len(rows)), best]
-                said.append((node[rows], np.where(apart <= far, node[heads[best]], node[rows]), apart))
-        for one, two, apart in said:
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two, mask=one == two), pa.array(apart.astype(np.int32))], ["node", "other", "apart"])
+                i, j = np.nonzero(np.bitwise_count(sketch[rows, None] ^ sketch[heads]).sum(2, dtype=np.int64) <= far)
+                labels = joined(labels, rows[i], heads[j])
+        for top in np.unique(tops).tolist():
+            a, b = lo[tops == top], hi[tops == top]
+            for i, j in trie_pairs(key, (a, b, a, b, np.zeros(len(a), np.int64)), int(top), budget, labels):
+                near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= far
+                if near.any():
+                    labels = joined(labels, i[near], j[near])
+        yield from _stars(node, labels)
 
     def run(batches):
         for table in _whole_tasks(batches):
@@ -477,18 +472,6 @@ def _nominator(bits: int, budget: int, tables: int, far: int):
     return tidy(run)
 
 
-def _candidates(bits: int, budget: int, tables: int, far: int):
-    """Rows of whole tasks to all pairs (a, b) of nodes of different roots within the budget and ``far``."""
-
-    def run(batches):
-        for table in _whole_tasks(batches):
-            node, root, sketch, key, lo, hi, tops = _ordered(table, bits, budget, tables)
-            for i, j, _ in _near_pairs(key, sketch, root, lo, hi, tops, budget, far):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
-
-    return tidy(run)
-
-
 def _distinct(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all rows, each row's sorted, and their offsets."""
     hashes, first = shingles(texts, size)
@@ -529,39 +512,90 @@ def _sketcher(size: int):
     return tidy(run)
 
 
-def _verifier(size: int, similar: float):
-    """Rows (a, b, _a, _b) with both texts to those (a, b) whose sets are alike enough."""
-
-    def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for piece in pieces(batch, "_a", 1 << 18):
-                texts = [unpack(t.as_buffer()) for c in ("_a", "_b") for t in piece.column(c)]
-                hashes, first = _distinct(pa.array(texts, pa.binary()), size)
-                n, total = np.diff(first), piece.num_rows
-                row = np.repeat(np.arange(2 * total), n) % max(1, total)
-                order = np.lexsort((hashes, row))
-                h, r = hashes[order], row[order]
-                both = np.bincount(r[1:][(h[1:] == h[:-1]) & (r[1:] == r[:-1])], minlength=total)
-                yield piece.select(["a", "b"]).filter(pa.array(both * (1 + similar) >= similar * (n[:total] + n[total:]) - 1e-9))
+def _parity(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A map of bits (uint64) for each set: whether an odd number of its hashes fall on a bit.
 
-    return tidy(run)
+    Where the maps of two sets differ in d bits, the sets differ in d elements at least.
+    """
+    n = np.diff(first)
+    wide = min(MAP, max(256, 1 << int(4 * n.max() - 1).bit_length()))
+    out = []
+    for at in range(0, len(n), max(1, (1 << 22) // wide)):
+        to = min(len(n), at + max(1, (1 << 22) // wide))
+        bit = np.repeat(np.arange(to - at), n[at:to]) * wide + (hashes[first[at] : first[to]] % np.uint64(wide)).astype(np.int64)
+        odd = np.bincount(bit, minlength=(to - at) * wide) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(to - at, wide), axis=1).view(np.uint64))
+    return np.concatenate(out)
+
+
+def _alike(hashes: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray, similar: float) -> np.ndarray:
+    """Whether the sets i[k] and j[k] have an exact Jaccard similarity of ``similar`` or more."""
+    n, out = np.diff(first), np.zeros(len(i), bool)
+    ends = np.cumsum(n[i] + n[j])
+    at = 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + VERIFIED, "right")))
+        sets, pair = np.concatenate([i[at:to], j[at:to]]), np.tile(np.arange(to - at), 2)
+        row = np.repeat(pair, n[sets])
+        h = hashes[np.repeat(first[sets] - np.cumsum(n[sets]) + n[sets], n[sets]) + np.arange(len(row))]
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        both = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=to - at)
+        out[at:to] = both * (1 + similar) >= similar * (n[i[at:to]] + n[j[at:to]]) - 1e-9
+        at = to
+    return out
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, size: int, similar: float) -> DataFrame:
-    """The distinct ``pairs`` (a, b) of nodes whose sets have an exact Jaccard similarity of ``similar`` or more.
+def _linked(hashes: np.ndarray, first: np.ndarray, similar: float) -> np.ndarray:
+    """Labels that join the sets as all their exact links do, whichever of them resemble each other.
 
-    Each text is sent once, and once more for each of its pairs; the pairs of one text with
-    very many of them are spread over several tasks, each with that text.
+    Sets come by size, as links are between like sizes. What the parity maps leave possible is
+    verified, the nearest first; sets that are together by then are not compared again.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = cut(prints.select("node", "packed").join(ends, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed")))
-    hubs = pairs.groupBy("b").agg(F.count("*").alias("_n")).filter(F.col("_n") > HUB).select("b", F.ceil(F.col("_n") / HUB).alias("_parts"))
-    salted = pairs.join(hubs, "b", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
-    a = texts.select(F.col("node").alias("a"), F.col("packed").alias("_a"))
-    b = texts.select(F.col("node").alias("b"), F.col("packed").alias("_b")).join(hubs, "b", "left")
-    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts") - 1, F.lit(0).cast("long"))))).drop("_parts")
-    return cut(salted.join(a, "a").join(b, ["b", "_salt"]).select("a", "b", "_a", "_b").mapInArrow(_verifier(size, similar), "a long, b long"))
+    n = np.diff(first)
+    labels, maps = np.arange(len(n)), _parity(hashes, first)
+    wide = max(ROWS, (1 << 20) // (ROWS * maps.shape[1]))
+    for at in range(0, len(n), ROWS):
+        rows = np.arange(at, min(len(n), at + ROWS))
+        end = int(np.searchsorted(n, n[rows[-1]] / similar + 1e-6, "right"))
+        for low in range(at, end, wide):
+            others = np.arange(low, min(end, low + wide))
+            if (labels[others] == labels[at]).all() and (labels[rows] == labels[at]).all():
+                continue
+            apart = np.bitwise_count(maps[rows, None] ^ maps[others]).sum(2, dtype=np.int64)
+            total = n[rows, None] + n[others]
+            i, j = np.nonzero((rows[:, None] < others) & (labels[rows, None] != labels[others]) & ((total - apart) * (1 + similar) >= 2 * similar * total - 1e-9))
+            order = np.lexsort((apart[i, j], i))
+            i, j, take = rows[i[order]], others[j[order]], 1
+            while len(i):
+                new = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                now = np.arange(len(i)) - np.repeat(new, np.diff(np.append(new, len(i)))) < take
+                found = _alike(hashes, first, i[now], j[now], similar)
+                labels = joined(labels, i[now][found], j[now][found])
+                i, j = i[~now], j[~now]
+                open_ = labels[i] != labels[j]
+                i, j, take = i[open_], j[open_], 2 * take
+    return labels
+
+
+def _comparer(size: int, similar: float):
+    """Rows (task, part, node, packed) of whole tasks to edges (a, b): a spanning forest of the exact links in each task."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for table in _whole_tasks(batches, HUB):
+            task, part, node = (table.column(c).to_numpy().astype(np.int64) for c in ("task", "part", "node"))
+            order = np.lexsort((node, part, task))
+            lo = _starts(task[order], part[order])
+            for a, b in zip(lo.tolist(), [*lo[1:].tolist(), len(order)], strict=True):
+                some = table.select(["node", "packed"]).take(pa.array(order[a:b])).combine_chunks().to_batches()[0]
+                sets = [_distinct(pa.array([unpack(t.as_buffer()) for t in x.column("packed")], pa.binary()), size) for x in pieces(some, "packed", 1 << 18)]
+                hashes, n = np.concatenate([h for h, _ in sets]), np.concatenate([np.diff(f) for _, f in sets])
+                first, by = np.concatenate([[0], np.cumsum(n)]), np.argsort(n, kind="stable")
+                hashes = hashes[np.repeat(first[by] - np.cumsum(n[by]) + n[by], n[by]) + np.arange(len(hashes))]
+                yield from _stars(node[order[a:b]][by], _linked(hashes, np.concatenate([[0], np.cumsum(n[by])]), similar))
+
+    return tidy(run)
 
 
 def _subsets(size: int, least: int):
@@ -604,31 +638,17 @@ def _similar_nodes(prints: DataFrame, size: int, similar: float, crowd: int) ->
     fields = [f"f{k}" for k in range(WIDE // 64)]
     nodes = cut(prints.filter("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in fields]))
     shape = plan(1 << max(0, nodes.count() - 1).bit_length(), similar)
-
-    def tasks(rows: DataFrame, meet: bool) -> DataFrame:
-        names = [c for c in ("node", "root", *fields) if c in rows.columns]
-        rows = rows.select(names).mapInArrow(_spread(*shape[:3], names), "task long, " + ", ".join(f"{c} long" for c in names))
-        return _to_tasks(_dealt(rows, crowd, meet), "root" in names)
-
-    # first each text with one or two that many others are near to: in a group of near copies, what they are copies of
-    rounds, tried, edges = 0, None, _small_edges(prints, size, similar)
-    while True:
-        said = cut(tasks(nodes, False).mapInArrow(_nominator(*shape), "node long, other long, apart int").groupBy("node", "other").agg(F.count("*").alias("votes"), F.min("apart").alias("apart")))
-        best = [F.max(F.when(F.col("other").isNotNull(), F.struct("votes", (-F.col("apart")).alias("near"), "other"))), F.max(F.when(F.col("other").isNotNull(), F.struct((-F.col("apart")).alias("near"), "votes", "other")))]
-        picked = said.groupBy("node").agg(best[0].alias("x"), best[1].alias("y")).select("node", F.explode(F.array("x.other", "y.other")).alias("other")).filter("other is not null")
-        pairs = picked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        new = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = _verified(new, prints, size, similar)
-        tried, edges = new if tried is None else tried.union(new), edges.union(found)
-        live = said.select("node").union(said.filter("other is not null").select("other")).distinct()
-        roots = connected_components(edges).withColumnRenamed("root", "_root")
-        nodes = nodes.join(live, "node", "left_semi").join(roots, "node", "left").select("node", *fields, F.coalesce("_root", "node").alias("root"))
-        rounds += 1
-        if rounds == ROUNDS or found.isEmpty():
-            break
-    # then all candidates that are not joined yet
-    rest = tasks(nodes, True).mapInArrow(_candidates(*shape), "a long, b long").distinct()
-    return edges.union(_verified(cut(rest.join(tried, ["a", "b"], "left_anti")), prints, size, similar))
+    # groups of texts that resemble each other by sketch, directly or through others
+    names = ["node", *fields]
+    spread = nodes.select(names).mapInArrow(_spread(*shape[:3], names), "task long, " + ", ".join(f"{c} long" for c in names))
+    near = _to_tasks(_dealt(spread, _crowded(spread, crowd))).mapInArrow(_resembling(*shape), "a long, b long")
+    groups = connected_components(near).withColumnRenamed("root", "task")
+    # each text goes once to its group, or to the parts of a large one, and is compared there
+    texts = cut(prints.select("node", "packed").join(groups, "node").groupBy("node").agg(F.first("task").alias("task"), F.first("packed").alias("packed")))
+    loads = texts.groupBy("task").agg(F.count("*").alias("_n"), F.sum(F.length("packed")).alias("_b")).filter((F.col("_n") > HUB) | (F.col("_b") > 2 * GROUP))
+    parts = loads.select("task", F.greatest(F.ceil(2 * F.sqrt(F.col("_n") / HUB)), F.ceil(F.col("_b") / GROUP)).alias("parts"))
+    found = _to_tasks(_dealt(texts, parts).select("task", "part", "node", "packed")).mapInArrow(_comparer(size, similar), "a long, b long")
+    return _small_edges(prints, size, similar).union(cut(found.distinct()))
 
 
 def similar_documents(docs: DataFrame, size: int = 5, similar: float = 0.8, crowd: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -638,9 +658,9 @@ def similar_documents(docs: DataFrame, size: int = 5, similar: float = 0.8, crow
     self-joins of as many keys, drawn from a sketch's bits, as find a pair at the threshold
     with a chance of ``RECALL`` at any number of documents (see ``plan``); nearer pairs are
     missed much more seldom. Sets of up to ``SMALL`` shingles are also joined exactly. Each link is then verified by the exact Jaccard similarity of
-    the two sets, so no pair below ``similar`` counts. Texts in a group are first verified
-    with one or two that many are near to, in ``ROUNDS`` rounds; then all candidates that are in no
-    common component are. Documents of equal sets are one node. Texts of no words are alike.
+    the two sets, so no pair below ``similar`` counts: candidates, with what links them through
+    others, make groups, and in each group all texts are compared where they lie, so no pairs
+    are listed. Documents of equal sets are one node. Texts of no words are alike.
     A null doc_id takes part but is no component_id. Repeated rows are kept, other columns
     left out, an empty table gives an empty result. Shingles and sets are told apart by
     64-bit hashes.

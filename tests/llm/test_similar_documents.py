@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from corpusmill.llm import simhash
+from corpusmill.llm import components, simhash
 
 
 def shingles(text):
@@ -126,3 +127,53 @@ def test_sets_of_few_shingles_against_all_pairs(spark):
             if same and top(i) != top(j):
                 root[max(top(i), top(j))] = min(top(i), top(j))
     assert groups(spark, texts) == {k: top(k) for k in range(len(texts))}
+
+
+def roots(n, linked):
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if root[i] != root[j] and linked(i, j):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_texts_that_resemble_each_other_list_no_pairs(spark, monkeypatch):
+    """Eight hundred texts that differ from one, which is not there, by some words each: no table has rows by the square."""
+    rnd, written = random.Random(8), []
+    base = words(rnd, 150)
+    texts = []
+    for _ in range(800):
+        near = list(base)
+        for k in rnd.sample(range(150), rnd.choice([1, 2, 3, 3, 3, 4])):
+            near[k] = f"x{rnd.randrange(10**9)}"
+        texts.append(" ".join(near))
+    for module in (simhash, components):
+        cut = module.cut
+        monkeypatch.setattr(module, "cut", lambda *a, cut=cut, **k: (written.append(cut(*a, **k)), written[-1])[1])
+    found = groups(spark, texts)
+    sets = [shingles(t) for t in texts]
+    common = lambda i, j: len(sets[i] & sets[j])
+    want = roots(800, lambda i, j: common(i, j) * 1.8 >= 0.8 * (len(sets[i]) + len(sets[j])) - 1e-9)
+    assert 50 < len(set(want)) < 750
+    assert found == dict(enumerate(want))
+    assert max(t.count() for t in written) < 60 * len(texts)
+
+
+@pytest.mark.parametrize("wide", [256, 1 << 14])
+def test_links_of_sets_in_one_group_are_those_of_all_pairs(monkeypatch, wide):
+    """Sets of any size about the threshold, with parity maps that are wide and that are too narrow to tell."""
+    monkeypatch.setattr(simhash, "MAP", wide)
+    rng, sets = np.random.default_rng(9), []
+    for size in (1, 2, 4, 5, 9, 10, 40, 150, 1500):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for _ in range(40):
+            kept = base[rng.random(size) >= rng.choice([0, 0.05, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, rng.integers(0, 2 + size // 8), dtype=np.uint64)])))
+    sets = sorted((s for s in sets if len(s)), key=len)
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    own = [set(s.tolist()) for s in sets]
+    want = roots(len(own), lambda i, j: len(own[i] & own[j]) * 1.8 >= 0.8 * (len(own[i]) + len(own[j])) - 1e-9)
+    assert simhash._linked(np.concatenate(sets), first, 0.8).tolist() == want
+    assert 10 < len(set(want)) < len(want) - 50
