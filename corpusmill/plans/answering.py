@@ -13,7 +13,7 @@ from corpusmill.operators import contracts as CO
 from corpusmill.operators import files as FI
 from corpusmill.operators import fusion as FU
 from corpusmill.plans import lift as L
-from corpusmill.plans.queries import _CAND_TABLES, _CANDS, _EV, _SUFF, POLICY, _evidence, _pack_sql, _retrieved, query
+from corpusmill.plans.queries import _CAND_TABLES, _CANDS, _EV, _SUFF, POLICY, _evidence, _fused_sources, _pack_sql, _retrieved, query
 
 col, lit = F.col, F.lit
 #: What is added to a question's id for its repair query; a multiple of the number of kinds.
@@ -31,10 +31,11 @@ def _rounds(spark, sf_dir):
     q = L.questions(spark, sf_dir).withColumn("kind", _kind(col("query_id")))
     both = cut(q.select("query_id", "query").union(q.select(col("query_id") + AGAIN, X.repair_query(col("kind"), col("query")))))
     found = _retrieved(spark, sf_dir, both)
-    named = FU.fuse(found.filter((col("retriever") == "exact") & (col("query_id") < AGAIN)), POLICY)
+    named = cut(FU.fuse(found.filter((col("retriever") == "exact") & (col("query_id") < AGAIN)), POLICY))
     fused = cut(FU.fuse(found, POLICY))
     facts = lambda f: _evidence(spark, sf_dir, f)
-    hybrid, files, skipped = facts(fused.filter(col("query_id") < AGAIN))
+    hybrid = facts(fused.filter(col("query_id") < AGAIN))[0]
+    files, skipped = _fused_sources(spark, sf_dir, named.select("source_key").union(fused.select("source_key")))
     repaired = facts(fused.filter(col("query_id") >= AGAIN).withColumn("query_id", col("query_id") - AGAIN))[0]
     return AN.answer(q, facts(named)[0], hybrid, repaired, files, skipped, BUDGET)
 
