@@ -90,3 +90,19 @@ def test_documents_that_hold_passages(spark, tmp_path):
     found = lift.relevance(spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == [(0, 1), (1, 1), (1, 3), (2, 3), (3, 5)]
     assert "Generate" not in plan(found)
+
+
+def test_dense_in_blocks_of_queries_and_vectors(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(i, [float(rnd.randint(-3, 3)) or 1.0 for _ in range(5)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(scoring, "ASKED", 7)
+    monkeypatch.setattr(scoring, "VECTORS", 64)
+    cos = lambda x, y: round(sum(a * b for a, b in zip(x, y, strict=True)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5, 6)
+    want = []
+    for q, y in rows[::10]:
+        best = sorted((-c, i) for i, x in rows if i != q and (c := cos(x, y)) > 0)[:4]
+        want += [(q, i, -c, n + 1) for n, (c, i) in enumerate(best)]
+    found = retrieval.dense(v, v.filter("vec_id % 10 = 0"), 4)
+    assert sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in found.collect()) == sorted(want)
+    assert "NestedLoop" not in plan(found)
